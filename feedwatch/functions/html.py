@@ -11,6 +11,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedwatch.functions.text import StrCol, as_col, newline_to_space
 
@@ -66,7 +67,7 @@ def text_of(html: str) -> str:
     return "".join(parser.pieces).replace("\n", " ")
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _parsed_text(html: pa.Array) -> pa.Array:
     return pa.array([None if v is None else text_of(v) for v in html.to_pylist()], pa.string())
 

@@ -42,13 +42,6 @@ def cosine_similarity(a: StrCol, b: StrCol) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))
 
 
-def cosine_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """All cosines of two row blocks; the division comes last so integer counts stay exact."""
-    a, b = np.asarray(a, dtype=np.float64), np.asarray(b, dtype=np.float64)
-    scale = np.outer(np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1)))
-    return np.divide(a @ b.T, scale, out=np.zeros_like(scale), where=scale > 0)
-
-
 # ---------------------------------------------------------------- pooling
 
 

@@ -100,8 +100,14 @@ def _norms(matrix: np.ndarray) -> np.ndarray:
 
 
 def _cosines(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """All cosines of two blocks; zero vectors give 0.
+
+    Rounded far below single precision: the last bits of a matrix product depend on the block's
+    shape, and ties must rank the same however the rows were batched.
+    """
     scale = np.outer(na, nb)
-    return np.divide(a @ b.T, scale, out=np.zeros_like(scale), where=scale > 0)
+    cosines = np.divide(a @ b.T, scale, out=np.zeros_like(scale), where=scale > 0)
+    return np.round(cosines, 12)
 
 
 def target_bytes(targets: DataFrame) -> int:
@@ -412,6 +418,7 @@ def _pairs_by_blocks(
     )
     left = left.join(grid, ["site", "entry_block"])
     right = right.join(grid, ["site", "target_block"])
+    right = right.select(*(F.col(c).alias(c) for c in right.columns))
     least = settings.title_threshold if settings.use_and else None
     num_similar = settings.num_similar_sentences
     names = entries.columns

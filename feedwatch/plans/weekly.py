@@ -30,11 +30,11 @@ def rules_by_site(watch: DataFrame) -> DataFrame:
         F.min("rule_pos").alias("config_pos"),
         F.array_sort(F.collect_list(F.struct("rule_pos", "authors", "words"))).alias("rules"),
     )
-    filled = {
-        name: F.flatten(F.transform("rules", lambda r, n=name: mt.clean_terms(r[n])))
-        for name in ("authors", "words")
-    }
-    merged = rules.select("site", "config_pos", *(c.alias(n) for n, c in filled.items()))
+
+    def merged_list(name: str):
+        return F.flatten(F.transform("rules", lambda r: mt.clean_terms(r[name]))).alias(name)
+
+    merged = rules.select("site", "config_pos", merged_list("authors"), merged_list("words"))
     return merged.withColumn("forms", tx.word_forms(F.col("words")))
 
 

@@ -4,83 +4,68 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+TEXT, LONG, INT, DAY = T.StringType(), T.LongType(), T.IntegerType(), T.DateType()
+TEXTS = T.ArrayType(TEXT)
 
-def _ddl(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
 
+def struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
-# One feed item as found in a landed file.  ``pos`` is the item's place in its feed.
-FEED_ITEM = _ddl(
-    "id string, title string, author string, summary string, link string, published string"
-)
-ENTRY = _ddl(
-    "site string, pos bigint, id string, title string, author string, summary string, "
-    "link string, published string"
-)
-SNAPSHOT_ENTRY = _ddl(
-    "site string, snapshot_ts timestamp, pos bigint, id string, title string, author string, "
-    "summary string, link string, published string"
+
+# One feed item as found in a landed file.
+FEED_ITEM = struct(id=TEXT, title=TEXT, author=TEXT, summary=TEXT, link=TEXT, published=TEXT)
+# ``pos`` is the item's place in its feed.
+ENTRY_BODY = struct(
+    pos=LONG, id=TEXT, title=TEXT, author=TEXT, summary=TEXT, link=TEXT, published=TEXT
 )
-ENTRY_FIELDS = ["pos", "id", "title", "author", "summary", "link", "published"]
+ENTRY = T.StructType([T.StructField("site", TEXT), *ENTRY_BODY.fields])
+ENTRY_FIELDS = ENTRY_BODY.fieldNames()
 
-WATCH_RULE = _ddl("arxivSite string, authors array<string>, words array<string>")
-WATCH = _ddl("rule_pos bigint, site string, authors array<string>, words array<string>")
+WATCH_RULE = struct(arxivSite=TEXT, authors=TEXTS, words=TEXTS)
+WATCH = struct(rule_pos=LONG, site=TEXT, authors=TEXTS, words=TEXTS)
 
-SIMILARITY_CONFIG = _ddl(
-    "settings struct<num_similar_sentences int, title_similarity_threshold double, "
-    "sentence_similarity_threshold double, and_conditional boolean>, "
-    "similarity_searches array<struct<arxivSite string, papers array<string>>>"
+SIMILARITY_CONFIG = struct(
+    settings=struct(
+        num_similar_sentences=INT,
+        title_similarity_threshold=T.DoubleType(),
+        sentence_similarity_threshold=T.DoubleType(),
+        and_conditional=T.BooleanType(),
+    ),
+    similarity_searches=T.ArrayType(struct(arxivSite=TEXT, papers=TEXTS)),
 )
-PAPER_FILE = _ddl("title string, abstract string")
-PAPER = _ddl("paper_id string, title string, summary string")
-VECTORS = _ddl("owner_id string, sent_pos int, vec array<double>")
+PAPER_FILE = struct(triplet_id=TEXT, title=TEXT, abstract=TEXT)
 
-SEEN_LINK = _ddl("link string")
-SAVED_MATCH = _ddl(
-    "rule_pos bigint, site string, match string, "
-    "entry struct<pos bigint, id string, title string, author string, summary string, "
-    "link string, published string>, append_date date, week date"
+SEEN_LINK = struct(link=TEXT)
+SEEN_LOG = struct(version=LONG)
+SAVED_MATCH = struct(
+    rule_pos=LONG, site=TEXT, match=TEXT, entry=ENTRY_BODY, append_date=DAY, week=DAY
 )
-DIGEST = _ddl(
-    "run_date date, config_pos bigint, site string, kind string, part bigint, "
-    "n_parts bigint, subject string, html string, plain string, n_entries bigint"
+FLUSHES = struct(flush_date=DAY)
+DIGEST = struct(
+    run_date=DAY,
+    config_pos=LONG,
+    site=TEXT,
+    kind=TEXT,
+    part=LONG,
+    n_parts=LONG,
+    subject=TEXT,
+    html=TEXT,
+    plain=TEXT,
+    n_entries=LONG,
 )
 
 # One bulk-metadata record as it stands in the XML, and the page that carries many of them.
-RAW_RECORD_DDL = (
-    "id string, submitter string, authors string, title string, comments string, "
-    "`journal-ref` string, doi string, abstract string, `report-no` string, "
-    "categories array<string>, version array<struct<_version string, date array<string>>>"
-)
-RAW_RECORD = _ddl(RAW_RECORD_DDL)
-RECORD_PAGE = T.StructType(
-    [
-        T.StructField("error", _ddl("_VALUE string")),
-        T.StructField(
-            "ListRecords",
-            T.StructType(
-                [
-                    T.StructField(
-                        "record",
-                        T.ArrayType(
-                            T.StructType(
-                                [
-                                    T.StructField(
-                                        "metadata",
-                                        T.StructType([T.StructField("arXivRaw", RAW_RECORD)]),
-                                    )
-                                ]
-                            )
-                        ),
-                    ),
-                    T.StructField("resumptionToken", _ddl("_VALUE string")),
-                ]
-            ),
-        ),
-    ]
+_LEAVES = ["id", "submitter", "authors", "title", "comments", "journal-ref", "doi", "abstract",
+           "report-no"]
+RAW_RECORD = struct(
+    **{name: TEXT for name in _LEAVES},
+    categories=TEXTS,
+    version=T.ArrayType(struct(_version=TEXT, date=TEXTS)),
 )
-RECORD = _ddl(
-    "id string, submitter string, authors string, title string, comments string, "
-    "`journal-ref` string, doi string, abstract string, `report-no` string, "
-    "categories array<string>, versions array<string>, versions_dates array<string>"
+RECORD_PAGE = struct(
+    error=struct(_VALUE=TEXT),
+    ListRecords=struct(
+        record=T.ArrayType(struct(metadata=struct(arXivRaw=RAW_RECORD))),
+        resumptionToken=struct(_VALUE=TEXT),
+    ),
 )

@@ -98,11 +98,21 @@ def similarity_searches(config: DataFrame) -> DataFrame:
     )
 
 
-def read_triplets(spark: SparkSession, path: str, triplet_id: str = "0") -> DataFrame:
-    """Papers of a triplet, one JSON object per file; the role stands in the file name."""
-    raw = spark.read.schema(schemas.PAPER_FILE).option("multiLine", True).json(path)
-    role = F.regexp_extract(F.col("_metadata.file_name"), r"(anchor|positive|negative)", 1)
-    return raw.select(F.lit(triplet_id).alias("triplet_id"), role.alias("role"), "title", "abstract")
+def read_triplets(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Papers of triplets: one JSON object per file, or JSON lines when ``multi_line`` is off.
+
+    The role stands in the file or folder name; lines may carry a ``triplet_id``.
+    """
+    raw = spark.read.schema(schemas.PAPER_FILE).option("multiLine", multi_line).json(path)
+    role = F.regexp_extract(
+        F.col("_metadata.file_path"), r"(anchor|positive|negative)[^/]*(?:/part-[^/]*)?$", 1
+    )
+    return raw.select(
+        F.coalesce("triplet_id", F.lit("0")).alias("triplet_id"),
+        role.alias("role"),
+        "title",
+        "abstract",
+    )
 
 
 def papers_by_id(corpus: DataFrame, searches: DataFrame) -> DataFrame:

@@ -26,8 +26,6 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 class MatchState:
     """Saved matches of the weekly flow, and the record of what has been flushed."""
 
-    FLUSHES = T.StructType.fromDDL("flush_date date")
-
     def __init__(self, spark: SparkSession, base: str) -> None:
         self.spark = spark
         self.matches_path = f"{base}/matches"
@@ -52,7 +50,7 @@ class MatchState:
         return rows if week is None else rows.where(F.col("week") == F.lit(week))
 
     def flushes(self) -> DataFrame:
-        return read_or_empty(self.spark, self.flushes_path, self.FLUSHES)
+        return read_or_empty(self.spark, self.flushes_path, schemas.FLUSHES)
 
     def is_flushed(self, day: dt.date) -> bool:
         return not self.flushes().where(F.col("flush_date") == F.lit(day)).isEmpty()
@@ -70,21 +68,19 @@ class MatchState:
 
     def clear(self, day: dt.date) -> None:
         """Logical clear: from here on rows up to ``day`` are no longer pending."""
-        marker = self.spark.createDataFrame([(day,)], self.FLUSHES)
+        marker = self.spark.createDataFrame([(day,)], schemas.FLUSHES)
         marker.write.mode("append").parquet(self.flushes_path)
 
 
 class SeenLinks:
     """The key set of the last stored snapshot, as versions plus a log of committed versions."""
 
-    LOG = T.StructType.fromDDL("version bigint")
-
     def __init__(self, spark: SparkSession, base: str) -> None:
         self.spark = spark
         self.base = base
 
     def version(self) -> int | None:
-        log = read_or_empty(self.spark, f"{self.base}/log", self.LOG)
+        log = read_or_empty(self.spark, f"{self.base}/log", schemas.SEEN_LOG)
         return log.agg(F.max("version")).first()[0]
 
     def read(self) -> DataFrame:
@@ -97,7 +93,7 @@ class SeenLinks:
     def write(self, links: DataFrame, version: int) -> None:
         """Store a whole new version, then commit it; the version being read is never touched."""
         links.select("link").write.mode("overwrite").parquet(f"{self.base}/links/v{version}")
-        marker = self.spark.createDataFrame([(version,)], self.LOG)
+        marker = self.spark.createDataFrame([(version,)], schemas.SEEN_LOG)
         marker.write.mode("append").parquet(f"{self.base}/log")
 
 

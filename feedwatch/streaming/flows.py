@@ -40,7 +40,8 @@ def weekly_counts(saved: DataFrame, ts: str = "ts", delay: str = "1 day") -> Dat
     In append mode a week appears once the watermark has passed its end; the open week is pending.
     """
     week = F.window(ts, "7 days", "7 days", "4 days")
-    counted = saved.withWatermark(ts, delay).groupBy(week, "site", "kind")
+    timed = saved.withColumn(ts, F.col(ts).cast("timestamp"))
+    counted = timed.withWatermark(ts, delay).groupBy(week, "site", "kind")
     return counted.agg(F.count("*").alias("n")).select(
         F.to_date("window.start").alias("week"), "site", "kind", "n"
     )
@@ -57,8 +58,7 @@ def start_new_entries_stream(
     def one_snapshot(batch: DataFrame, batch_id: int) -> None:
         version = state.version()
         if version is None or version < batch_id:
-            day = run_date + dt.timedelta(days=batch_id)
-            run_journal(batch, state, digest_path, day, version=batch_id)
+            run_journal(batch, state, f"{digest_path}/batch={batch_id}", run_date, batch_id)
 
     return (
         snapshots.writeStream.foreachBatch(one_snapshot)
