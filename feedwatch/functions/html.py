@@ -38,6 +38,7 @@ ENTITIES = [
     ("&copy;", "©"),
     ("&mdash;", "—"),
     ("&hellip;", "…"),
+    ("&middot;", "·"),
     ("&amp;", "&"),
 ]
 

@@ -104,8 +104,9 @@ def sentence_split(text: StrCol) -> Column:
 
 
 def py_capitalize(word: StrCol) -> Column:
+    """First character in title case (``ß`` → ``Ss``), the rest lowered."""
     word = as_col(word)
-    return F.concat(F.upper(F.left(word, F.lit(1))), F.lower(F.substr(word, F.lit(2))))
+    return F.concat(F.initcap(F.left(word, F.lit(1))), F.lower(F.substr(word, F.lit(2))))
 
 
 def py_title(word: StrCol) -> Column:

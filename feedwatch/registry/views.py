@@ -161,7 +161,8 @@ def strip_sql(value: str) -> str:
 
 
 def capital_sql(word: str) -> str:
-    return f"(upper(left({word}, 1)) || lower(substr({word}, 2)))"
+    first = f"CASE left({word}, 1) WHEN 'ß' THEN 'Ss' ELSE upper(left({word}, 1)) END"
+    return f"({first} || lower(substr({word}, 2)))"
 
 
 def title_sql(word: str) -> str:
