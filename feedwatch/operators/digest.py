@@ -9,14 +9,19 @@ whole site.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PER_PART = 1000
 
+# (entries, columns to keep) -> those columns with ``html`` and ``plain``
+Render = Callable[[DataFrame, list[str]], DataFrame]
+
 
 def _bucket(pos: str, per_part: int) -> Column:
-    return F.floor(F.col(pos) / F.lit(per_part)).cast("bigint")
+    return F.expr(f"`{pos}` div {per_part}")
 
 
 def digest_layout(
@@ -43,23 +48,27 @@ def digest_concat(
     items: DataFrame,
     keys: list[str],
     order: list[str],
+    render: Render,
     header: Column,
     footer: Column,
     plain_header: Column | None = None,
     per_part: int = PER_PART,
 ) -> DataFrame:
-    """``items`` (keys, order columns, ``html``, ``plain``) → one row per digest part.
+    """Entries (keys, order columns and whatever ``render`` needs) → one row per digest part.
 
     ``order`` ends with a non-negative position that is unique under the columns before it;
-    ``header``, ``footer`` and ``plain_header`` may use the keys.
+    ``header``, ``footer`` and ``plain_header`` may use the keys.  Entries travel to their part as
+    they are and are rendered there: both rendered forms together are over twice as large.
     """
     *lead, pos = order
     layout = digest_layout(items, keys, order, per_part)
     placed = items.withColumn("bucket", _bucket(pos, per_part)).join(
         layout, [*keys, *lead, "bucket"]
     )
+    groups = [*keys, "part", "n_parts", "n_entries"]
+    rendered = render(placed.repartition(*keys, "part"), [*groups, *order])
     sequence = ", ".join(order)
-    parts = placed.groupBy(*keys, "part", "n_parts", "n_entries").agg(
+    parts = rendered.groupBy(*groups).agg(
         F.expr(f"listagg(html, '') WITHIN GROUP (ORDER BY {sequence})").alias("html"),
         F.expr(f"listagg(plain, '') WITHIN GROUP (ORDER BY {sequence})").alias("plain"),
     )

@@ -1,9 +1,7 @@
 """Watchlist matching: one label per entry and rule, author over title over summary.
 
-Entries are the big side and are never shuffled here: the watchlist is a small file-backed table, so
-Spark broadcasts it after checking its size against ``spark.sql.autoBroadcastJoinThreshold``.  A
-larger watchlist falls back to a shuffle join on the site, where adaptive execution splits a site
-that holds a large share of the entries.  No hint forces either way.
+Entries are the big side and are not shuffled: the watchlist is measured and broadcast within a
+bound.  Beyond it the join is salted, so that a site with a large share of the entries is spread.
 """
 
 from __future__ import annotations
@@ -12,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedwatch.functions import text as tx
+from feedwatch.operators.joins import join_small
+from feedwatch.schemas import ENTRY_FIELDS
 
 
 def clean_terms(terms: Column) -> Column:
@@ -34,20 +34,28 @@ def prepare_watchlist(watch: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- predicates
 
 
-def _least_index(position_zero_matches: bool) -> int:
-    return 1 if position_zero_matches else 2
+def term_occurs(text: Column, term: Column, position_zero_matches: bool = False) -> Column:
+    """The term's first occurrence is past the start of the text (or anywhere, with the switch).
+
+    "Contained but not a prefix" says the same as a position above 0, and finds it without counting
+    characters.
+    """
+    found = F.contains(text, term)
+    return found if position_zero_matches else found & ~F.startswith(text, term)
 
 
 def author_match(author: Column, authors: Column, position_zero_matches: bool = False) -> Column:
     """Case-sensitive containment.  A first occurrence at the very start does not count by default."""
-    least = _least_index(position_zero_matches)
-    return F.coalesce(F.exists(authors, lambda a: F.instr(author, a) >= least), F.lit(False))
+    hit = F.exists(authors, lambda a: term_occurs(author, a, position_zero_matches))
+    return F.coalesce(hit, F.lit(False))
 
 
 def word_match(text: Column, forms: Column, position_zero_matches: bool = False) -> Column:
     """Case-insensitive containment of any word, with the same rule about the start."""
-    least = _least_index(position_zero_matches)
-    hit = tx.bind(F.lower(text), lambda t: F.exists(forms, lambda f: F.instr(t, f["low"]) >= least))
+    hit = tx.bind(
+        F.lower(text),
+        lambda t: F.exists(forms, lambda f: term_occurs(t, f["low"], position_zero_matches)),
+    )
     return F.coalesce(hit, F.lit(False))
 
 
@@ -71,7 +79,7 @@ def match_kind(match: Column | str) -> Column:
 
 def entries_with_rules(entries: DataFrame, watch: DataFrame) -> DataFrame:
     """Every entry next to each rule of its own site (a site listed twice gives two rows)."""
-    return entries.join(prepare_watchlist(watch), "site", "inner")
+    return join_small(entries, prepare_watchlist(watch), "site", salt_by="pos")
 
 
 def classify_entries(
@@ -85,7 +93,14 @@ def classify_entries(
 def matched_entries(
     entries: DataFrame, watch: DataFrame, position_zero_matches: bool = False
 ) -> DataFrame:
-    return classify_entries(entries, watch, position_zero_matches).where(F.col("match") != "")
+    """Entries with a label.
+
+    The label is exploded out of a filtered one-element array: a plain filter on it would be pushed
+    below the projection and every text would be searched twice.
+    """
+    label = F.array(match_label(position_zero_matches))
+    found = F.filter(label, lambda m: m != "")
+    return entries_with_rules(entries, watch).withColumn("match", F.explode(found))
 
 
 def term_hits(
@@ -96,7 +111,6 @@ def term_hits(
     The terms are filtered inside the row and only hits are exploded, so the rows produced are the
     result and not entries times terms.
     """
-    least = _least_index(position_zero_matches)
     joined = entries_with_rules(entries, watch)
 
     def hit(field: str, term: Column) -> Column:
@@ -106,17 +120,17 @@ def term_hits(
         per_text = F.transform(
             F.array(F.lower(F.coalesce(F.col(field), F.lit("")))),
             lambda t: F.transform(
-                F.filter(F.col("forms"), lambda f: F.instr(t, f["low"]) >= least),
+                F.filter(
+                    F.col("forms"), lambda f: term_occurs(t, f["low"], position_zero_matches)
+                ),
                 lambda f: hit(field, f["low"]),
             ),
         )
         return F.flatten(per_text)
 
+    author = F.coalesce(F.col("author"), F.lit(""))
     author_hits = F.transform(
-        F.filter(
-            F.col("authors"),
-            lambda a: F.instr(F.coalesce(F.col("author"), F.lit("")), a) >= least,
-        ),
+        F.filter(F.col("authors"), lambda a: term_occurs(author, a, position_zero_matches)),
         lambda a: hit("author", a),
     )
     hits = F.concat(author_hits, word_hits("title"), word_hits("summary"))
@@ -157,8 +171,6 @@ def feed_counts(entries: DataFrame, watch: DataFrame) -> DataFrame:
 
 def saved_match_row(matched: DataFrame, append_date: Column) -> DataFrame:
     """The weekly state row: rule, site, label and the whole entry as a struct."""
-    from feedwatch.schemas import ENTRY_FIELDS
-
     day = append_date.cast("date")
     return matched.select(
         "rule_pos",

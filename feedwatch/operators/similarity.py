@@ -361,12 +361,14 @@ def similar_pairs(
     prune: bool = True,
     max_bytes: int = MAX_TARGET_BYTES,
     prepare: Callable[[DataFrame], DataFrame] | None = None,
+    spread: int | None = None,
 ) -> DataFrame:
     """Qualifying (entry, target) pairs: the entry's columns, ``target_pos`` and both scores.
 
     With ``use_and`` only pairs whose title qualifies go on to the sentences, with equal results.
     ``prepare`` derives the sentence column after that cut, so costly text work is done for
-    survivors only.  ``entries`` needs ``site`` and ``pos``.
+    survivors only; ``spread`` deals the survivors out over that many tasks first.  ``entries``
+    needs ``site`` and ``pos``.
     """
     book = broadcast_targets(targets, max_bytes)
     if book is None:
@@ -374,6 +376,8 @@ def similar_pairs(
         return _pairs_by_blocks(ready, targets, settings, encoder, title, sentences)
     least = settings.title_threshold if settings.use_and and prune else None
     candidates = title_hits(entries, book, least, title, encoder)
+    if spread:
+        candidates = candidates.repartition(spread)
     if prepare is not None:
         candidates = prepare(candidates)
     scored = sentence_scores(

@@ -61,9 +61,10 @@ def daily_digest(
     matched = durable(matched.select(*RULE_COLUMNS, *schemas.ENTRY_FIELDS), "matches")
     keys = ["rule_pos", "site"]
     parts = digest_concat(
-        render_matches(matched, [*keys, "pos"]),
+        matched,
         keys,
         ["pos"],
+        render_matches,
         F.lit(fmt.MATCH_HEADER),
         F.lit(fmt.MATCH_FOOTER),
         per_part=per_part,

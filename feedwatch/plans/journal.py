@@ -22,11 +22,10 @@ def entry_defaults(entries: DataFrame) -> DataFrame:
     )
 
 
-def render_journal(entries: DataFrame) -> DataFrame:
+def render_journal(entries: DataFrame, keep: list[str]) -> DataFrame:
     fields = ("title", "published", "link", "summary")
     return entry_defaults(entries).select(
-        "site",
-        "pos",
+        *keep,
         tx.render_journal_html(*fields).alias("html"),
         tx.render_journal_text(*fields).alias("plain"),
     )
@@ -35,9 +34,10 @@ def render_journal(entries: DataFrame) -> DataFrame:
 def journal_digest(fresh: DataFrame, run_date: dt.date, per_part: int = PER_PART) -> DataFrame:
     """Digest of entries already known to be new; no row when there are none."""
     parts = digest_concat(
-        render_journal(fresh),
+        fresh,
         ["site"],
         ["pos"],
+        render_journal,
         F.lit(fmt.JOURNAL_HEADER),
         F.lit(fmt.JOURNAL_FOOTER),
         F.lit(fmt.JOURNAL_PLAIN_HEADER),

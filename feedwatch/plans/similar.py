@@ -12,6 +12,7 @@ from feedwatch.functions import text as tx
 from feedwatch.functions.html import html_to_text
 from feedwatch.functions.vectors import EncoderFactory, encode_sentences, hashed_encoder
 from feedwatch.operators import similarity as sim
+from feedwatch.operators.joins import join_small
 from feedwatch.operators.digest import PER_PART, digest_concat
 from feedwatch.plans.daily import digest_table
 from feedwatch.session import durable
@@ -48,11 +49,13 @@ def similar_papers(
     encoder: EncoderFactory | None = None,
     prune: bool = True,
     max_target_bytes: int = sim.MAX_TARGET_BYTES,
+    spread: int | None = None,
 ) -> DataFrame:
     """Qualifying pairs of feed entries and encoded targets, with the entry's own columns.
 
     One pass over the entries without a shuffle: titles are encoded and screened first, and under
-    AND only the survivors' summaries are parsed, split, encoded and scored.
+    AND only the survivors' summaries are parsed, split, encoded and scored.  Survivors cluster
+    (copies are landed together), so ``spread`` can deal them out evenly before the costly part.
     """
     pairs = sim.similar_pairs(
         prepare_titles(entries),
@@ -64,6 +67,7 @@ def similar_papers(
         prune=prune,
         max_bytes=max_target_bytes,
         prepare=prepare_sentences,
+        spread=spread,
     )
     columns = [c for c in entries.columns if c in pairs.columns]
     return pairs.select(*columns, "target_pos", "title_similarity", "top_k_score")
@@ -79,28 +83,34 @@ def pair_attributes(pairs: DataFrame, targets: DataFrame) -> DataFrame:
         F.col("summary").alias("target_summary"),
         F.col("paper_url").alias("target_link"),
     )
-    return pairs.join(known, ["site", "target_pos"])
+    return join_small(pairs, known, ["site", "target_pos"], salt_by="pos")
 
 
-def similarity_digest(
-    pairs: DataFrame, targets: DataFrame, run_date: dt.date, per_part: int = PER_PART
-) -> DataFrame:
-    """Digest per search, pairs by target and then entry; no row without a pair."""
-    pairs = durable(pair_attributes(pairs, targets), "pairs")
-    keys, order = ["search_pos", "site"], ["target_pos", "pos"]
-    items = pairs.select(
-        *keys,
-        *order,
+def render_pairs(pairs: DataFrame, keep: list[str]) -> DataFrame:
+    return pairs.select(
+        *keep,
         tx.render_pair_html(
             "title", "summary", "id", "target_title", "target_summary", "target_link"
         ).alias("html"),
         tx.render_pair_text("title", "summary", "target_title", "target_summary").alias("plain"),
     )
+
+
+def similarity_digest(
+    pairs: DataFrame, targets: DataFrame, run_date: dt.date, per_part: int = PER_PART
+) -> DataFrame:
+    """Digest per search, pairs by target and then entry; no row without a pair."""
+    searched = targets.select("site", "target_pos", "search_pos")
+    pairs = durable(join_small(pairs, searched, ["site", "target_pos"], "pos"), "pairs")
+    keys, order = ["search_pos", "site"], ["target_pos", "pos"]
     name = F.concat(F.lit("Similarity Results for "), F.col("site"))
     parts = digest_concat(
-        items,
+        pairs,
         keys,
         order,
+        lambda placed, keep: render_pairs(
+            pair_attributes(placed.drop("search_pos"), targets), keep
+        ),
         F.concat(F.lit(fmt.SIMILARITY_HEADER), F.lit("<h1> "), name, F.lit("</h1>")),
         F.lit(fmt.SIMILARITY_FOOTER),
         F.concat(name, F.lit("\n")),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from feedwatch.functions import formats as fmt
 from feedwatch.functions import text as tx
 from feedwatch.operators import match as mt
+from feedwatch.operators.joins import join_small
 from feedwatch.operators.digest import PER_PART, digest_concat
 from feedwatch.plans.daily import digest_table, render_matches
 from feedwatch.session import durable
@@ -69,9 +70,10 @@ def weekly_digest(
     )
     keys, order = ["site", "kind"], ["append_date", "rule_pos", "pos"]
     parts = digest_concat(
-        render_matches(labelled.join(rules, "site"), [*keys, *order]),
+        labelled,
         keys,
         order,
+        lambda placed, keep: render_matches(join_small(placed, rules, "site", "pos"), keep),
         F.lit(fmt.MATCH_HEADER),
         F.lit(fmt.MATCH_FOOTER),
         per_part=per_part,

@@ -29,7 +29,8 @@ def targets_of(spark, sf_dir):
 
 
 def pairs_of(spark, sf_dir, targets):
-    return plan.similar_papers(v.delivered(spark, sf_dir), targets, SET)
+    spread = spark.sparkContext.defaultParallelism
+    return plan.similar_papers(v.delivered(spark, sf_dir), targets, SET, spread=spread)
 
 
 @register(

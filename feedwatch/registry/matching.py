@@ -290,9 +290,10 @@ def concat_query(spark, sf_dir):
     found = durable(found.select(*RULE_COLUMNS, "pos", "title", "author", "summary", "link"), "matches")
     keys = ["rule_pos", "site"]
     parts = digest_concat(
-        render_matches(found, [*keys, "pos"]),
+        found,
         keys,
         ["pos"],
+        render_matches,
         F.lit(fmt.MATCH_HEADER),
         F.lit(fmt.MATCH_FOOTER),
         per_part=8,

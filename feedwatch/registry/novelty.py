@@ -93,7 +93,7 @@ rendered AS (
 SELECT pos, md5(html) AS html_md5, md5(plain) AS plain_md5 FROM rendered""",
 )
 def journal_items(spark, sf_dir):
-    return render_journal(v.snapshot(spark, sf_dir)).select(
+    return render_journal(v.snapshot(spark, sf_dir), ["pos"]).select(
         "pos", v.short("html").alias("html_md5"), v.short("plain").alias("plain_md5")
     )
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +49,11 @@ def short(column: Column | str) -> Column:
 # ---------------------------------------------------------------- feed entries from documents
 
 
+def first_tokens() -> Column:
+    """First three blank-separated tokens of a text, as an author list."""
+    return F.replace(F.substring_index("text", " ", 3), F.lit(" "), F.lit(", "))
+
+
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc_id = F.col("doc_id").cast("string")
     return table(spark, sf_dir, "documents").select(
@@ -55,7 +61,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("pos"),
         doc_id.alias("id"),
         F.substring_index("text", "\n", 1).alias("title"),
-        F.array_join(F.slice(F.split("text", " "), 1, 3), ", ").alias("author"),
+        first_tokens().alias("author"),
         F.col("text").alias("summary"),
         F.concat(F.lit("https://example.org/abs/"), doc_id).alias("link"),
         F.when(F.col("lang") != "de", F.col("lang")).alias("published"),
@@ -99,7 +105,16 @@ marked AS (
 
 
 def watch(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
-    return spark.createDataFrame(RULES, schemas.WATCH)
+    return _inline_rules(spark, RULES)
+
+
+def _inline_rules(spark: SparkSession, rules: list[tuple]) -> DataFrame:
+    """Rules as a relation Spark holds itself (plain Python rows would go through a worker)."""
+    names = schemas.WATCH.fieldNames()
+    columns = dict(zip(names, map(list, zip(*rules, strict=True)), strict=True))
+    texts = pa.list_(pa.string())
+    kinds = pa.schema(zip(names, [pa.int64(), pa.string(), texts, texts], strict=True))
+    return spark.createDataFrame(pa.table(columns, schema=kinds))
 
 
 def sql_text(value: str) -> str:
@@ -419,7 +434,7 @@ SAVED_RULES = [(n, f"u{n}", [f"U{n}"], ["click", "error"]) for n in range(6)]
 
 
 def saved_watch(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SAVED_RULES, schemas.WATCH)
+    return _inline_rules(spark, SAVED_RULES)
 
 
 # ---------------------------------------------------------------- snapshots from pages
@@ -483,7 +498,7 @@ def record_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('<record><header/><metadata><arXivRaw xmlns="http://arxiv.org/OAI/arXivRaw/">'),
         _element("id", F.concat(F.lit("2101."), F.lpad(doc.cast("string"), 5, "0"), F.lit("0"))),
         _element("submitter", F.col("source")),
-        _element("authors", F.array_join(F.slice(F.split("text", " "), 1, 3), ", ")),
+        _element("authors", first_tokens()),
         _element("title", F.concat(F.lit("T "), F.substring_index("text", "\n", 1))),
         _element("comments", F.when(F.col("lang") == "en", F.col("n_chars").cast("string"))),
         _element("abstract", F.concat(F.lit("A "), "text")),

@@ -257,7 +257,7 @@ def incremental_match(spark, sf_dir):
         F.col("doc_id").alias("pos"),
         doc_id.alias("id"),
         F.substring_index("text", "\n", 1).alias("title"),
-        F.array_join(F.slice(F.split("text", " "), 1, 3), ", ").alias("author"),
+        v.first_tokens().alias("author"),
         F.col("text").alias("summary"),
         F.concat(F.lit("https://example.org/abs/"), doc_id).alias("link"),
         F.lit(None).cast("string").alias("published"),
