@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedwatch import schemas
-from feedwatch.functions.text import as_col
 
 ITEM_OPTIONS = {"rowTag": "item", "ignoreSurroundingSpaces": "false"}
 ROW_BITS = (1 << 33) - 1  # low bits of Spark's increasing id: the row's number in its task
 
 
-def with_site(items: DataFrame, site: Column | str) -> DataFrame:
-    """Shape raw items into entries of ``site`` (a column, e.g. cut from the file name)."""
-    return items.withColumn("site", as_col(site)).select(*schemas.ENTRY.fieldNames())
+def _item_schema(landed_pos: bool) -> T.StructType:
+    """Item fields, and ``site`` for feeds landed in ``site=…`` folders (else it reads as null)."""
+    fields = [*schemas.FEED_ITEM.fields, T.StructField("site", T.StringType())]
+    return T.StructType(fields + [T.StructField("pos", T.LongType())] * landed_pos)
 
 
 def _file_order() -> Column:
@@ -23,28 +23,24 @@ def _file_order() -> Column:
     return F.monotonically_increasing_id().bitwiseAND(F.lit(ROW_BITS))
 
 
-def site_from_path() -> Column:
-    """Feeds are landed as ``…/site=<site>/…`` or ``<site>.xml``."""
-    path = F.col("_metadata.file_path")
-    by_folder = F.regexp_extract(path, r"/site=([^/]+)/", 1)
-    by_name = F.regexp_extract(path, r"/([^/]+?)(?:\.xml)?$", 1)
-    return F.url_decode(F.when(by_folder != "", by_folder).otherwise(by_name))
+def _site() -> Column:
+    """Site of a landed item: the partition folder, or the name of a file ``<site>.xml``."""
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+?)(?:\.xml)?$", 1)
+    return F.coalesce(F.col("site"), F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))))
+
+
+def _entries(items: DataFrame, site: Column | None) -> DataFrame:
+    placed = items.withColumn("site", _site() if site is None else site)
+    return placed.select(*schemas.ENTRY.fieldNames())
 
 
 def read_feed(
     spark: SparkSession, path: str, site: Column | None = None, landed_pos: bool = False
 ) -> DataFrame:
     """Entries of landed XML feeds.  ``landed_pos``: the landing job stored each item's position."""
-    fields = list(schemas.FEED_ITEM.fields)
-    if landed_pos:
-        fields.append(T.StructField("pos", T.LongType()))
-    items = (
-        spark.read.schema(T.StructType(fields)).format("xml").options(**ITEM_OPTIONS).load(path)
-    )
-    items = items.withColumn("site", site_from_path() if site is None else site)
-    if not landed_pos:
-        items = items.withColumn("pos", _file_order())
-    return items.select(*schemas.ENTRY.fieldNames())
+    reader = spark.read.schema(_item_schema(landed_pos)).format("xml").options(**ITEM_OPTIONS)
+    items = reader.load(path)
+    return _entries(items if landed_pos else items.withColumn("pos", _file_order()), site)
 
 
 def read_site_feed(spark: SparkSession, root: str, **kw) -> DataFrame:
@@ -64,12 +60,10 @@ def stream_feed(
     spark: SparkSession, path: str, site: Column | None = None, max_files: int | None = None
 ) -> DataFrame:
     """The same files as a stream: each newly landed file is read once."""
-    fields = [*schemas.FEED_ITEM.fields, T.StructField("pos", T.LongType())]
-    reader = spark.readStream.schema(T.StructType(fields)).format("xml").options(**ITEM_OPTIONS)
+    reader = spark.readStream.schema(_item_schema(True)).format("xml").options(**ITEM_OPTIONS)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    items = reader.load(path)
-    return with_site(items, site_from_path() if site is None else site)
+    return _entries(reader.load(path), site)
 
 
 def land_feed(entries: DataFrame, path: str) -> None:
