@@ -26,20 +26,21 @@ MARKUP_PATTERNS = [
     r"(?s)<[!?][^>]*>",
     r"(?s)</?[a-zA-Z][^>]*>",
 ]
-# Entities the SQL mode decodes; the ampersand has to come last.
+# Entities the SQL mode decodes, as patterns (some are valid without the semicolon and
+# start no longer name); the ampersand has to come last.
 ENTITIES = [
     ("&lt;", "<"),
     ("&gt;", ">"),
-    ("&quot;", '"'),
+    ("&quot;?", '"'),
     ("&#x27;", "'"),
     ("&#39;", "'"),
     ("&apos;", "'"),
-    ("&nbsp;", " "),
+    ("&nbsp;?", " "),
     ("&copy;", "©"),
     ("&mdash;", "—"),
     ("&hellip;", "…"),
-    ("&middot;", "·"),
-    ("&amp;", "&"),
+    ("&middot;?", "·"),
+    ("&amp;?", "&"),
 ]
 
 
@@ -84,5 +85,5 @@ def html_to_text_sql(html: StrCol) -> Column:
     for pattern in MARKUP_PATTERNS:
         text = F.regexp_replace(text, pattern, "")
     for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
+        text = F.regexp_replace(text, entity, char)
     return newline_to_space(text)

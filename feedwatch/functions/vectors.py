@@ -131,12 +131,17 @@ def nested_offsets(array: pa.Array) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes)])
 
 
-def encode_in_batches(encode: Encoder, sentences: list[str], batch_size: int) -> np.ndarray:
-    """Run the encoder over bounded slices (a model's memory grows with the slice)."""
-    blocks = [
-        encode(sentences[i : i + batch_size]) for i in range(0, len(sentences), batch_size)
-    ]
-    return np.vstack(blocks) if blocks else np.zeros((0, 0))
+def encode_in_batches(encode: Encoder, sentences: pa.Array, batch_size: int) -> np.ndarray:
+    """Run the encoder over bounded slices (a model's memory grows with the slice).
+
+    Sentences that repeat within the Arrow batch are encoded once: feeds are full of copies.
+    """
+    coded = sentences.fill_null("").dictionary_encode()
+    texts = coded.dictionary.to_pylist()
+    blocks = [encode(texts[i : i + batch_size]) for i in range(0, len(texts), batch_size)]
+    if not blocks:
+        return np.zeros((0, 0))
+    return np.vstack(blocks)[coded.indices.to_numpy(zero_copy_only=False)]
 
 
 def encode_sentences(
@@ -151,7 +156,7 @@ def encode_sentences(
         kind = pa.list_(pa.list_(pa.float64()))
         for batch in batches:
             offsets = nested_offsets(batch)
-            matrix = encode_in_batches(encode, batch.flatten().to_pylist(), batch_size)
+            matrix = encode_in_batches(encode, batch.flatten(), batch_size)
             dim = matrix.shape[1]
             inner = pa.ListArray.from_arrays(
                 pa.array(np.arange(len(matrix) + 1) * dim, pa.int32()),

@@ -89,19 +89,18 @@ def digest_concat(
     )
 
 
-def join_parts(parts: DataFrame, keys: list[str], max_chars: int = 20_000_000) -> DataFrame:
-    """Whole messages for delivery: digests within ``max_chars`` become one row.
+def join_parts(parts: DataFrame, keys: list[str], max_parts: int = 8) -> DataFrame:
+    """Whole messages for delivery: a digest of up to ``max_parts`` parts becomes one row.
 
     Larger ones keep their parts, each to be sent on its own, so nothing is cut off.
     """
-    size = parts.groupBy(*keys).agg(F.sum(F.length("html") + F.length("plain")).alias("_chars"))
-    fits = F.col("_chars") <= max_chars
-    placed = parts.join(size, keys).withColumn("_whole", fits)
+    fits = F.col("n_parts") <= max_parts
     rest = [c for c in parts.columns if c not in (*keys, "part", "n_parts", "html", "plain")]
-    joined = placed.groupBy(*keys, F.when(fits, 0).otherwise(F.col("part")).alias("part")).agg(
+    sent = parts.withColumn("sent", F.when(fits, 0).otherwise(F.col("part")).cast("bigint"))
+    joined = sent.groupBy(*keys, "sent").agg(
         F.expr("listagg(html, '') WITHIN GROUP (ORDER BY part)").alias("html"),
         F.expr("listagg(plain, '') WITHIN GROUP (ORDER BY part)").alias("plain"),
-        F.when(F.first("_whole"), 1).otherwise(F.first("n_parts")).alias("n_parts"),
-        *(F.first(c).alias(c) for c in rest),
+        F.any_value(F.when(fits, 1).otherwise(F.col("n_parts")).cast("bigint")).alias("n_parts"),
+        *(F.any_value(c).alias(c) for c in rest),
     )
-    return joined.withColumn("part", F.col("part").cast("bigint")).select(*parts.columns)
+    return joined.withColumnRenamed("sent", "part").select(*parts.columns)

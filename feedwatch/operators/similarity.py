@@ -62,9 +62,7 @@ def text_list_reader(factory: EncoderFactory) -> Reader:
     encode = factory()
 
     def read(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return nested_offsets(column), encode_in_batches(
-            encode, column.flatten().to_pylist(), ENCODER_BATCH
-        )
+        return nested_offsets(column), encode_in_batches(encode, column.flatten(), ENCODER_BATCH)
 
     return read
 
@@ -73,8 +71,7 @@ def text_reader(factory: EncoderFactory) -> Reader:
     encode = factory()
 
     def read(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        texts = [t or "" for t in column.to_pylist()]
-        return np.arange(len(texts) + 1), encode_in_batches(encode, texts, ENCODER_BATCH)
+        return np.arange(len(column) + 1), encode_in_batches(encode, column, ENCODER_BATCH)
 
     return read
 

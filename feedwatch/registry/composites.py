@@ -9,15 +9,14 @@ from feedwatch.functions import text as tx
 from feedwatch.functions.vectors import hashed_encoder
 from feedwatch.operators import records as rc
 from feedwatch.operators import similarity as sim
-from feedwatch.operators.digest import join_parts
+from feedwatch.operators.digest import PER_PART
 from feedwatch.plans import similar as plan
 from feedwatch.plans.metadata import metadata_table
 from feedwatch.plans.triplets import triplet_eval, triplet_rows
 from feedwatch.registry import register
 from feedwatch.registry import views as v
-from feedwatch.registry.matching import DIGEST_SQL, digest_columns
+from feedwatch.registry.matching import DIGEST_SQL, digest_columns, parts_sql
 from feedwatch.registry.similarity import attached
-from feedwatch.session import durable
 
 PAIR = ["site", "target_pos", "pos"]
 WITH = "WITH" + v.TEXT_PAIRS
@@ -131,18 +130,19 @@ def render_pair(spark, sf_dir):
 
 @register(
     "similarity_digest",
-    ATTRIBUTES + _pair_sql() + DIGEST_SQL.format(
+    ATTRIBUTES + _pair_sql() + parts_sql(
+        "rendered", "search_pos, site", "target_pos, pos", PER_PART,
+        f"{v.sql_text(fmt.SIMILARITY_HEADER)} || '<h1> Similarity Results for ' || site || '</h1>'",
+        v.sql_text(fmt.SIMILARITY_FOOTER), "'Similarity Results for ' || site || chr(10)",
+    ) + DIGEST_SQL.format(
         pos="CAST(search_pos AS BIGINT)", kind="similarity",
         subject="'Similarity Filter for Arxiv ' || site",
-        head=f"{v.sql_text(fmt.SIMILARITY_HEADER)} || '<h1> Similarity Results for ' || site || '</h1>'",
-        foot=v.sql_text(fmt.SIMILARITY_FOOTER), order="target_pos, pos",
-        plain_head="'Similarity Results for ' || site || chr(10)", group="search_pos, site",
     ),
 )
 def similarity_digest(spark, sf_dir):
     targets = targets_of(spark, sf_dir)
     digests = plan.similarity_digest(pairs_of(spark, sf_dir, targets), targets, v.RUN_DATE)
-    return digest_columns(join_parts(digests, ["run_date", "config_pos", "site", "kind"]))
+    return digest_columns(digests)
 
 
 @register(

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from feedwatch.functions import formats as fmt
 from feedwatch.functions import text as tx
 from feedwatch.operators import match as mt
-from feedwatch.operators.digest import digest_concat, join_parts
+from feedwatch.operators.many_terms import classify_many_terms
+from feedwatch.operators.digest import PER_PART, digest_concat
 from feedwatch.plans.daily import RULE_COLUMNS, daily_digest, nothing_found, render_matches
 from feedwatch.registry import register
 from feedwatch.registry import views as v
@@ -66,6 +67,12 @@ def classify_entry(spark, sf_dir):
     return labelled(spark, sf_dir).select(*KEY, "match")
 
 
+@register("classify_many_terms", v.LABELLED + "SELECT rule_pos, site, pos, match FROM labelled")
+def many_terms(spark, sf_dir):
+    rows = classify_many_terms(v.entries(spark, sf_dir), v.watch(spark))
+    return rows.select(*KEY, "match")
+
+
 @register("matched_entries", v.LABELLED + "SELECT rule_pos, site, pos, match FROM matched")
 def matched_entries(spark, sf_dir):
     return matched(spark, sf_dir).select(*KEY, "match")
@@ -275,17 +282,51 @@ def digest_columns(digests):
 _HEAD, _FOOT = v.sql_text(fmt.MATCH_HEADER), v.sql_text(fmt.MATCH_FOOTER)
 
 
+def parts_sql(
+    source: str, keys: str, order: str, per_part: int, head: str, foot: str, plain_head: str = "''"
+) -> str:
+    """Digest parts in SQL: buckets of positions fill parts in order; ``order`` ends with ``pos``."""
+    by = f"{keys}, {order.removesuffix('pos')}bucket"
+    return f""",
+bucketed AS (SELECT *, pos // {per_part} AS bucket FROM {source}),
+spans AS (SELECT {by}, count(*) AS n FROM bucketed GROUP BY {by}),
+slots AS (
+  SELECT *, coalesce(sum(n) OVER (PARTITION BY {keys} ORDER BY {by}
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // {per_part} AS slot
+  FROM spans),
+numbered AS (
+  SELECT *, dense_rank() OVER (PARTITION BY {keys} ORDER BY slot) - 1 AS part,
+         (sum(n) OVER (PARTITION BY {keys}))::BIGINT AS n_entries
+  FROM slots),
+counted AS (SELECT *, max(part) OVER (PARTITION BY {keys}) + 1 AS n_parts FROM numbered),
+parts AS (
+  SELECT {keys}, part, n_parts, n_entries,
+         CASE WHEN part = 0 THEN {head} ELSE '' END || string_agg(html, '' ORDER BY {order})
+           || CASE WHEN part = n_parts - 1 THEN {foot} ELSE '' END AS html,
+         CASE WHEN part = 0 THEN {plain_head} ELSE '' END || string_agg(plain, '' ORDER BY {order}) AS plain
+  FROM bucketed JOIN (SELECT {by}, part, n_parts, n_entries FROM counted) USING ({by})
+  GROUP BY {keys}, part, n_parts, n_entries)"""
+
+
+DIGEST_SQL = """
+SELECT DATE '2026-12-06' AS run_date, {pos} AS config_pos, site, '{kind}' AS kind, part, n_parts,
+       {subject} AS subject, n_entries, md5(html) AS html_md5, length(html) AS html_len, md5(plain) AS plain_md5
+FROM parts"""
+
+
+def matches_parts(per_part: int) -> str:
+    return parts_sql("rendered", "rule_pos, site", "pos", per_part, _HEAD, _FOOT)
+
+
 @register(
     "digest_concat",
-    MARKED_MATCHES + "," + rendered_sql("matched") + f"""
-SELECT rule_pos, site, count(*) AS n_entries,
-       md5({_HEAD} || string_agg(html, '' ORDER BY pos) || {_FOOT}) AS html_md5,
-       length({_HEAD} || string_agg(html, '' ORDER BY pos) || {_FOOT}) AS html_len,
-       md5(string_agg(plain, '' ORDER BY pos)) AS plain_md5
-FROM rendered GROUP BY rule_pos, site""",
+    MARKED_MATCHES + "," + rendered_sql("matched") + matches_parts(8) + """
+SELECT rule_pos, site, part, n_parts, n_entries, md5(html) AS html_md5, length(html) AS html_len,
+       md5(plain) AS plain_md5
+FROM parts""",
 )
 def concat_query(spark, sf_dir):
-    """Digests cut into parts of about eight entries and put together again."""
+    """Digests cut into parts of eight entries and more."""
     found = mt.matched_entries(v.marked(spark, sf_dir), v.watch(spark))
     found = durable(found.select(*RULE_COLUMNS, "pos", "title", "author", "summary", "link"), "matches")
     keys = ["rule_pos", "site"]
@@ -298,26 +339,14 @@ def concat_query(spark, sf_dir):
         F.lit(fmt.MATCH_FOOTER),
         per_part=8,
     )
-    return digest_columns(join_parts(parts, keys)).drop("part", "n_parts")
-
-
-DIGEST_SQL = """
-SELECT DATE '2026-12-06' AS run_date, {pos} AS config_pos, site, '{kind}' AS kind, 0::BIGINT AS part,
-       1::BIGINT AS n_parts, {subject} AS subject, count(*) AS n_entries,
-       md5({head} || string_agg(html, '' ORDER BY {order}) || {foot}) AS html_md5,
-       length({head} || string_agg(html, '' ORDER BY {order}) || {foot}) AS html_len,
-       md5({plain_head} || string_agg(plain, '' ORDER BY {order})) AS plain_md5
-FROM rendered GROUP BY {group}"""
+    return digest_columns(parts)
 
 
 @register(
     "daily_digest",
-    MARKED_MATCHES + "," + rendered_sql("matched") + DIGEST_SQL.format(
-        pos="rule_pos", kind="daily", subject="'Filtered Arxiv ' || site", head=_HEAD, foot=_FOOT,
-        order="pos", plain_head="''", group="rule_pos, site",
+    MARKED_MATCHES + "," + rendered_sql("matched") + matches_parts(PER_PART) + DIGEST_SQL.format(
+        pos="rule_pos", kind="daily", subject="'Filtered Arxiv ' || site"
     ),
 )
 def daily(spark, sf_dir):
-    digests = daily_digest(v.marked(spark, sf_dir), v.watch(spark), v.RUN_DATE)
-    whole = join_parts(digests, ["run_date", "config_pos", "site", "kind"])
-    return digest_columns(whole)
+    return digest_columns(daily_digest(v.marked(spark, sf_dir), v.watch(spark), v.RUN_DATE))

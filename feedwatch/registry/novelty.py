@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedwatch.functions import formats as fmt
-from feedwatch.functions import text as tx
 from feedwatch.operators import novelty as nv
 from feedwatch.plans.journal import entry_defaults as defaults
 from feedwatch.plans.journal import new_entries_digest, render_journal
-from feedwatch.operators.digest import join_parts
 from feedwatch.registry import register
 from feedwatch.registry import views as v
-from feedwatch.registry.matching import DIGEST_SQL, digest_columns
+from feedwatch.registry.matching import DIGEST_SQL, digest_columns, parts_sql
 
 WITH = "WITH" + v.SNAPSHOT
 FRESH = WITH + ", fresh AS (SELECT * FROM snapshot WHERE link NOT IN (SELECT link FROM stored))"
@@ -100,14 +98,15 @@ def journal_items(spark, sf_dir):
 
 @register(
     "new_entries_digest",
-    FRESH + rendered_sql("fresh") + DIGEST_SQL.format(
-        pos="0::BIGINT", kind="journal", subject=v.sql_text(fmt.JOURNAL_SUBJECT),
-        head=v.sql_text(fmt.JOURNAL_HEADER), foot=v.sql_text(fmt.JOURNAL_FOOTER), order="pos",
-        plain_head=v.sql_text(fmt.JOURNAL_PLAIN_HEADER), group="site",
+    FRESH + rendered_sql("fresh") + parts_sql(
+        "rendered", "site", "pos", 32, v.sql_text(fmt.JOURNAL_HEADER), v.sql_text(fmt.JOURNAL_FOOTER),
+        v.sql_text(fmt.JOURNAL_PLAIN_HEADER),
+    ) + DIGEST_SQL.format(
+        pos="0::BIGINT", kind="journal", subject=v.sql_text(fmt.JOURNAL_SUBJECT)
     ),
 )
 def journal(spark, sf_dir):
     digests = new_entries_digest(
         v.snapshot(spark, sf_dir), v.stored(spark, sf_dir), v.RUN_DATE, per_part=32
     )
-    return digest_columns(join_parts(digests, ["run_date", "config_pos", "site", "kind"]))
+    return digest_columns(digests)

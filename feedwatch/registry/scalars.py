@@ -46,7 +46,7 @@ def _html_sql() -> str:
     for pattern in hm.MARKUP_PATTERNS:
         text = f"regexp_replace({text}, {v.sql_text(pattern)}, '', 'g')"
     for entity, char in hm.ENTITIES:
-        text = f"replace({text}, {v.sql_text(entity)}, {v.sql_text(char)})"
+        text = f"regexp_replace({text}, {v.sql_text(entity)}, {v.sql_text(char)}, 'g')"
     text = f"replace({text}, chr(10), ' ')"
     return f"SELECT page_id, md5({text}) AS text_md5, length({text}) AS n_chars FROM pages"
 

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from feedwatch.functions import formats as fmt
 from feedwatch.functions import text as tx
 from feedwatch.operators import match as mt
-from feedwatch.operators.digest import join_parts
+from feedwatch.operators.digest import PER_PART
 from feedwatch.plans import weekly as plan
 from feedwatch.registry import register
 from feedwatch.registry import views as v
-from feedwatch.registry.matching import digest_columns
+from feedwatch.registry.matching import digest_columns, parts_sql
 from feedwatch.session import fresh_path
 from feedwatch.sources.state import MatchState, SeenLinks, read_digests, write_digests
 from feedwatch.streaming import flows
@@ -140,12 +140,10 @@ def weekly_matches(spark, sf_dir):
 
 # ---------------------------------------------------------------- digests
 
-_LINE = "replace(replace(replace({0}, 'click', {1}), 'Click', {2}), 'Click', {2})"
-
-
-def _rendered_week(where: str) -> str:
+def _rendered_week(where: str, per_part: int = PER_PART) -> str:
     words = "['click', 'error']"
-    who = "list_transform(string_split(author, ', '), lambda n: CASE WHEN instr(n, 'U' || rule_pos) >= 1 THEN '<b>' || n || '</b>' ELSE n END)"
+    who = """list_transform(string_split(author, ', '), lambda n:
+      CASE WHEN instr(n, 'U' || rule_pos) >= 1 THEN '<b>' || n || '</b>' ELSE n END)"""
     return f""",
 week_rows AS (SELECT * FROM saved WHERE {where}),
 rendered AS (
@@ -156,44 +154,37 @@ rendered AS (
     || '</p><br><br></div>' AS html,
     title || chr(10) || ' ' || chr(9) || author || chr(10) || ' ' || chr(10) || {v.body_sql("summary")}
     || chr(10) || ' ' || chr(10) AS plain
-  FROM week_rows),
-found AS (
-  SELECT site, kind, count(*) AS n_entries,
-         {v.sql_text(fmt.MATCH_HEADER)} || string_agg(html, '' ORDER BY append_date, pos)
-           || {v.sql_text(fmt.MATCH_FOOTER)} AS html,
-         string_agg(plain, '' ORDER BY append_date, pos) AS plain
-  FROM rendered GROUP BY site, kind),
-slots AS (SELECT 'u' || n AS site, n AS config_pos, kind
-          FROM range(0, 6) r(n), (VALUES ('author'), ('keyword')) k(kind)),
+  FROM week_rows)""" + parts_sql(
+        "rendered", "site, kind", "append_date, rule_pos, pos", per_part,
+        v.sql_text(fmt.MATCH_HEADER), v.sql_text(fmt.MATCH_FOOTER),
+    ) + """,
+slots_out AS (SELECT 'u' || n AS site, n AS config_pos, kind
+              FROM range(0, 6) r(n), (VALUES ('author'), ('keyword')) k(kind)),
 labelled_slots AS (
-  SELECT s.*, f.html, f.plain, coalesce(f.n_entries, 0) AS n_entries,
+  SELECT s.*, f.html, f.plain, f.part, f.n_parts, coalesce(f.n_entries, 0) AS n_entries,
          CASE WHEN s.kind = 'author' THEN 'No author matches found for ' ELSE 'No keyword matches found for ' END
            || s.site || ' arxiv topic' AS fallback,
          CASE WHEN s.kind = 'author' THEN 'Filtered author matches for ' ELSE 'Filtered matches for ' END
            || s.site AS hit
-  FROM slots s LEFT JOIN found f USING (site, kind)),
+  FROM slots_out s LEFT JOIN parts f USING (site, kind)),
 digests AS (
   SELECT config_pos, site, kind, n_entries, CASE WHEN html IS NULL THEN fallback ELSE hit END AS subject,
+         coalesce(part, 0) AS part, coalesce(n_parts, 1) AS n_parts,
          coalesce(html, '<b>' || fallback || '</b>') AS html, coalesce(plain, fallback) AS plain
   FROM labelled_slots)"""
 
 
 _DIGEST_ROW = """
-SELECT DATE '2024-01-14' AS run_date, config_pos, site, kind, subject, n_entries, md5(html) AS html_md5,
-       length(html) AS html_len, md5(plain) AS plain_md5
+SELECT DATE '2024-01-14' AS run_date, config_pos, site, kind, part, n_parts, subject, n_entries,
+       md5(html) AS html_md5, length(html) AS html_len, md5(plain) AS plain_md5
 FROM digests"""
 
 
-def _whole(digests):
-    whole = join_parts(digests, ["run_date", "config_pos", "site", "kind"])
-    return digest_columns(whole).drop("part", "n_parts")
-
-
-@register("weekly_digest", SAVED + _rendered_week("TRUE") + _DIGEST_ROW)
+@register("weekly_digest", SAVED + _rendered_week("TRUE", 300) + _DIGEST_ROW)
 def weekly_digest(spark, sf_dir):
-    """Digests of everything saved, cut into small parts and joined; one site has no matches."""
-    digests = plan.weekly_digest(v.saved(spark, sf_dir), v.saved_watch(spark), FLUSH, per_part=100)
-    return _whole(digests)
+    """Digests of everything saved, in parts of 300 entries and more; one site has no matches."""
+    digests = plan.weekly_digest(v.saved(spark, sf_dir), v.saved_watch(spark), FLUSH, per_part=300)
+    return digest_columns(digests)
 
 
 @register("weekly_flush", SAVED + _rendered_week(WEEK) + _DIGEST_ROW)
@@ -205,13 +196,13 @@ def weekly_flush(spark, sf_dir):
     state.clear(FLUSH - dt.timedelta(days=7))
     write_digests(plan.weekly_digest(state.pending(FLUSH), watch, FLUSH), f"{base}/digests")
     state.clear(FLUSH)
-    return _whole(read_digests(spark, f"{base}/digests"))
+    return digest_columns(read_digests(spark, f"{base}/digests"))
 
 
 @register(
     "sites_left_outer_digest",
     SAVED + _rendered_week("kind = 'author'") + """
-SELECT config_pos, site, kind, subject, n_entries FROM digests""",
+SELECT config_pos, site, kind, subject, n_entries FROM digests WHERE part = 0""",
 )
 def sites_left_outer_digest(spark, sf_dir):
     """Only author matches: every keyword digest is the fallback."""
@@ -222,7 +213,7 @@ def sites_left_outer_digest(spark, sf_dir):
 
 @register(
     "digest_sink",
-    SAVED + _rendered_week("TRUE") + "SELECT site, kind, subject, md5(html) AS html_md5 FROM digests",
+    SAVED + _rendered_week("TRUE") + "SELECT site, kind, part, subject, md5(html) AS html_md5 FROM digests",
 )
 def digest_sink(spark, sf_dir):
     """A repeated write replaces its own day and nothing else."""
@@ -230,8 +221,8 @@ def digest_sink(spark, sf_dir):
     digests = plan.weekly_digest(v.saved(spark, sf_dir), v.saved_watch(spark), FLUSH)
     write_digests(digests, path)
     write_digests(digests, path)
-    whole = join_parts(read_digests(spark, path), ["run_date", "config_pos", "site", "kind"])
-    return whole.select("site", "kind", "subject", v.short("html").alias("html_md5"))
+    kept = read_digests(spark, path)
+    return kept.select("site", "kind", "part", "subject", v.short("html").alias("html_md5"))
 
 
 # ---------------------------------------------------------------- streams

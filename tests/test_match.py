@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from feedwatch import schemas
 from feedwatch.operators import joins
+from feedwatch.operators import many_terms as mt_many
 from feedwatch.operators import match as mt
 
 
@@ -81,6 +82,8 @@ def test_against_brute_force(spark, seed):
             expected[rule, pos] = brute_label(author, title, summary, authors, words)
     found = {(r.rule_pos, r.pos): r.match for r in mt.classify_entries(entries, watch).collect()}
     assert found == expected
+    by_automata = mt_many.classify_many_terms(entries, watch).collect()
+    assert {(r.rule_pos, r.pos): r.match for r in by_automata} == expected
     matched = {k: v for k, v in expected.items() if v}
     assert {(r.rule_pos, r.pos): r.match for r in mt.matched_entries(entries, watch).collect()} == matched
     hits = mt.any_term(mt.term_hits(entries, watch), ["rule_pos", "pos"])
