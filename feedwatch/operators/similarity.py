@@ -82,14 +82,12 @@ def text_reader(factory: EncoderFactory) -> Reader:
 class SiteTargets:
     """The targets of one site as matrices, addressed by ``target_pos``."""
 
-    def __init__(self, positions: list[int], titles: list, sentences: list) -> None:
+    def __init__(self, positions: np.ndarray, titles: np.ndarray, sentences: list[np.ndarray]) -> None:
         self.positions = positions
-        self.titles = np.asarray(titles, dtype=np.float64)
-        self.title_norms = _norms(self.titles)
+        self.titles, self.title_norms = titles, _norms(titles)
         self.sentences = {
-            p: np.asarray(s, dtype=np.float64) for p, s in zip(positions, sentences, strict=True)
+            int(p): (m, _norms(m)) for p, m in zip(positions, sentences, strict=True)
         }
-        self.sentence_norms = {p: _norms(m) for p, m in self.sentences.items() if len(m)}
 
 
 def _norms(matrix: np.ndarray) -> np.ndarray:
@@ -115,18 +113,18 @@ def target_bytes(targets: DataFrame) -> int:
     return 8 * (targets.agg(F.sum(doubles.cast("bigint"))).first()[0] or 0)
 
 
-def _book(rows) -> dict[str, SiteTargets]:
-    grouped: dict[str, list] = {}
-    for row in rows:
-        grouped.setdefault(row["site"], []).append(row)
-    return {
-        site: SiteTargets(
-            [r["target_pos"] for r in found],
-            [r["title_vec"] for r in found],
-            [r["sent_vecs"] for r in found],
-        )
-        for site, found in grouped.items()
-    }
+def _book(targets: pa.Table) -> dict[str, SiteTargets]:
+    """Targets by site, straight from Arrow buffers."""
+    columns = [_one_chunk(targets, n) for n in ("target_pos", "title_vec", "sent_vecs")]
+    positions = columns[0].to_numpy(zero_copy_only=False)
+    titles = _matrix(columns[1])
+    offsets, vectors = read_vector_lists(columns[2])
+    book = {}
+    for site, rows in _site_rows(_one_chunk(targets, "site")):
+        rows = rows[np.argsort(positions[rows])]
+        sentences = [vectors[offsets[r] : offsets[r + 1]] for r in rows]
+        book[site] = SiteTargets(positions[rows], titles[rows], sentences)
+    return book
 
 
 # ---------------------------------------------------------------- kernels (one Arrow batch each)
@@ -168,7 +166,7 @@ def _title_hits(book, sites: pa.Array, titles: np.ndarray, least: float | None)
         sims = _cosines(block, _norms(block), known.titles, known.title_norms)
         keep = np.ones_like(sims, dtype=bool) if least is None else sims > least
         row, target = np.nonzero(keep)
-        parts.append((rows[row], np.asarray(known.positions)[target], sims[row, target]))
+        parts.append((rows[row], known.positions[target], sims[row, target]))
     rows, targets, sims = _by_row(parts, 3)
     return _list_array(
         rows,
@@ -183,18 +181,16 @@ def _candidates(book, sites: pa.Array, hits: pa.Array):
     flat = hits.flatten()
     position = flat.field("target_pos").to_numpy(zero_copy_only=False)
     title = flat.field("title_similarity").to_numpy(zero_copy_only=False)
-    for site, rows in _site_rows(sites):
-        known = book.get(site)
-        if known is None:
-            continue
-        here = np.zeros(len(sites), dtype=bool)
-        here[rows] = True
-        mine = here[owner] if len(owner) else np.zeros(0, dtype=bool)
-        for p in known.positions:
-            chosen = np.flatnonzero(mine & (position == p))
-            if len(chosen):
-                matrix = known.sentences[p]
-                yield matrix, known.sentence_norms.get(p), p, owner[chosen], title[chosen]
+    coded = sites.dictionary_encode()
+    site_of = coded.indices.to_numpy(zero_copy_only=False)[owner]
+    names = coded.dictionary.to_pylist()
+    order = np.lexsort((owner, position, site_of))
+    changes = np.diff(site_of[order]).astype(bool) | np.diff(position[order]).astype(bool)
+    for chosen in np.split(order, np.flatnonzero(changes) + 1):
+        if len(chosen):
+            p = int(position[chosen[0]])
+            matrix, norms = book[names[site_of[chosen[0]]]].sentences[p]
+            yield matrix, norms, p, owner[chosen], title[chosen]
 
 
 def _gather(offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -284,8 +280,8 @@ def broadcast_targets(targets: DataFrame, max_bytes: int = MAX_TARGET_BYTES):
     """Broadcast target matrices by site, or None when they are over the bound."""
     if target_bytes(targets) > max_bytes:
         return None
-    rows = targets.select("site", "target_pos", "title_vec", "sent_vecs").collect()
-    return targets.sparkSession.sparkContext.broadcast(_book(rows))
+    table = targets.select("site", "target_pos", "title_vec", "sent_vecs").toArrow()
+    return targets.sparkSession.sparkContext.broadcast(_book(table))
 
 
 def title_hits(
@@ -428,7 +424,7 @@ def _pairs_by_blocks(
         block = block.combine_chunks()
         read_title = read_vectors if encoder is None else text_reader(encoder)
         read_sents = read_vector_lists if encoder is None else text_list_reader(encoder)
-        book = _book(known.select(["site", "target_pos", "title_vec", "sent_vecs"]).to_pylist())
+        book = _book(known)
         columns = {n: _one_chunk(block, n) for n in {*names}}
         hits = _title_hits(book, columns["site"], read_title(columns[title])[1], least)
         offsets, vectors = read_sents(columns[sentences])

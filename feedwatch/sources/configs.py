@@ -7,24 +7,26 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from feedwatch import schemas
 from feedwatch.functions import text as tx
-from feedwatch.sources.feeds import ROW_BITS
 
 YAML_ROOT = "arxiv_sites"  # fixed value: key of the rule list
 
 
-def _rules(raw: DataFrame, pos) -> DataFrame:
+def _rules(raw: DataFrame) -> DataFrame:
+    """Rules numbered in file order, uniquely over all files."""
     return raw.select(
-        pos.cast("bigint").alias("rule_pos"), F.col("arxivSite").alias("site"), "authors", "words"
+        F.monotonically_increasing_id().alias("rule_pos"),
+        F.col("arxivSite").alias("site"),
+        "authors",
+        "words",
     )
 
 
 def read_watchlist_json(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema(schemas.WATCH_RULE).option("multiLine", True).json(path)
-    return _rules(raw, F.monotonically_increasing_id().bitwiseAND(F.lit(ROW_BITS)))
+    return _rules(raw)
 
 
 def _load_yaml(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -36,7 +38,6 @@ def _load_yaml(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rules = found.get(YAML_ROOT) or []
             yield pd.DataFrame(
                 {
-                    "rule_pos": range(len(rules)),
                     "arxivSite": [r["arxivSite"] for r in rules],
                     "authors": [r.get("authors") for r in rules],
                     "words": [r.get("words") for r in rules],
@@ -46,8 +47,7 @@ def _load_yaml(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_watchlist_yaml(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.text(path, wholetext=True)
-    numbered = T.StructType([T.StructField("rule_pos", T.LongType()), *schemas.WATCH_RULE.fields])
-    return _rules(files.mapInPandas(_load_yaml, numbered), F.col("rule_pos"))
+    return _rules(files.mapInPandas(_load_yaml, schemas.WATCH_RULE))
 
 
 def read_watchlist(spark: SparkSession, path: str) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 from feedwatch import schemas
 
 ITEM_OPTIONS = {"rowTag": "item", "ignoreSurroundingSpaces": "false"}
-ROW_BITS = (1 << 33) - 1  # low bits of Spark's increasing id: the row's number in its task
 
 
 def _item_schema(landed_pos: bool) -> T.StructType:
@@ -18,11 +17,6 @@ def _item_schema(landed_pos: bool) -> T.StructType:
     return T.StructType(fields + [T.StructField("pos", T.LongType())] * landed_pos)
 
 
-def _file_order() -> Column:
-    """An item's place among the items of its file: a file is read by one task, in order."""
-    return F.monotonically_increasing_id().bitwiseAND(F.lit(ROW_BITS))
-
-
 def _site() -> Column:
     """Site of a landed item: the partition folder, or the name of a file ``<site>.xml``."""
     name = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+?)(?:\.xml)?$", 1)
@@ -37,10 +31,16 @@ def _entries(items: DataFrame, site: Column | None) -> DataFrame:
 def read_feed(
     spark: SparkSession, path: str, site: Column | None = None, landed_pos: bool = False
 ) -> DataFrame:
-    """Entries of landed XML feeds.  ``landed_pos``: the landing job stored each item's position."""
+    """Entries of landed XML feeds.
+
+    ``landed_pos``: the landing job stored each item's position.  Otherwise a file's items are
+    numbered in file order (one task reads a whole file), with numbers no other file has.
+    """
     reader = spark.read.schema(_item_schema(landed_pos)).format("xml").options(**ITEM_OPTIONS)
     items = reader.load(path)
-    return _entries(items if landed_pos else items.withColumn("pos", _file_order()), site)
+    if not landed_pos:
+        items = items.withColumn("pos", F.monotonically_increasing_id())
+    return _entries(items, site)
 
 
 def read_site_feed(spark: SparkSession, root: str, **kw) -> DataFrame:
