@@ -17,15 +17,15 @@ from feedwatch.functions.text import StrCol, as_col, newline_to_space
 
 HIDDEN = ("script", "style", "template")
 
-# Regular expressions of the SQL mode, applied in this order (RE2- and Java-safe).
-MARKUP_PATTERNS = [
-    r"(?s)<!--.*?-->",
-    r"(?is)<script\b[^>]*>.*?</script\s*>",
-    r"(?is)<style\b[^>]*>.*?</style\s*>",
-    r"(?is)<template\b[^>]*>.*?</template\s*>",
-    r"(?s)<[!?][^>]*>",
-    r"(?s)</?[a-zA-Z][^>]*>",
-]
+# Fixed value: markup of the SQL mode, as one expression and so one pass (RE2- and Java-safe).
+MARKUP_PATTERN = (
+    r"(?is)<!--.*?-->"
+    r"|<script\b[^>]*>.*?</script\s*>"
+    r"|<style\b[^>]*>.*?</style\s*>"
+    r"|<template\b[^>]*>.*?</template\s*>"
+    r"|<[!?][^>]*>"
+    r"|</?[a-z][^>]*>"
+)
 # Entities the SQL mode decodes, as patterns (some are valid without the semicolon and
 # start no longer name); the ampersand has to come last.
 ENTITIES = [
@@ -81,9 +81,10 @@ def html_to_text(html: StrCol) -> Column:
 
 def html_to_text_sql(html: StrCol) -> Column:
     """JVM mode: patterns and the common entities; equal to the exact mode on well-formed pages."""
-    text = as_col(html)
-    for pattern in MARKUP_PATTERNS:
-        text = F.regexp_replace(text, pattern, "")
+    text = F.regexp_replace(as_col(html), MARKUP_PATTERN, "")
     for entity, char in ENTITIES:
-        text = F.regexp_replace(text, entity, char)
+        if entity.endswith("?"):
+            text = F.regexp_replace(text, entity, char)
+        else:
+            text = F.replace(text, F.lit(entity), F.lit(char))
     return newline_to_space(text)

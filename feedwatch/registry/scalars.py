@@ -42,9 +42,7 @@ def newline_to_space(spark, sf_dir):
 
 
 def _html_sql() -> str:
-    text = "html"
-    for pattern in hm.MARKUP_PATTERNS:
-        text = f"regexp_replace({text}, {v.sql_text(pattern)}, '', 'g')"
+    text = f"regexp_replace(html, {v.sql_text(hm.MARKUP_PATTERN)}, '', 'g')"
     for entity, char in hm.ENTITIES:
         text = f"regexp_replace({text}, {v.sql_text(entity)}, {v.sql_text(char)}, 'g')"
     text = f"replace({text}, chr(10), ' ')"
