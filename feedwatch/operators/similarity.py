@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from feedwatch.functions import text as tx
 from feedwatch.functions.vectors import EncoderFactory, encode_in_batches, nested_offsets
 
-MAX_TARGET_BYTES = 256 << 20
+MAX_TARGET_BYTES = 64 << 20
 ENCODER_BATCH = 256
 HIT = "array<struct<target_pos:int,title_similarity:double>>"
 SCORED = "array<struct<target_pos:int,title_similarity:double,top_k_score:double>>"
@@ -400,13 +400,13 @@ def _pairs_by_blocks(
 ) -> DataFrame:
     """The way for more targets than can be broadcast: bounded blocks meet through a shuffle."""
     keys = ["site", "entry_block", "target_block"]
-    left = entries.withColumn("entry_block", F.floor(F.col("pos") / entries_per_block))
+    left = entries.withColumn("entry_block", F.expr(f"pos div {entries_per_block}"))
     right = targets.select(
         "site",
         "target_pos",
         "title_vec",
         "sent_vecs",
-        F.floor(F.col("target_pos") / targets_per_block).alias("target_block"),
+        F.expr(f"target_pos div {targets_per_block}").alias("target_block"),
     )
     grid = (
         left.select("site", "entry_block")

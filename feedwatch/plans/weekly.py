@@ -60,6 +60,13 @@ def with_fallbacks(slots: DataFrame, parts: DataFrame) -> DataFrame:
     )
 
 
+def first_copies(saved: DataFrame) -> DataFrame:
+    """Optional: only the earliest copy of an entry per site (by default every copy is sent)."""
+    age = F.struct("append_date", "rule_pos", "entry.pos")
+    row = F.min_by(F.struct(*saved.columns), age).alias("row")
+    return saved.groupBy("site", "entry.id").agg(row).select("row.*")
+
+
 def weekly_digest(
     saved: DataFrame, watch: DataFrame, run_date: dt.date, per_part: int = PER_PART
 ) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from tests.oracle import compare, connect
 
-SF = "/root/testdata/sf0.01"
+SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, SQL = queries(), oracle_sql()
 
 

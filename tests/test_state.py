@@ -158,3 +158,28 @@ def test_pruned_state_reads(spark):
     plan = state.read("cs", MON)._jdf.queryExecution().executedPlan().toString()
     filters = plan[plan.index("PartitionFilters") :]
     assert "site" in filters and "week" in filters
+
+
+def test_first_copies(spark):
+    watch = make_watch(spark, [("cs", [], ["rtos"])])
+    rows = make_entries(spark, [("cs", "An RTOS", "B", "s"), ("cs", "The RTOS", "B", "s")])
+    saved = wk.weekly_matches(rows, watch, SUN).unionAll(wk.weekly_matches(rows, watch, MON))
+    assert saved.count() == 4
+    kept = wk.first_copies(saved)
+    assert kept.columns == saved.columns
+    assert {(r.entry.id, r.append_date) for r in kept.collect()} == {("0", MON), ("1", MON)}
+
+
+def test_first_seen_is_cumulative(spark):
+    base = fresh_path(spark, "first-seen")
+    for day, links in enumerate((["a", "b"], ["b", "c"], ["a"])):
+        stamped = snapshot(spark, links).withColumn("snapshot_ts", F.lit(dt.datetime(2026, 12, 1 + day)))
+        stamped.coalesce(1).write.mode("append").parquet(f"{base}/landed")
+    kinds = spark.read.parquet(f"{base}/landed").schema
+    stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(f"{base}/landed")
+    query = (
+        flows.first_seen(stream).writeStream.format("parquet").option("checkpointLocation", f"{base}/cp")
+        .trigger(availableNow=True).start(f"{base}/out")
+    )
+    query.awaitTermination()
+    assert sorted(r.link for r in spark.read.parquet(f"{base}/out").collect()) == ["a", "b", "c"]
