@@ -125,6 +125,11 @@ def hashed_vector(sentence: StrCol, dim: int = HASH_DIM) -> Column:
     )[0]
 
 
+def run_once(udf):
+    """Keep the optimizer from copying a Python call into a pushed-down filter (it would run twice)."""
+    return udf.asNondeterministic()
+
+
 def nested_offsets(array: pa.Array) -> np.ndarray:
     """Row boundaries of a list column, starting at 0 even for a sliced batch; null rows are empty."""
     sizes = np.array([0 if n is None else n for n in array.value_lengths().to_pylist()], dtype=np.int64)
@@ -164,4 +169,4 @@ def encode_sentences(
             )
             yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inner).cast(kind)
 
-    return encoded(sentences)
+    return run_once(encoded)(sentences)

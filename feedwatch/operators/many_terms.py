@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedwatch.functions.vectors import run_once
 from feedwatch.operators import match as mt
 from feedwatch.operators.joins import text_bytes
 
@@ -78,5 +79,5 @@ def classify_many_terms(
             yield pa.array(labels, pa.string())
 
     joined = mt.entries_with_rules(entries, watch)
-    call = label.asNondeterministic()("rule_pos", "author", "title", "summary")
+    call = run_once(label)("rule_pos", "author", "title", "summary")
     return joined.withColumn("match", call)

@@ -18,9 +18,13 @@ def _ref(name: str) -> Column:
 
 
 def parse_pages(pages: DataFrame, xml: str = "xml") -> DataFrame:
-    """Parse each page once; adds ``page`` (error, records, token) to the page's other columns."""
-    parsed = F.from_xml(F.col(xml), schemas.RECORD_PAGE, XML_OPTIONS)
-    return pages.withColumn("page", parsed).drop(xml)
+    """Parse each page once; adds ``page`` (error, records, token) to the page's other columns.
+
+    The parsed page is exploded out of a one-element array.  A plain projection would be copied into
+    every filter on the page's fields, and each copy would parse the XML again.
+    """
+    parsed = F.array(F.from_xml(F.col(xml), schemas.RECORD_PAGE, XML_OPTIONS))
+    return pages.withColumn("page", F.explode(parsed)).drop(xml)
 
 
 def page_errors(parsed: DataFrame) -> DataFrame:

@@ -18,7 +18,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedwatch.functions import text as tx
-from feedwatch.functions.vectors import EncoderFactory, encode_in_batches, nested_offsets
+from feedwatch.functions.vectors import (
+    EncoderFactory,
+    encode_in_batches,
+    nested_offsets,
+    run_once,
+)
 
 MAX_TARGET_BYTES = 64 << 20
 ENCODER_BATCH = 256
@@ -271,11 +276,6 @@ def is_similar_paper(title: Column, score: Column, settings: Settings) -> Column
 # ---------------------------------------------------------------- operators
 
 
-def _fixed(udf):
-    """Keep the optimizer from copying a Python call into a pushed-down filter (it would run twice)."""
-    return udf.asNondeterministic()
-
-
 def broadcast_targets(targets: DataFrame, max_bytes: int = MAX_TARGET_BYTES):
     """Broadcast target matrices by site, or None when they are over the bound."""
     if target_bytes(targets) > max_bytes:
@@ -302,7 +302,7 @@ def title_hits(
         for sites, titles in batches:
             yield _title_hits(book.value, sites, read(titles)[1], least)
 
-    found = entries.withColumn("hits", _fixed(hits)("site", title))
+    found = entries.withColumn("hits", run_once(hits)("site", title))
     return found.where(F.size("hits") > 0)
 
 
@@ -322,7 +322,7 @@ def sentence_scores(
             offsets, vectors = read(column)
             yield _sentence_scores(book.value, sites, hits, offsets, vectors, num_similar)
 
-    return candidates.withColumn("scored", _fixed(scored)("site", "hits", sentences))
+    return candidates.withColumn("scored", run_once(scored)("site", "hits", sentences))
 
 
 def best_sentences(
@@ -340,7 +340,7 @@ def best_sentences(
             offsets, vectors = read(column)
             yield _best_sentences(book.value, sites, hits, offsets, vectors)
 
-    rows = candidates.withColumn("best", F.explode(_fixed(best)("site", "hits", sentences)))
+    rows = candidates.withColumn("best", F.explode(run_once(best)("site", "hits", sentences)))
     return rows.select(*candidates.columns, "best.*")
 
 
@@ -481,7 +481,7 @@ def top_k_score(kept: DataFrame, keys: list[str]) -> DataFrame:
     return kept.groupBy(*keys).agg(F.avg("similarity").alias("top_k_score"))
 
 
-def top_k_score_fixed(ranked: DataFrame, keys: list[str], num_similar: int) -> DataFrame:
+def top_k_scorerun_once(ranked: DataFrame, keys: list[str], num_similar: int) -> DataFrame:
     """Evaluation variant: sum of up to ``num_similar`` scores over the constant ``num_similar``."""
     kept = ranked.where(F.col("rank") <= num_similar)
     return kept.groupBy(*keys).agg((F.sum("similarity") / num_similar).alias("top_k_score"))
@@ -531,7 +531,7 @@ def triplet_scores(triplets: DataFrame, num_similar: int = 4) -> DataFrame:
 
     arguments = [f"{r}_title_vec" for r in roles] + [f"{r}_sent_vecs" for r in roles]
     rest = [c for c in triplets.columns if c not in arguments]
-    scored = triplets.withColumn("s", _fixed(scores)(*arguments)).select(*rest, "s.*")
+    scored = triplets.withColumn("s", run_once(scores)(*arguments)).select(*rest, "s.*")
     return scored.withColumn("margin", F.col("score_positive") - F.col("score_negative"))
 
 

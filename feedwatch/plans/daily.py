@@ -12,11 +12,9 @@ from feedwatch.functions import formats as fmt
 from feedwatch.functions import text as tx
 from feedwatch.operators import match as mt
 from feedwatch.operators.digest import PER_PART, digest_concat
+from feedwatch.operators.joins import join_small
 from feedwatch.session import durable
 
-RULE_COLUMNS = ["rule_pos", "site", "authors", "words", "forms", "match"]
-
-
 def _text(name: str):
     """A missing field renders as empty text; a null would silently drop the entry."""
     return F.coalesce(F.col(name), F.lit(""))
@@ -39,6 +37,12 @@ def render_matches(matched: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
+def with_rules(matched: DataFrame, watch: DataFrame) -> DataFrame:
+    """Rule columns again, for rendering.  Matches are stored and moved without these long lists."""
+    rules = mt.prepare_watchlist(watch)
+    return join_small(matched, rules, ["rule_pos", "site"], salt_by="pos")
+
+
 def digest_table(parts: DataFrame, run_date: dt.date) -> DataFrame:
     return parts.withColumn("run_date", F.lit(run_date).cast("date")).select(
         *schemas.DIGEST.fieldNames()
@@ -58,13 +62,13 @@ def daily_digest(
     the emptiness test read the much smaller match table.
     """
     matched = mt.matched_entries(entries, watch, position_zero_matches)
-    matched = durable(matched.select(*RULE_COLUMNS, *schemas.ENTRY_FIELDS), "matches")
     keys = ["rule_pos", "site"]
+    matched = durable(matched.select(*keys, "match", *schemas.ENTRY_FIELDS), "matches")
     parts = digest_concat(
         matched,
         keys,
         ["pos"],
-        render_matches,
+        lambda placed, keep: render_matches(with_rules(placed, watch), keep),
         F.lit(fmt.MATCH_HEADER),
         F.lit(fmt.MATCH_FOOTER),
         per_part=per_part,

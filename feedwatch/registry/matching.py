@@ -9,7 +9,7 @@ from feedwatch.functions import text as tx
 from feedwatch.operators import match as mt
 from feedwatch.operators.many_terms import classify_many_terms
 from feedwatch.operators.digest import PER_PART, digest_concat
-from feedwatch.plans.daily import RULE_COLUMNS, daily_digest, nothing_found, render_matches
+from feedwatch.plans.daily import daily_digest, nothing_found, render_matches, with_rules
 from feedwatch.registry import register
 from feedwatch.registry import views as v
 from feedwatch.session import durable
@@ -328,13 +328,15 @@ FROM parts""",
 def concat_query(spark, sf_dir):
     """Digests cut into parts of eight entries and more."""
     found = mt.matched_entries(v.marked(spark, sf_dir), v.watch(spark))
-    found = durable(found.select(*RULE_COLUMNS, "pos", "title", "author", "summary", "link"), "matches")
     keys = ["rule_pos", "site"]
+    found = durable(
+        found.select(*keys, "match", "pos", "title", "author", "summary", "link"), "matches"
+    )
     parts = digest_concat(
         found,
         keys,
         ["pos"],
-        render_matches,
+        lambda placed, keep: render_matches(with_rules(placed, v.watch(spark)), keep),
         F.lit(fmt.MATCH_HEADER),
         F.lit(fmt.MATCH_FOOTER),
         per_part=8,
