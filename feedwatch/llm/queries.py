@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedwatch.llm import host_rules, mixing, simhash
+from feedwatch.llm import host_rules, mixing, pieces, simhash, token_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def public_file(name: str) -> str:
+    """A vocabulary file of the box; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = token_store.write_store(_table(spark, sf_dir, "documents"), public_file("byte_bpe_50k.json"))
+    found = token_store.read_ids(store, store.rows.select("doc_id", "copy"), digest=True)
+    return found.select("doc_id", "start", "n_tokens", F.col("ids").alias("ids_crc32"), "copy")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
@@ -33,5 +46,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_simhash, op3_host_rules, op8_mixing)}
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text as count and CRC-32, and whether decoding them gives the text again."""
+    model = pieces.load_model(public_file("piece_bpe_32k.model"))
+    return pieces.round_trip(_table(spark, sf_dir, "documents"), model)
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f for f in (op1_token_store, op2_simhash, op3_host_rules, op8_mixing, op9_pieces)
+}
 ORACLES: dict[str, str] = {}
