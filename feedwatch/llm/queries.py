@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedwatch.llm import host_rules, mixing, pieces, simhash, substring, token_store
+from feedwatch.llm import host_rules, mixing, pieces, quality, simhash, substring, token_store, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,14 @@ def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col("fw_rules")[x].alias(x) for x in names])
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_words(_table(spark, sf_dir, "documents"))
 
@@ -57,6 +65,6 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_token_store, op2_simhash, op3_host_rules, op7_substring, op8_mixing, op9_pieces)
+    f.__name__: f for f in (op1_token_store, op2_simhash, op3_host_rules, op4_quality, op6_toxicity, op7_substring, op8_mixing, op9_pieces)
 }
 ORACLES: dict[str, str] = {}
