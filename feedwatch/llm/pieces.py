@@ -188,18 +188,16 @@ class PieceModel:
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Piece ids of each word, as little-endian int32; words of one length advance together."""
         out = [b""] * len(words)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        for size in np.unique(lengths[lengths > 0]).tolist():
-            group = np.flatnonzero(lengths == size)
-            step = max(1, (1 << 20) // size)
-            for at in range(0, len(group), step):
-                part = group[at : at + step]
-                codes = np.frombuffer("".join(words[i] for i in part.tolist()).encode("utf-32-le", "surrogatepass"), "<u4")
-                for i, ids in zip(part.tolist(), self._viterbi(codes.reshape(len(part), size)), strict=True):
-                    out[i] = ids
+        for rows, codes in by_length(words):
+            for i, ids in zip(rows.tolist(), self._viterbi(codes), strict=True):
+                out[i] = ids
         return out
 
-    def _viterbi(self, codes: np.ndarray) -> list[bytes]:
+    def lattice(self, codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(end, first start, piece ids by start and word) for each end in words of one length.
+
+        ``codes`` has a row of code points for each word.  -1 says that no piece spans from start to end.
+        """
         count, size = codes.shape
         powers = np.full(size + 1, _FACTOR, U)
         powers[0] = 1
@@ -209,14 +207,18 @@ class PieceModel:
         np.multiply.accumulate(back, out=back)
         sums = np.zeros((size + 1, count), U)
         np.cumsum((codes.T.astype(U) + U(1)) * powers[:size, None], axis=0, out=sums[1:])
+        for end in range(1, size + 1):
+            first = max(0, end - self.longest)
+            yield end, first, self.keys.probe((sums[end][None, :] - sums[first:end]) * back[first:end][:, None])
+
+    def _viterbi(self, codes: np.ndarray) -> list[bytes]:
+        count, size = codes.shape
         best = np.full((size + 1, count), -np.inf)
         best[0] = 0.0
         begin = np.zeros((size + 1, count), np.int32)
         last = np.full((size + 1, count), -1, np.int32)
-        for end in range(1, size + 1):
-            first = max(0, end - self.longest)
+        for end, first, ids in self.lattice(codes):
             starts = np.arange(first, end)
-            ids = self.keys.probe((sums[end][None, :] - sums[first:end]) * back[starts][:, None])
             single = ids[-1] < 0  # the last character alone, without a piece
             if self.model == BPE:
                 value = np.full(ids.shape, -np.inf)
@@ -298,6 +300,18 @@ class PieceModel:
         return table
 
 
+def by_length(words: list[str], most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(numbers of words, their code points) for words of one length each, about ``most`` characters at once."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    for size in np.unique(lengths[lengths > 0]).tolist():
+        group = np.flatnonzero(lengths == size)
+        step = max(1, most // size)
+        for at in range(0, len(group), step):
+            part = group[at : at + step]
+            codes = np.frombuffer("".join(words[i] for i in part.tolist()).encode("utf-32-le", "surrogatepass"), "<u4")
+            yield part, codes.reshape(len(part), size)
+
+
 def _hash_text(piece: str) -> int:
     total = power = 0
     power = 1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedwatch.llm import host_rules, mixing, pieces, quality, simhash, substring, token_store, toxicity
+from feedwatch.llm import host_rules, lattice_lm, mixing, pieces, quality, simhash, substring, token_store, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +43,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces.load_model(public_file("piece_bpe_32k.model"))
+    return lattice_lm.lattice_scores(_table(spark, sf_dir, "documents"), model)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -65,6 +70,17 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_token_store, op2_simhash, op3_host_rules, op4_quality, op6_toxicity, op7_substring, op8_mixing, op9_pieces)
+    f.__name__: f
+    for f in (
+        op1_token_store,
+        op2_simhash,
+        op3_host_rules,
+        op4_quality,
+        op5_lattice_lm,
+        op6_toxicity,
+        op7_substring,
+        op8_mixing,
+        op9_pieces,
+    )
 }
 ORACLES: dict[str, str] = {}

@@ -26,13 +26,12 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedwatch.llm.tables import col, scalar, written
-from feedwatch.llm.words import slices, text_buffer, window_hashes, window_owner, word_hashes, word_spans
+from feedwatch.llm.chunks import gaps, grow, pack, shrink, striped, sums, unpack
+from feedwatch.llm.tables import col, scalar
+from feedwatch.llm.words import text_buffer, window_hashes, window_owner, word_hashes, word_spans
 
 U = np.uint64
 WIDTH = 50
@@ -43,57 +42,11 @@ STRIPE_BITS = 23  # cells of one merge task, as a power of two
 LAST = np.iinfo(np.int64).max  # stands for a null id
 
 
-def _shrink(values: np.ndarray) -> bytes:
-    """Compressed, one byte plane after the other: the leading planes are nearly constant."""
-    width = values.dtype.itemsize
-    while width > 1 and (len(values) == 0 or int(values.max()) >> (8 * (width - 1)) == 0):
-        width -= 1
-    planes = values.view(np.uint8).reshape(len(values), values.dtype.itemsize)[:, :width].T.tobytes()
-    return bytes([width]) + zstandard.ZstdCompressor(1).compress(planes)
-
-
-def _grow(data: bytes, dtype: type) -> np.ndarray:
-    width = data[0]
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(width, -1)
-    out = np.zeros((planes.shape[1], np.dtype(dtype).itemsize), np.uint8)
-    out[:, :width] = planes.T
-    return out.reshape(-1).view(dtype)
-
-
-def _gaps(values: np.ndarray) -> bytes:
-    return _shrink(np.diff(values.astype(U), prepend=U(0)))
-
-
-def _sums(data: bytes) -> np.ndarray:
-    return np.cumsum(_grow(data, U), dtype=U)
-
-
-def _pack(chunk_bytes: int, width: int, text: int):
-    """Batches to chunks: (chunk, an Arrow stream, number of windows)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        for whole in batches:
-            for batch in slices(whole, f"c{text}", chunk_bytes):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_batch(batch)
-                _, _, first = word_spans(*text_buffer(batch.column(text)))
-                windows = int(np.maximum(np.diff(first) - width + 1, 0).sum())
-                yield pa.RecordBatch.from_pydict(
-                    {"chunk": pa.array([number], pa.int64()), "data": pa.array([sink.getvalue().to_pybytes()], pa.large_binary()).cast(pa.binary()), "windows": pa.array([windows], pa.int64())}
-                )
-                number += 1
-
-    return run
-
-
 class Windows:
     """All windows of a chunk, and its different windows in the order of their hashes."""
 
-    def __init__(self, data: bytes, ident: int, text: int, width: int):
-        with pa.ipc.open_stream(data) as source:
-            self.batch = source.read_next_batch()
+    def __init__(self, data: pa.BinaryScalar, ident: int, text: int, width: int):
+        self.batch = unpack(data)
         self.raw, at = text_buffer(self.batch.column(text))
         self.starts, self.ends, self.first = word_spans(self.raw, at)
         self.at = at
@@ -132,26 +85,17 @@ class Windows:
         return ordered[heads], more, inverse
 
 
-def _striped(values: np.ndarray, shift: int) -> Iterator[tuple[int, int, int]]:
-    """(stripe, begin, end) of sorted values cut by their leading bits."""
-    if len(values):
-        stripes = (values >> U(shift)).astype(np.int64)
-        cuts = [0, *(np.flatnonzero(np.diff(stripes)) + 1).tolist(), len(values)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            yield int(stripes[a]), a, b
-
-
 def _sketch(ident: int, text: int, width: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                windows = Windows(data.as_buffer(), ident, text, width)
+                windows = Windows(data, ident, text, width)
                 out: dict[str, list] = {"line": [], "stripe": [], "chunk": [], "cells": [], "more": []}
                 for row in range(SKETCH_ROWS):
                     cells, more, _ = windows.cells(row, bits)
-                    for stripe, a, b in _striped(cells, STRIPE_BITS):
+                    for stripe, a, b in striped(cells, STRIPE_BITS):
                         base = U(stripe << STRIPE_BITS)
-                        for name, value in zip(out, (row, stripe, chunk, _gaps(cells[a:b] - base), _shrink(np.packbits(more[a:b]))), strict=True):
+                        for name, value in zip(out, (row, stripe, chunk, gaps(cells[a:b] - base), shrink(np.packbits(more[a:b]))), strict=True):
                             out[name].append(value)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[n], t) for n, t in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], list(out)
@@ -164,10 +108,10 @@ def _merge(table: pa.Table) -> pa.Table:
     """Add up one stripe of all parts; each part gets a bit for each of its cells: two or more?"""
     counts = np.zeros(1 << STRIPE_BITS, np.uint8)
     for cells, more in zip(table.column("cells"), table.column("more"), strict=True):
-        at = _sums(cells.as_py()).astype(np.int64)
-        own = np.unpackbits(_grow(more.as_py(), np.uint8), count=len(at))
+        at = sums(cells.as_py()).astype(np.int64)
+        own = np.unpackbits(grow(more.as_py(), np.uint8), count=len(at))
         counts[at] = np.minimum(counts[at] + 1 + own, 2)
-    masks = [np.packbits(counts[_sums(c.as_py()).astype(np.int64)] > 1).tobytes() for c in table.column("cells")]
+    masks = [np.packbits(counts[sums(c.as_py()).astype(np.int64)] > 1).tobytes() for c in table.column("cells")]
     return pa.table(
         {"chunk": table.column("chunk"), "line": table.column("line"), "stripe": table.column("stripe"), "mask": pa.array(masks, pa.binary())}
     )
@@ -176,7 +120,7 @@ def _merge(table: pa.Table) -> pa.Table:
 def _candidates(packed: pa.Table, masks: pa.Table, ident: int, text: int, width: int, bits: int) -> pa.Table:
     out: dict[str, list] = {"stripe": [], "chunk": [], "data": []}
     for chunk, data in zip(packed.column("chunk").to_pylist(), packed.column("data"), strict=True):
-        windows = Windows(data.as_buffer(), ident, text, width)
+        windows = Windows(data, ident, text, width)
         repeated = np.ones(len(windows.h1), bool)
         found = {
             (row, stripe): mask.as_py()
@@ -185,20 +129,20 @@ def _candidates(packed: pa.Table, masks: pa.Table, ident: int, text: int, width:
         for row in range(SKETCH_ROWS):
             cells, _, inverse = windows.cells(row, bits)
             flags = np.zeros(len(cells), bool)
-            for stripe, a, b in _striped(cells, STRIPE_BITS):
+            for stripe, a, b in striped(cells, STRIPE_BITS):
                 flags[a:b] = np.unpackbits(np.frombuffer(found[row, stripe], np.uint8), count=b - a).astype(bool)
             repeated &= flags[inverse]
         kept = np.flatnonzero(repeated)
         h1 = windows.h1[kept]
         # A stripe of the exact grouping holds no more windows than one of the sketch.
-        for stripe, a, b in _striped(h1, 64 - bits + STRIPE_BITS):
+        for stripe, a, b in striped(h1, 64 - bits + STRIPE_BITS):
             part = kept[a:b]
             least = windows.least[part]
             parts = [
-                _gaps(part),
-                _gaps(h1[a:b]),
-                _shrink((windows.h2[part] >> U(32)).astype("<u4")),
-                _shrink((least - least.min()).view(U)),
+                gaps(part),
+                gaps(h1[a:b]),
+                shrink((windows.h2[part] >> U(32)).astype("<u4")),
+                shrink((least - least.min()).view(U)),
             ]
             lengths = np.array([len(p) for p in parts], "<u4").tobytes()
             out["stripe"].append(stripe)
@@ -217,10 +161,10 @@ def _resolve(table: pa.Table) -> pa.Table:
         for n in lengths:
             parts.append(data[at : at + n])
             at += n
-        places.append(_sums(parts[0]))
-        h1.append(_sums(parts[1]))
-        h2.append(_grow(parts[2], "<u4"))
-        ids.append(_grow(parts[3], U).view(np.int64) + base)
+        places.append(sums(parts[0]))
+        h1.append(sums(parts[1]))
+        h2.append(grow(parts[2], "<u4"))
+        ids.append(grow(parts[3], U).view(np.int64) + base)
         sizes.append(len(h1[-1]))
     first, second, ids = np.concatenate(h1), np.concatenate(h2), np.concatenate(ids)
     order = np.lexsort((second, first))
@@ -230,7 +174,7 @@ def _resolve(table: pa.Table) -> pa.Table:
     lost = np.zeros(len(order), bool)
     lost[order] = least < ids[order]
     cuts = np.cumsum([0, *sizes])
-    answers = [_gaps(p[lost[a:b]]) for p, a, b in zip(places, cuts, cuts[1:], strict=False)]
+    answers = [gaps(p[lost[a:b]]) for p, a, b in zip(places, cuts, cuts[1:], strict=False)]
     return pa.table({"chunk": table.column("chunk"), "lost": pa.array(answers, pa.binary())})
 
 
@@ -238,7 +182,7 @@ def _covered(windows: Windows, answers: list[bytes], width: int) -> np.ndarray:
     """For each word of the chunk, whether it goes."""
     lost = np.zeros(len(windows.h1), bool)
     for answer in answers:
-        lost[_sums(answer).astype(np.int64)] = True
+        lost[sums(answer).astype(np.int64)] = True
     places = windows.place[lost[windows.group] | (windows.doc > windows.least[windows.group])]
     edges = np.zeros(len(windows.starts) + 1, np.int64)
     edges[places] += 1  # a place occurs once
@@ -247,7 +191,7 @@ def _covered(windows: Windows, answers: list[bytes], width: int) -> np.ndarray:
 
 
 def _finish(packed: pa.Table, answers: pa.Table, ident: int, text: int, width: int, digest: bool) -> pa.Table:
-    windows = Windows(packed.column("data")[0].as_buffer(), ident, text, width)
+    windows = Windows(packed.column("data")[0], ident, text, width)
     gone = _covered(windows, [x.as_py() for x in answers.column("lost")], width)
     raw, first = windows.raw.tobytes(), windows.first.tolist()
     removed = np.concatenate([[0], np.cumsum(gone)])[windows.first]
@@ -272,10 +216,8 @@ def _finish(packed: pa.Table, answers: pa.Table, ident: int, text: int, width: i
 
 
 def _run(docs: DataFrame, ident: int, text: int, schema: str, digest: bool, width: int, chunk_bytes: int) -> DataFrame:
-    packed = written(
-        docs.mapInArrow(_pack(chunk_bytes, width, text), "chunk bigint, data binary, windows bigint"), "packed", "none"
-    )
-    total = scalar(packed.agg(F.sum("windows")))[0] or 0
+    packed = pack(docs, text, chunk_bytes)
+    total = scalar(packed.agg(F.sum("words")))[0] or 0  # no fewer than there are windows
     bits = max(STRIPE_BITS, (CELLS_PER_WINDOW * total - 1).bit_length() if total else 0)
     parts = packed.select("chunk", "data").mapInArrow(
         _sketch(ident, text, width, bits), "line int, stripe bigint, chunk bigint, cells binary, more binary"
