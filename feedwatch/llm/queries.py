@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedwatch.llm import host_rules, lattice_lm, mixing, pieces, quality, simhash, substring, token_store, toxicity
+from feedwatch.llm import ann, host_rules, lattice_lm, mixing, pieces, quality, simhash, substring, token_store, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,6 +69,10 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(_table(spark, sf_dir, "documents"), model)
 
 
+def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -81,6 +85,7 @@ QUERIES: dict[str, Query] = {
         op7_substring,
         op8_mixing,
         op9_pieces,
+        op10_nn_descent,
     )
 }
 ORACLES: dict[str, str] = {}
