@@ -43,6 +43,7 @@ _TABLE = {ord(x): a for a, others in LOOKALIKES.items() for x in others}
 _TABLE |= {ord(x.upper()): a for a, others in LOOKALIKES.items() for x in others if len(x.upper()) == 1}
 _WIDE = re.compile("[！-～\U0001d400-\U0001d7ff①-⓿℀-⅏]")
 _HIDDEN = re.compile("[­​-‏⁠﻿]")
+_SIGN = re.compile(r"[!|@$+€](?![^\W_])")  # a sign stands for a letter only before a letter or digit
 _TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -54,7 +55,7 @@ def fold_text(text: str | None) -> str:
         if _WIDE.search(text):
             text = unicodedata.normalize("NFKC", text)
         text = _HIDDEN.sub("", text)
-    words = _TOKEN.findall(text.lower().translate(_TABLE))
+    words = _TOKEN.findall(_SIGN.sub(" ", text.lower()).translate(_TABLE))
     return f" {' '.join(words)} " if words else " "
 
 
