@@ -37,7 +37,8 @@ END_ID = 2
 TASK_BYTES = 64 << 20  # of text in one task
 SHARD_BYTES = 16 << 20  # a shard ends with the document that reaches this
 SEGMENT_KEYS = 1 << 18
-CACHE_WORDS = 600_000  # words a Python worker remembers; then it starts anew
+CACHE_WORDS = 450_000  # words in each of the two generations that a Python worker remembers
+JOINED = 200  # new words that the library gets as one text
 SLICE_BYTES = 4 << 20
 RECORD = np.dtype([("print", "<u4"), ("shard", "<i4"), ("place", "<i8"), ("n", "<i8")])
 _ODD = re.compile(r" (?=\s|$)")  # a blank before another blank
@@ -67,6 +68,11 @@ class WordwiseEncoder:
         self.tokenizer, self.most = _tokenizer(path), most
         self.size = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.lengths = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for piece, number in vocabulary.items():
+            self.lengths[number] = len(piece)  # byte-level pieces have one character a byte
 
     def _parts(self, text: str) -> list[str]:
         """Parts without the blank each begins with, but for the first, which has a mark instead."""
@@ -82,22 +88,41 @@ class WordwiseEncoder:
         parts[0] = "\0" + parts[0]
         return parts
 
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new parts.  Parts that begin with their blank are joined and cut again by bytes."""
+        inner = [w for w in words if w[:1] != "\0"]
+        joined = ["".join([" " + w for w in inner[at : at + JOINED]]) for at in range(0, len(inner), JOINED)]
+        found = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+        ids = np.array([i for f in found for i in f.ids], np.int64)
+        ends = np.cumsum(self.lengths[ids])
+        sizes = np.fromiter((len(w.encode()) + 1 for w in inner), np.int64, len(inner))
+        cuts = (np.searchsorted(ends, np.cumsum(sizes)) + 1).tolist()
+        packed = ids.astype(f"<u{self.size}").tobytes()
+        begin = 0
+        for word, end in zip(inner, cuts, strict=True):
+            self.known[word] = packed[begin * self.size : end * self.size]
+            begin = end
+        first = [w for w in words if w[:1] == "\0"]
+        for word, own in zip(first, self.tokenizer.encode_batch_fast([w[1:] for w in first], add_special_tokens=False), strict=True):
+            self.known[word] = np.array(own.ids, f"<u{self.size}").tobytes()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        known = self.known
+        """Little-endian ids of each text."""
         cut = [self._parts(t) if t else [] for t in texts]
-        new = list({w for parts in cut for w in parts if w not in known})
-        if len(known) + len(new) > self.most:
-            known.clear()
-            new = list({w for parts in cut for w in parts})
-        whole = [w[1:] if w[:1] == "\0" else " " + w for w in new]
-        for at in range(0, len(new), 1 << 15):
-            found = self.tokenizer.encode(whole[at : at + (1 << 15)], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, f"<u{self.size}").tobytes()
-            owner = np.array(found.word_ids, np.int64)
-            count = min(1 << 15, len(new) - at)
-            cuts = (np.searchsorted(owner, np.arange(count + 1)) * self.size).tolist()
-            known.update(zip(new[at : at + count], [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
-        get_known = known.__getitem__
+        different = set().union(*cut)
+        missing = different - self.known.keys()
+        if missing and len(self.known) + len(missing) > self.most:
+            # The words of the generation before stay at hand; what is still used moves over.
+            self.old, self.known = self.known, {}
+            missing = different
+        new = []
+        for word in missing:
+            if (ids := self.old.get(word)) is None:
+                new.append(word)
+            else:
+                self.known[word] = ids
+        self._learn(new)
+        get_known = self.known.__getitem__
         return [b"".join(map(get_known, parts)) for parts in cut]
 
 
