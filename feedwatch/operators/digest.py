@@ -61,6 +61,9 @@ def digest_concat(
     they are and are rendered there: both rendered forms together are over twice as large.
     """
     *lead, pos = order
+    # A join on the position would drop an entry without one; it must not.
+    missing = F.raise_error(F.lit("an entry has no position: assign positions when landing"))
+    items = items.withColumn(pos, F.coalesce(F.col(pos), missing.cast("bigint")))
     layout = digest_layout(items, keys, order, per_part)
     placed = items.withColumn("bucket", _bucket(pos, per_part)).join(
         layout, [*keys, *lead, "bucket"]
@@ -87,20 +90,3 @@ def digest_concat(
             ),
         }
     )
-
-
-def join_parts(parts: DataFrame, keys: list[str], max_parts: int = 8) -> DataFrame:
-    """Whole messages for delivery: a digest of up to ``max_parts`` parts becomes one row.
-
-    Larger ones keep their parts, each to be sent on its own, so nothing is cut off.
-    """
-    fits = F.col("n_parts") <= max_parts
-    rest = [c for c in parts.columns if c not in (*keys, "part", "n_parts", "html", "plain")]
-    sent = parts.withColumn("sent", F.when(fits, 0).otherwise(F.col("part")).cast("bigint"))
-    joined = sent.groupBy(*keys, "sent").agg(
-        F.expr("listagg(html, '') WITHIN GROUP (ORDER BY part)").alias("html"),
-        F.expr("listagg(plain, '') WITHIN GROUP (ORDER BY part)").alias("plain"),
-        F.any_value(F.when(fits, 1).otherwise(F.col("n_parts")).cast("bigint")).alias("n_parts"),
-        *(F.any_value(c).alias(c) for c in rest),
-    )
-    return joined.withColumnRenamed("sent", "part").select(*parts.columns)

@@ -148,7 +148,7 @@ def any_term(hits: DataFrame, keys: list[str]) -> DataFrame:
 
 def sites_without_matches(watch: DataFrame, matched: DataFrame) -> DataFrame:
     """Rules for which nothing matched."""
-    return watch.join(matched.select("rule_pos"), "rule_pos", "left_anti")
+    return watch.join(matched.select("rule_pos").distinct(), "rule_pos", "left_anti")
 
 
 def all_sites_empty(watch: DataFrame, matched: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ def _ref(name: str) -> Column:
 def parse_pages(pages: DataFrame, xml: str = "xml") -> DataFrame:
     """Parse each page once; adds ``page`` (error, records, token) to the page's other columns.
 
+    A page that cannot be parsed to its end counts as broken as a whole (``page_rejects``).
+
     The parsed page is exploded out of a one-element array.  A plain projection would be copied into
     every filter on the page's fields, and each copy would parse the XML again.
     """
@@ -33,13 +35,22 @@ def page_errors(parsed: DataFrame) -> DataFrame:
     return rejected.withColumn("error", F.coalesce(F.col("page.error._VALUE"), F.lit(""))).drop("page")
 
 
+def _broken() -> Column:
+    """A page that is neither an error page nor a page of records: cut off, or another document."""
+    return F.col("page.error").isNull() & F.col("page.ListRecords").isNull()
+
+
+def page_rejects(parsed: DataFrame) -> DataFrame:
+    """Pages that are neither error pages nor pages of records; none of their records can be read."""
+    return parsed.where(_broken()).drop("page")
+
+
 def fail_on_error(parsed: DataFrame) -> DataFrame:
-    """The strict form: the job fails on the first error page."""
-    message = F.concat(
-        F.lit("service returned error: "), F.coalesce(F.col("page.error._VALUE"), F.lit(""))
-    )
-    ok = F.when(F.col("page.error").isNotNull(), F.raise_error(message).cast("boolean")).otherwise(True)
-    return parsed.where(ok)
+    """The strict form: the job fails on the first error page or broken page."""
+    told = F.concat(F.lit("service returned error: "), F.coalesce(F.col("page.error._VALUE"), F.lit("")))
+    message = F.when(_broken(), F.lit("page is neither an error nor records")).otherwise(told)
+    bad = F.col("page.error").isNotNull() | _broken()
+    return parsed.where(F.when(bad, F.raise_error(message).cast("boolean")).otherwise(True))
 
 
 def page_tokens(parsed: DataFrame) -> DataFrame:

@@ -65,13 +65,22 @@ def run_journal(
     state: SeenLinks,
     digest_path: str,
     run_date: dt.date,
-    version: int | None = None,
+    snapshot: str | None = None,
     per_part: int = PER_PART,
 ) -> bool:
-    """One run: digest of the new entries, then the new state.  False if nothing was new."""
+    """One run: digest of the new entries, then the new state.  False if nothing was new.
+
+    ``snapshot`` names what the run takes in; a snapshot taken in before is skipped.  Each version of
+    the state has digests of its own, so several snapshots of a day all keep theirs.
+    """
+    if snapshot is not None and state.has(snapshot):
+        return False
     fresh = durable(novelty.new_entries(current, state.read()), "new-entries")
     if fresh.isEmpty():
+        if snapshot is not None:
+            state.keep(snapshot)
         return False
-    write_digests(journal_digest(fresh, run_date, per_part), digest_path)
-    state.write(novelty.distinct_links(current), (state.version() or 0) + 1 if version is None else version)
+    version = (state.version() or 0) + 1
+    write_digests(journal_digest(fresh, run_date, per_part), digest_path, f"v{version}")
+    state.write(novelty.distinct_links(current), version, snapshot)
     return True

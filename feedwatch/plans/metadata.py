@@ -10,7 +10,10 @@ from feedwatch.operators import records as rc
 
 
 def metadata_table(pages: DataFrame, set_name: str | None = None, strict: bool = False) -> DataFrame:
-    """Flat records of all good pages; error pages are skipped, or fail the job when ``strict``.
+    """Flat records of all good pages.
+
+    Error pages and broken pages are skipped, or fail the job when ``strict``; ``page_errors`` and
+    ``page_rejects`` list them.
 
     ``set_name`` names the page column holding the harvested set, from which the site is taken.
     """

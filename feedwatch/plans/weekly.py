@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedwatch.functions import formats as fmt
@@ -44,27 +44,39 @@ def sites_and_kinds(rules: DataFrame) -> DataFrame:
     return rules.select("site", "config_pos", F.explode(kinds).alias("kind"))
 
 
-def with_fallbacks(slots: DataFrame, parts: DataFrame) -> DataFrame:
-    """Every (site, kind) gets a digest: its parts, or the fallback text."""
-    joined = slots.join(parts, ["site", "kind"], "left")
-    found = F.col("html").isNotNull()
+def with_fallbacks(slots: DataFrame, parts: DataFrame, present: DataFrame) -> DataFrame:
+    """Every (site, kind) gets a digest: its parts, or the fallback text if it is not ``present``.
+
+    Texts of digests are not moved: parts get their rule's place by a join with the measured, small
+    slots, and slots without parts are found by their keys alone.
+    """
+    found = join_small(parts, slots, ["site", "kind"], "part")
+    empty = slots.join(present.select("site", "kind").distinct(), ["site", "kind"], "left_anti")
     fallback = tx.weekly_fallback("site", "kind")
-    return joined.withColumn("subject", tx.weekly_subject("site", "kind", found)).withColumns(
+    empty = empty.withColumns(
         {
-            "html": F.coalesce("html", F.concat(F.lit("<b>"), fallback, F.lit("</b>"))),
-            "plain": F.coalesce("plain", fallback),
-            "part": F.coalesce("part", F.lit(0).cast("bigint")),
-            "n_parts": F.coalesce("n_parts", F.lit(1).cast("bigint")),
-            "n_entries": F.coalesce("n_entries", F.lit(0).cast("bigint")),
+            "html": F.concat(F.lit("<b>"), fallback, F.lit("</b>")),
+            "plain": fallback,
+            "part": F.lit(0).cast("bigint"),
+            "n_parts": F.lit(1).cast("bigint"),
+            "n_entries": F.lit(0).cast("bigint"),
         }
     )
+    titled = found.withColumn("subject", tx.weekly_subject("site", "kind", F.lit(True)))
+    return titled.unionByName(empty.withColumn("subject", tx.weekly_subject("site", "kind", F.lit(False))))
 
 
 def first_copies(saved: DataFrame) -> DataFrame:
-    """Optional: only the earliest copy of an entry per site (by default every copy is sent)."""
-    age = F.struct("append_date", "rule_pos", "entry.pos")
-    row = F.min_by(F.struct(*saved.columns), age).alias("row")
-    return saved.groupBy("site", "entry.id").agg(row).select("row.*")
+    """Optional: only the earliest copy of an entry per site (by default every copy is sent).
+
+    An entry is known by its id, else its link, else its position; what has none of them stays.
+    Later copies are dropped before the shuffle where a task holds both.
+    """
+    ident = F.coalesce("entry.id", "entry.link", F.col("entry.pos").cast("string"))
+    named = saved.withColumn("_key", ident)
+    age = Window.partitionBy("site", "_key").orderBy("append_date", "rule_pos", "entry.pos")
+    first = named.where("_key is not null").withColumn("_copy", F.row_number().over(age)).where("_copy = 1")
+    return first.drop("_copy").unionByName(named.where("_key is null")).select(*saved.columns)
 
 
 def weekly_digest(
@@ -85,7 +97,7 @@ def weekly_digest(
         F.lit(fmt.MATCH_FOOTER),
         per_part=per_part,
     )
-    return digest_table(with_fallbacks(sites_and_kinds(rules), parts), run_date)
+    return digest_table(with_fallbacks(sites_and_kinds(rules), parts, labelled), run_date)
 
 
 def flush_dates(append_dates: DataFrame, runs: DataFrame, day: str = "append_date") -> DataFrame:
@@ -114,16 +126,20 @@ def run_weekly(
     digest_path: str,
     run_date: dt.date,
     per_part: int = PER_PART,
+    run_id: str | None = None,
 ) -> bool:
-    """One daily run: append the day's matches and flush on Sundays.  True if it flushed.
+    """One run: append its matches and flush on Sundays.  True if it flushed.
 
-    Digests are written before the marker, and their write replaces its own day, so a run that
-    fails between the two can be repeated.  A second run on a flushed Sunday sends nothing.
+    A run is known by its id, by default its date.  A run that failed anywhere is repeated under its id:
+    its matches are appended once, and its digests replace those it wrote.  Another run of the day
+    has an id of its own; on a Sunday it sends what has come since.  A flush sends all that is
+    pending, late rows too, for the sites of the watchlist; other sites' rows wait.
     """
-    state.append(weekly_matches(entries, watch, run_date))
-    if run_date.weekday() != fmt.SUNDAY or state.is_flushed(run_date):
+    run_id = run_date.isoformat() if run_id is None else run_id
+    state.append(weekly_matches(entries, watch, run_date), run_id)
+    if run_date.weekday() != fmt.SUNDAY or state.is_flushed(run_id):
         return False
-    pending = durable(state.pending(run_date), "pending")
-    write_digests(weekly_digest(pending, watch, run_date, per_part), digest_path)
-    state.clear(run_date)
+    pending = durable(state.pending(run_date, watch), "pending")
+    write_digests(weekly_digest(pending, watch, run_date, per_part), digest_path, run_id)
+    state.clear(run_date, watch, run_id)
     return True

@@ -257,6 +257,24 @@ def oai_error_check(spark, sf_dir):
     return rc.page_errors(parsed(spark, sf_dir)).select("page_id", "error")
 
 
+@register(
+    "oai_rejects",
+    """
+SELECT 'cut-' || page_id AS page_id FROM pages
+UNION ALL SELECT DISTINCT 'half-' || source || '-' || (doc_id // 100) FROM documents""",
+)
+def oai_rejects(spark, sf_dir):
+    """Web pages among the pages, and pages of records cut off half way: none is lost silently."""
+    good = v.record_pages(spark, sf_dir)
+    lists = good.where(~F.col("page_id").startswith("error-"))
+    half = lists.withColumns({"page_id": F.concat(F.lit("half-"), "page_id"), "xml": F.expr("left(xml, length(xml) div 2)")})
+    web = v.table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("cut-"), F.col("page_id").cast("string")).alias("page_id"), F.lit("none").alias("set_name"), F.col("html").alias("xml")
+    )
+    pages = rc.parse_pages(good.unionByName(half).unionByName(web))
+    return rc.page_rejects(pages).select("page_id")
+
+
 @register(
     "oai_records",
     OAI + """

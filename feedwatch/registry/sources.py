@@ -4,22 +4,28 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from feedwatch.functions import text as tx
 from feedwatch.operators import match as mt
 from feedwatch.operators import similarity as sim
 from feedwatch.registry import register
 from feedwatch.registry import views as v
+from feedwatch.plans.weekly import run_weekly
 from feedwatch.session import fresh_path
 from feedwatch.sources import configs as cf
 from feedwatch.sources import feeds as fd
+from feedwatch.sources.state import MatchState, read_digests
+from feedwatch.streaming import flows
 
 _SCAN = "WITH" + v.ENTRIES + """
 SELECT site, pos, id, md5(title) AS title_md5, author, md5(summary) AS summary_md5, link, published FROM entries"""
 
 
-def _scanned(entries):
+def _scanned(entries, *more):
     return entries.select(
+        *more,
         "site",
         "pos",
         "id",
@@ -56,6 +62,67 @@ def feed_scan_journal(spark, sf_dir):
     return feed.select("site", "pos", "id", "title", "summary", "link", "published")
 
 
+def _delivered(spark, sf_dir, root):
+    """Feeds as they are delivered: one file a site, RSS for even sites and Atom for odd ones, no positions."""
+    rows = v.entries(spark, sf_dir).withColumn("odd", F.crc32(F.col("site").cast("binary")) % 2 == 1)
+    e = v._element
+    rss = F.concat(
+        F.lit("<item>"), e("title", F.col("title")), F.lit("<dc:creator>"), tx.html_escape(F.col("author")), F.lit("</dc:creator>"),
+        e("description", F.col("summary")), e("link", F.col("link")), F.lit('<guid isPermaLink="false">'), F.col("id"), F.lit("</guid>"),
+        e("pubDate", F.col("published")), F.lit("</item>"),
+    )
+    atom = F.concat(
+        F.lit("<entry>"), F.lit('<title type="text">'), tx.html_escape(F.col("title")), F.lit("</title><author><name>"),
+        tx.html_escape(F.col("author")), F.lit("</name></author>"), F.lit('<summary type="html">'), tx.html_escape(F.col("summary")),
+        F.lit('</summary><link rel="self" href="http://x/"/><link rel="alternate" href="'), F.col("link"), F.lit('"/>'),
+        e("id", F.col("id")), e("published", F.col("published")), F.lit("</entry>"),
+    )
+    items = rows.select("site", "odd", "pos", F.when(F.col("odd"), atom).otherwise(rss).alias("x"))
+    # A delivered feed is one file by its format.
+    feeds = items.groupBy("site", "odd").agg(F.expr("listagg(x, '\n') WITHIN GROUP (ORDER BY pos)").alias("x"))
+    head = F.when(F.col("odd"), F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>f</title>')).otherwise(
+        F.lit('<rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>f</title>')
+    )
+    foot = F.when(F.col("odd"), F.lit("</feed>")).otherwise(F.lit("</channel></rss>"))
+    text = feeds.select(F.concat(F.lit('<?xml version="1.0"?>'), head, "x", foot).alias("value"), "site")
+    text.write.partitionBy("site").text(root)
+
+
+@register(
+    "feed_scan_delivered",
+    "WITH" + v.ENTRIES + """
+SELECT site, id, md5(title) AS title_md5, author, md5(summary) AS summary_md5, link, published,
+       row_number() OVER (PARTITION BY site ORDER BY pos) AS place FROM entries""",
+)
+def feed_scan_delivered(spark, sf_dir):
+    """RSS and Atom as delivered; positions made at reading keep the order of each file."""
+    root = fresh_path(spark, "delivered")
+    _delivered(spark, sf_dir, root)
+    place = F.row_number().over(Window.partitionBy("site").orderBy("pos")).cast("bigint")
+    return _scanned(fd.read_feed(spark, root).withColumn("place", place), "place").drop("pos")
+
+
+@register(
+    "feed_stream_delivered",
+    v.LABELLED + """
+SELECT site, kind, sum(n)::BIGINT AS n_entries FROM (
+  SELECT site, CASE WHEN match = 'author' THEN 'author' ELSE 'keyword' END AS kind, count(*) AS n FROM matched GROUP BY ALL)
+GROUP BY ALL""",
+)
+def feed_stream_delivered(spark, sf_dir):
+    """Delivered feeds as streams into the weekly state; a batch run on Sunday sends every match."""
+    base = fresh_path(spark, "delivered")
+    _delivered(spark, sf_dir, f"{base}/landed")
+    state = MatchState(spark, base)
+    for tag in fd.ROW_TAGS:
+        stream = fd.stream_feed(spark, f"{base}/landed", max_files=5, row_tag=tag)
+        flows.start_match_stream(stream, v.watch(spark), F.lit(v.RUN_DATE), state, f"{base}/{tag}", tag).awaitTermination()
+    none = v.entries(spark, sf_dir).where("false")
+    run_weekly(none, v.watch(spark), state, f"{base}/digests", v.RUN_DATE)
+    sent = read_digests(spark, f"{base}/digests").where("part = 0 and n_entries > 0")
+    return sent.select("site", "kind", "n_entries")
+
+
 def _config_file(spark, text: str, suffix: str) -> str:
     """A configuration file as a user would provide it."""
     path = f"{fresh_path(spark, 'config')}/watch{suffix}"

@@ -14,7 +14,7 @@ from feedwatch.plans import weekly as plan
 from feedwatch.registry import register
 from feedwatch.registry import views as v
 from feedwatch.registry.matching import digest_columns, parts_sql
-from feedwatch.session import fresh_path
+from feedwatch.session import durable, fresh_path
 from feedwatch.sources.state import MatchState, SeenLinks, read_digests, write_digests
 from feedwatch.streaming import flows
 
@@ -196,18 +196,71 @@ def weekly_flush(spark, sf_dir):
     state.clear(FLUSH - dt.timedelta(days=7))
     write_digests(plan.weekly_digest(state.pending(FLUSH), watch, FLUSH), f"{base}/digests")
     state.clear(FLUSH)
-    return digest_columns(read_digests(spark, f"{base}/digests"))
+    return digest_columns(read_digests(spark, f"{base}/digests").drop("run_id"))
+
+
+def _runs(spark, sf_dir):
+    """Saved rows as days of runs, into one state; everything is sent in the end.
+
+    Two sites are missing from the first flush's watchlist, a third of the rows come late (in runs of
+    their own, under their old dates), every append is repeated, and a Sunday has a second run.
+    """
+    base = fresh_path(spark, "runs")
+    state, saved, watch = MatchState(spark, base), v.saved(spark, sf_dir), v.saved_watch(spark)
+    late, last = F.col("entry.pos") % 3 == 0, dt.date(2024, 12, 29)
+    steps = [
+        ("week", saved.where(~late & (F.col("append_date") <= F.lit(FLUSH))), FLUSH, watch.where("site not in ('u1', 'u2')")),
+        ("second", saved.where(late & (F.col("append_date") == F.lit(FLUSH))), FLUSH, watch),
+        ("rest", saved.where(~late & (F.col("append_date") > F.lit(FLUSH))), last, watch),
+        ("late", saved.where(late & (F.col("append_date") != F.lit(FLUSH))), last, watch),
+    ]
+    for run, rows, day, rules in steps:
+        state.append(rows, run)
+        state.append(rows, run)  # repeated after a failure
+        pending = durable(state.pending(day, rules), "pending")
+        write_digests(plan.weekly_digest(pending, rules, day), f"{base}/digests", run)
+        state.clear(day, rules, run)
+    return state, f"{base}/digests"
+
+
+_STEPS = SAVED + f""",
+late AS (SELECT *, pos % 3 = 0 AS is_late, append_date <= DATE '{FLUSH}' AS early FROM saved),
+sent AS (SELECT *, CASE
+    WHEN NOT is_late AND early AND site NOT IN ('u1', 'u2') THEN 'week'
+    WHEN (is_late AND append_date = DATE '{FLUSH}') OR (NOT is_late AND early) THEN 'second'
+    WHEN NOT is_late THEN 'rest' ELSE 'late' END AS run_id FROM late)"""
+
+
+@register("weekly_runs", _STEPS + """
+SELECT run_id, site, kind, count(*) AS n_entries FROM sent GROUP BY ALL""")
+def weekly_runs(spark, sf_dir):
+    """What each run sent: late rows, a second Sunday run, sites absent on a flush day, repeats."""
+    _, digests = _runs(spark, sf_dir)
+    sent = read_digests(spark, digests).where("part = 0 and n_entries > 0")
+    return sent.select("run_id", "site", "kind", "n_entries")
+
+
+@register("weekly_all_sent", SAVED + """
+SELECT site, count(*) AS n_appended, count(*) AS n_sent, 0::BIGINT AS n_pending FROM saved GROUP BY site""")
+def weekly_all_sent(spark, sf_dir):
+    """After the last flush everything appended has been sent once."""
+    state, digests = _runs(spark, sf_dir)
+    sent = read_digests(spark, digests).where("part = 0").groupBy("site").agg(F.sum("n_entries").alias("n_sent"))
+    left = state.pending(dt.date(2025, 1, 1)).groupBy("site").agg(F.count("*").alias("n_pending"))
+    held = state.read().groupBy("site").agg(F.count("*").alias("n_appended"))
+    return held.join(sent, "site").join(left, "site", "left").select(
+        "site", "n_appended", "n_sent", F.coalesce("n_pending", F.lit(0)).cast("bigint").alias("n_pending")
+    )
 
 
 @register(
     "sites_left_outer_digest",
-    SAVED + _rendered_week("kind = 'author'") + """
+    SAVED + _rendered_week("TRUE") + """
 SELECT config_pos, site, kind, subject, n_entries FROM digests WHERE part = 0""",
 )
 def sites_left_outer_digest(spark, sf_dir):
-    """Only author matches: every keyword digest is the fallback."""
-    rows = v.saved(spark, sf_dir).where("match = 'author'")
-    digests = plan.weekly_digest(rows, v.saved_watch(spark), FLUSH)
+    """Both digests of every site; one site has no matches and gets the fallbacks."""
+    digests = plan.weekly_digest(v.saved(spark, sf_dir), v.saved_watch(spark), FLUSH)
     return digests.where("part = 0").select("config_pos", "site", "kind", "subject", "n_entries")
 
 
@@ -216,12 +269,16 @@ def sites_left_outer_digest(spark, sf_dir):
     SAVED + _rendered_week("TRUE") + "SELECT site, kind, part, subject, md5(html) AS html_md5 FROM digests",
 )
 def digest_sink(spark, sf_dir):
-    """A repeated write replaces its own day and nothing else."""
+    """A repeated write replaces what its run wrote; other kinds and runs of the day stay."""
     path = fresh_path(spark, "sink")
     digests = plan.weekly_digest(v.saved(spark, sf_dir), v.saved_watch(spark), FLUSH)
     write_digests(digests, path)
     write_digests(digests, path)
+    write_digests(digests.withColumn("kind", F.lit("other")), path)
+    write_digests(digests, path, "second")
     kept = read_digests(spark, path)
+    others = kept.where("kind = 'other' or run_id = 'second'").count()
+    kept = kept.where(F.lit(others == 2 * digests.count()) & (F.col("run_id") == "0") & (F.col("kind") != "other"))
     return kept.select("site", "kind", "part", "subject", v.short("html").alias("html_md5"))
 
 
@@ -254,11 +311,10 @@ def incremental_match(spark, sf_dir):
         F.lit(None).cast("string").alias("published"),
     )
     query = flows.start_match_stream(
-        entries, v.watch(spark), F.lit(v.RUN_DATE), f"{base}/matches", f"{base}/checkpoint"
+        entries, v.watch(spark), F.lit(v.RUN_DATE), state := MatchState(spark, base), f"{base}/checkpoint"
     )
     query.awaitTermination()
-    rows = MatchState(spark, base).read()
-    return rows.select(
+    return state.read().select(
         "rule_pos", "site", "match", "entry.pos", v.short("entry.title").alias("title_md5")
     )
 
@@ -294,16 +350,14 @@ all_links AS (SELECT url AS link FROM pages)"""
 
 
 def _two_snapshots(spark, sf_dir):
-    """Two landed snapshots (the https part of the pages, then all of them), streamed in order."""
+    """Two landed snapshots of several files (the https part of the pages, then all of them), streamed."""
     base = fresh_path(spark, "snapshots")
     now = v.snapshot(spark, sf_dir)
-    columns = now.schema
-    for part in (now.where(F.col("link").startswith("https:")), now):
-        part.coalesce(1).write.mode("append").parquet(f"{base}/landed")
-    stream = spark.readStream.schema(columns).option("maxFilesPerTrigger", 1).parquet(f"{base}/landed")
+    for name, part in (("s1", now.where(F.col("link").startswith("https:"))), ("s2", now)):
+        flows.land_snapshot(part.repartition(3), base, name)
     state = SeenLinks(spark, base)
     query = flows.start_new_entries_stream(
-        stream, state, f"{base}/digests", v.RUN_DATE, f"{base}/checkpoint"
+        spark, base, state, f"{base}/digests", v.RUN_DATE, f"{base}/checkpoint"
     )
     query.awaitTermination()
     return base, state
@@ -317,8 +371,9 @@ UNION ALL SELECT 1, count(*) FROM all_links WHERE link NOT IN (SELECT link FROM
 )
 def new_since_snapshot_stream(spark, sf_dir):
     base, _ = _two_snapshots(spark, sf_dir)
-    digests = spark.read.parquet(f"{base}/digests")
-    return digests.where("part = 0").select("batch", F.col("n_entries").alias("n_new"))
+    digests = read_digests(spark, f"{base}/digests").where("part = 0")
+    batch = F.substring("run_id", 2, 10).cast("int") - 1
+    return digests.select(batch.alias("batch"), F.col("n_entries").alias("n_new"))
 
 
 @register("state_before_delivery", "SELECT DISTINCT url AS link FROM pages")

@@ -36,11 +36,16 @@ SIMILARITY_CONFIG = struct(
 PAPER_FILE = struct(triplet_id=TEXT, title=TEXT, abstract=TEXT)
 
 SEEN_LINK = struct(link=TEXT)
-SEEN_LOG = struct(version=LONG)
+LANDED = struct(snapshot=TEXT)
+# ``links`` is the version whose links are current; a snapshot without news keeps the one before.
+SEEN_LOG = struct(version=LONG, snapshot=TEXT, links=LONG)
 SAVED_MATCH = struct(
     rule_pos=LONG, site=TEXT, match=TEXT, entry=ENTRY_BODY, append_date=DAY, week=DAY
 )
-FLUSHES = struct(flush_date=DAY)
+# The commit of one append: what the attempt of a run holds, by slice; one row of nulls if nothing.
+SLICES = struct(run_id=TEXT, attempt=TEXT, site=TEXT, week=DAY, append_date=DAY, n=LONG)
+# What a flush has sent; the row without a site says that the flush is complete.
+FLUSHES = struct(flush_date=DAY, flush_run=TEXT, site=TEXT, run_id=TEXT, append_date=DAY)
 DIGEST = struct(
     run_date=DAY,
     config_pos=LONG,

@@ -8,13 +8,52 @@ from pyspark.sql import types as T
 
 from feedwatch import schemas
 
-ITEM_OPTIONS = {"rowTag": "item", "ignoreSurroundingSpaces": "false"}
-
-
-def _item_schema(landed_pos: bool) -> T.StructType:
-    """Item fields, and ``site`` for feeds landed in ``site=…`` folders (else it reads as null)."""
-    fields = [*schemas.FEED_ITEM.fields, T.StructField("site", T.StringType())]
-    return T.StructType(fields + [T.StructField("pos", T.LongType())] * landed_pos)
+# RSS items and Atom entries; prefixes (dc:, content:) are dropped, so names are those after the colon.
+ROW_TAGS = ("item", "entry")
+ITEM_OPTIONS = {"ignoreSurroundingSpaces": "false", "ignoreNamespace": "true"}
+_TEXT = T.StringType()
+_VALUE = schemas.struct(_VALUE=_TEXT)
+# All spellings of the elements that feeds use, beside those of files that ``land_feed`` wrote.
+_ELEMENTS = schemas.struct(
+    id=_TEXT,
+    guid=_VALUE,
+    title=_VALUE,
+    author=T.ArrayType(schemas.struct(_VALUE=_TEXT, name=_TEXT)),
+    creator=T.ArrayType(_TEXT),
+    summary=_VALUE,
+    description=_VALUE,
+    content=_VALUE,
+    encoded=_TEXT,
+    link=T.ArrayType(schemas.struct(_VALUE=_TEXT, _href=_TEXT, _rel=_TEXT)),
+    published=_TEXT,
+    pubDate=_TEXT,
+    date=_TEXT,
+    updated=_TEXT,
+)
+FILE = "_file"
+
+
+def _item_schema() -> T.StructType:
+    """Elements of an item, its stored position, and ``site`` for feeds in ``site=…`` folders."""
+    return T.StructType([*_ELEMENTS.fields, T.StructField("site", _TEXT), T.StructField("pos", T.LongType())])
+
+
+def _fields() -> dict[str, Column]:
+    """An entry's fields, each from the first element that has it."""
+    names = F.transform("author", lambda a: F.coalesce(a["name"], a["_VALUE"]))
+    joined = lambda c: F.when(F.size(F.filter(c, lambda x: x.isNotNull())) > 0, F.array_join(c, ", "))
+    plain = F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    link = F.coalesce(F.get(plain, 0), F.get("link", 0))
+    link = F.coalesce(link["_VALUE"], link["_href"])
+    guid = F.col("guid._VALUE")
+    return {
+        "id": F.coalesce("id", guid, link),
+        "title": F.col("title._VALUE"),
+        "author": F.coalesce(joined(F.col("creator")), joined(names)),
+        "summary": F.coalesce("summary._VALUE", "description._VALUE", "content._VALUE", "encoded"),
+        "link": F.coalesce(link, F.when(guid.rlike("^https?://"), guid)),
+        "published": F.coalesce("published", "pubDate", "date", "updated"),
+    }
 
 
 def _site() -> Column:
@@ -25,22 +64,38 @@ def _site() -> Column:
 
 def _entries(items: DataFrame, site: Column | None) -> DataFrame:
     placed = items.withColumn("site", _site() if site is None else site)
-    return placed.select(*schemas.ENTRY.fieldNames())
+    fields = [c.alias(n) for n, c in _fields().items()]
+    return placed.select("site", "pos", *fields, F.col("_metadata.file_path").alias(FILE))
+
+
+def place(entries: DataFrame) -> DataFrame:
+    """Positions for entries that were landed without: file by file, in file order.
+
+    A position is made of a hash of the file's path and the item's place in the file, so it does not
+    depend on how files are packed into tasks, nor on what else has landed.  (One task reads a whole
+    file.)  Entries of files that store positions keep them.
+    """
+    numbered = entries.withColumn("_n", F.monotonically_increasing_id())
+    first = numbered.groupBy(FILE).agg(F.min("_n").alias("_first"))
+    within = numbered.join(first, FILE).withColumn("_n", F.col("_n") - F.col("_first"))
+    file_no = F.shiftrightunsigned(F.xxhash64(FILE), 34)
+    pos = F.coalesce("pos", F.shiftleft(file_no, 33) + F.col("_n"))
+    return within.withColumn("pos", pos).select(*schemas.ENTRY.fieldNames())
 
 
 def read_feed(
     spark: SparkSession, path: str, site: Column | None = None, landed_pos: bool = False
 ) -> DataFrame:
-    """Entries of landed XML feeds.
+    """Entries of landed RSS and Atom files.
 
-    ``landed_pos``: the landing job stored each item's position.  Otherwise a file's items are
-    numbered in file order (one task reads a whole file), with numbers no other file has.
+    ``landed_pos``: the landing job stored each item's position.  Otherwise see ``place``.
     """
-    reader = spark.read.schema(_item_schema(landed_pos)).format("xml").options(**ITEM_OPTIONS)
-    items = reader.load(path)
-    if not landed_pos:
-        items = items.withColumn("pos", F.monotonically_increasing_id())
-    return _entries(items, site)
+    kinds = []
+    for tag in ROW_TAGS:
+        reader = spark.read.schema(_item_schema()).format("xml").options(rowTag=tag, **ITEM_OPTIONS)
+        found = _entries(reader.load(path), site)
+        kinds.append(found.select(*schemas.ENTRY.fieldNames()) if landed_pos else place(found))
+    return kinds[0].unionByName(kinds[1])
 
 
 def read_site_feed(spark: SparkSession, root: str, **kw) -> DataFrame:
@@ -57,10 +112,14 @@ def read_journal_feed(spark: SparkSession, path: str, site: str = "journal", **k
 
 
 def stream_feed(
-    spark: SparkSession, path: str, site: Column | None = None, max_files: int | None = None
+    spark: SparkSession, path: str, site: Column | None = None, max_files: int | None = None, row_tag: str = "item"
 ) -> DataFrame:
-    """The same files as a stream: each newly landed file is read once."""
-    reader = spark.readStream.schema(_item_schema(True)).format("xml").options(**ITEM_OPTIONS)
+    """The same files as a stream: each newly landed file is read once.
+
+    Rows carry their file; streams over them call ``place`` on each micro-batch.  RSS and Atom feeds are
+    two streams (``row_tag``).
+    """
+    reader = spark.readStream.schema(_item_schema()).format("xml").options(rowTag=row_tag, **ITEM_OPTIONS)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return _entries(reader.load(path), site)

@@ -4,6 +4,7 @@ becomes visible only when its marker row is, so a job that dies half way leaves
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -24,27 +25,59 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 
 
 class MatchState:
-    """Saved matches of the weekly flow, and the record of what has been flushed."""
+    """Saved matches of the weekly flow, and the record of what has been sent.
+
+    Rows belong to a run and an attempt, and count once the attempt is in ``slices``; a run counts once,
+    so a batch or stream that is repeated appends nothing.  A flush records the slices (site, run,
+    date) that it has sent: whatever is not recorded is pending, however late it was appended.
+    """
 
     def __init__(self, spark: SparkSession, base: str) -> None:
         self.spark = spark
         self.matches_path = f"{base}/matches"
+        self.slices_path = f"{base}/slices"
         self.flushes_path = f"{base}/flushes"
 
-    def append(self, rows: DataFrame) -> None:
-        """Bag append.  Rebalancing keeps files even when one site has most of the matches."""
+    def slices(self) -> DataFrame:
+        return read_or_empty(self.spark, self.slices_path, schemas.SLICES)
+
+    def append(self, rows: DataFrame, run_id: str | None = None) -> bool:
+        """Bag append of one run.  False if a run of this id (by default a new one) was appended before.
+
+        Rebalancing keeps files even when one site has most of the matches.
+        """
+        run_id = uuid.uuid4().hex if run_id is None else run_id
+        if not self.slices().where(F.col("run_id") == run_id).isEmpty():
+            return False
+        attempt = uuid.uuid4().hex
         (
             rows.select(*schemas.SAVED_MATCH.fieldNames())
+            .withColumns({"run_id": F.lit(run_id), "attempt": F.lit(attempt)})
             .hint("rebalance", "week", "site")
             .write.mode("append")
             .partitionBy("week", "site")
             .parquet(self.matches_path)
         )
+        own = self._stored().where(F.col("attempt") == attempt)
+        held = own.groupBy("site", "week", "append_date").agg(F.count("*").alias("n"))
+        none = self.spark.createDataFrame([(None, None, None, 0)], "site string, week date, append_date date, n bigint")
+        marker = held.unionByName(none).withColumns({"run_id": F.lit(run_id), "attempt": F.lit(attempt)})
+        marker.select(*schemas.SLICES.fieldNames()).coalesce(1).write.mode("append").parquet(self.slices_path)
+        return True
+
+    def _stored(self) -> DataFrame:
+        kinds = T.StructType([*schemas.SAVED_MATCH.fields, *(schemas.SLICES[n] for n in ("run_id", "attempt"))])
+        return read_or_empty(self.spark, self.matches_path, kinds)
+
+    def _committed(self) -> DataFrame:
+        """Rows of the first committed attempt of each run, with ``run_id``."""
+        attempts = self.slices().groupBy("run_id").agg(F.min("attempt").alias("attempt"))
+        rows = self._stored().join(attempts.select("attempt"), "attempt", "left_semi")
+        return rows.select(*schemas.SAVED_MATCH.fieldNames(), "run_id")
 
     def read(self, site: str | None = None, week: dt.date | None = None) -> DataFrame:
         """Saved matches; both filters prune partitions."""
-        rows = read_or_empty(self.spark, self.matches_path, schemas.SAVED_MATCH)
-        rows = rows.select(*schemas.SAVED_MATCH.fieldNames())
+        rows = self._committed().drop("run_id")
         if site is not None:
             rows = rows.where(F.col("site") == site)
         return rows if week is None else rows.where(F.col("week") == F.lit(week))
@@ -52,24 +85,36 @@ class MatchState:
     def flushes(self) -> DataFrame:
         return read_or_empty(self.spark, self.flushes_path, schemas.FLUSHES)
 
-    def is_flushed(self, day: dt.date) -> bool:
-        return not self.flushes().where(F.col("flush_date") == F.lit(day)).isEmpty()
-
-    def pending(self, day: dt.date) -> DataFrame:
-        """Rows that the flush of ``day`` has to send: appended after the flush before it."""
-        earlier = self.flushes().where(F.col("flush_date") < F.lit(day))
-        last = earlier.agg(F.max("flush_date")).first()[0]
-        rows = self.read().where(F.col("append_date") <= F.lit(day))
-        if last is None:
-            return rows
-        # the week filter prunes partitions, the date filter is exact
-        monday = last - dt.timedelta(days=last.weekday())
-        return rows.where((F.col("week") >= F.lit(monday)) & (F.col("append_date") > F.lit(last)))
-
-    def clear(self, day: dt.date) -> None:
-        """Logical clear: from here on rows up to ``day`` are no longer pending."""
-        marker = self.spark.createDataFrame([(day,)], schemas.FLUSHES)
-        marker.write.mode("append").parquet(self.flushes_path)
+    def is_flushed(self, flush_run: str) -> bool:
+        return not self.flushes().where((F.col("flush_run") == flush_run) & F.col("site").isNull()).isEmpty()
+
+    def pending_slices(self, day: dt.date, sites: DataFrame | None = None) -> DataFrame:
+        """Slices (site, week, run_id, append_date) up to ``day`` that no flush has sent."""
+        keys = ["site", "run_id", "append_date"]
+        held = self.slices().where(F.col("site").isNotNull() & (F.col("append_date") <= F.lit(day)))
+        if sites is not None:
+            held = held.join(sites.select("site").distinct(), "site", "left_semi")
+        return held.select(*keys, "week").distinct().join(self.flushes().select(*keys), keys, "left_anti")
+
+    def pending(self, day: dt.date, sites: DataFrame | None = None) -> DataFrame:
+        """Rows that a flush on ``day`` has to send, for the given sites or all.
+
+        Only the weeks of pending slices are read: there are 52 of them in a year.
+        """
+        due = self.pending_slices(day, sites)
+        weeks = [r["week"] for r in due.select("week").distinct().collect()]
+        rows = self._committed().where(F.col("week").isin(weeks)) if weeks else self._committed().where("false")
+        keys = ["site", "run_id", "append_date"]
+        return rows.join(due.select(*keys), keys, "left_semi").select(*schemas.SAVED_MATCH.fieldNames())
+
+    def clear(self, day: dt.date, sites: DataFrame | None = None, flush_run: str | None = None) -> None:
+        """Record that everything pending up to ``day`` (of the given sites) has been sent."""
+        run = uuid.uuid4().hex if flush_run is None else flush_run
+        stamp = {"flush_date": F.lit(day), "flush_run": F.lit(run)}
+        sent = self.pending_slices(day, sites).drop("week").withColumns(stamp)
+        done = self.spark.createDataFrame([(day, run, None, None, None)], schemas.FLUSHES)
+        sent = sent.select(*schemas.FLUSHES.fieldNames()).unionByName(done)
+        sent.coalesce(1).write.mode("append").parquet(self.flushes_path)
 
 
 class SeenLinks:
@@ -79,33 +124,59 @@ class SeenLinks:
         self.spark = spark
         self.base = base
 
+    def log(self) -> DataFrame:
+        return read_or_empty(self.spark, f"{self.base}/log", schemas.SEEN_LOG)
+
+    def _last(self) -> tuple[int, int | None]:
+        """The last committed version and the version whose links are current."""
+        row = self.log().agg(F.max_by(F.struct("version", "links"), "version").alias("last")).first()["last"]
+        return (0, None) if row is None else (row["version"], row["links"])
+
     def version(self) -> int | None:
-        log = read_or_empty(self.spark, f"{self.base}/log", schemas.SEEN_LOG)
-        return log.agg(F.max("version")).first()[0]
+        return self._last()[0] or None
+
+    def has(self, snapshot: str) -> bool:
+        """Whether a snapshot was taken in before, with news or without."""
+        return not self.log().where(F.col("snapshot") == snapshot).isEmpty()
 
     def read(self) -> DataFrame:
         """Stored links; empty on the first run, when every entry is new."""
-        version = self.version()
-        if version is None:
+        links = self._last()[1]
+        if links is None:
             return self.spark.createDataFrame([], schemas.SEEN_LINK)
-        return self.spark.read.schema(schemas.SEEN_LINK).parquet(f"{self.base}/links/v{version}")
+        return self.spark.read.schema(schemas.SEEN_LINK).parquet(f"{self.base}/links/v{links}")
 
-    def write(self, links: DataFrame, version: int) -> None:
+    def write(self, links: DataFrame, version: int, snapshot: str | None = None) -> None:
         """Store a whole new version, then commit it; the version being read is never touched."""
         links.select("link").write.mode("overwrite").parquet(f"{self.base}/links/v{version}")
-        marker = self.spark.createDataFrame([(version,)], schemas.SEEN_LOG)
+        self._commit(version, snapshot, version)
+
+    def keep(self, snapshot: str) -> None:
+        """Commit a snapshot without news: the links stay."""
+        version, links = self._last()
+        self._commit(version + 1, snapshot, links)
+
+    def _commit(self, version: int, snapshot: str | None, links: int | None) -> None:
+        marker = self.spark.createDataFrame([(version, snapshot, links)], schemas.SEEN_LOG)
         marker.write.mode("append").parquet(f"{self.base}/log")
 
 
-def write_digests(digests: DataFrame, path: str) -> None:
-    """Digest table by run date.  Dynamic overwrite makes a repeated run replace its own day only."""
+def write_digests(digests: DataFrame, path: str, run_id: str = "0") -> None:
+    """Digest table by date, kind and run.
+
+    Dynamic overwrite makes a repeated run replace what it wrote itself and nothing else: other kinds
+    and other runs of the day stay.
+    """
     (
-        digests.write.mode("overwrite")
+        digests.withColumn("run_id", F.lit(run_id))
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_date")
+        .partitionBy("run_date", "kind", "run_id")
         .parquet(path)
     )
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
-    return read_or_empty(spark, path, schemas.DIGEST).select(*schemas.DIGEST.fieldNames())
+    """All digests, with the run that made them."""
+    kinds = T.StructType([*schemas.DIGEST.fields, T.StructField("run_id", T.StringType())])
+    return read_or_empty(spark, path, kinds).select(*kinds.fieldNames())

@@ -4,33 +4,36 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from feedwatch import schemas
 from feedwatch.operators import match as mt
 from feedwatch.plans.journal import run_journal
-from feedwatch.sources.state import SeenLinks
+from feedwatch.sources.feeds import FILE, place
+from feedwatch.sources.state import MatchState, SeenLinks
 
 
 def start_match_stream(
-    entries: DataFrame, watch: DataFrame, append_date: Column, path: str, checkpoint: str
+    entries: DataFrame, watch: DataFrame, append_date: Column, state: MatchState, checkpoint: str, name: str = "stream"
 ) -> StreamingQuery:
-    """Append the matches of newly landed entries to the weekly state.
+    """Append the matches of newly landed entries to the weekly state, beside batch runs.
 
-    The watchlist is the static side of the join.  The file sink commits a batch as a whole, so a
-    batch that is retried after a failure appears once.
+    The watchlist is the static side of the join.  Each micro-batch is a run of the state, known by the
+    stream's name and the batch's number, so a batch that is retried appears once.
     """
-    rows = mt.saved_match_row(mt.matched_entries(entries, watch), append_date)
+
+    def one_batch(batch: DataFrame, batch_id: int) -> None:
+        placed = place(batch) if FILE in batch.columns else batch
+        rows = mt.saved_match_row(mt.matched_entries(placed, watch), append_date)
+        state.append(rows, f"{name}-{batch_id}")
+
     return (
-        rows.select(*schemas.SAVED_MATCH.fieldNames())
-        .writeStream.outputMode("append")
-        .format("parquet")
-        .partitionBy("week", "site")
+        entries.writeStream.foreachBatch(one_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start(path)
+        .start()
     )
 
 
@@ -47,21 +50,30 @@ def weekly_counts(saved: DataFrame, ts: str = "ts", delay: str = "1 day") -> Dat
     )
 
 
+def land_snapshot(entries: DataFrame, root: str, snapshot: str) -> None:
+    """Land a snapshot of any number of files; its name is added to the list once it is complete."""
+    entries.write.mode("overwrite").parquet(f"{root}/data/{snapshot}")
+    names = entries.sparkSession.createDataFrame([(snapshot,)], schemas.LANDED)
+    names.write.mode("append").parquet(f"{root}/landed")
+
+
 def start_new_entries_stream(
-    snapshots: DataFrame, state: SeenLinks, digest_path: str, run_date: dt.date, checkpoint: str
+    spark: SparkSession, root: str, state: SeenLinks, digest_path: str, run_date: dt.date, checkpoint: str
 ) -> StreamingQuery:
-    """One landed snapshot per batch: digest of what is new, then the new state.
+    """Digest and new state of each landed snapshot, in the order of their names.
 
-    The batch number is the state version, so a batch that already committed is skipped on retry.
+    The stream reads the list of complete snapshots; a micro-batch may hold several names, and each is
+    read whole, however many files it has.  The state knows the snapshots it has taken in.
     """
 
-    def one_snapshot(batch: DataFrame, batch_id: int) -> None:
-        version = state.version()
-        if version is None or version < batch_id:
-            run_journal(batch, state, f"{digest_path}/batch={batch_id}", run_date, batch_id)
+    def snapshots(batch: DataFrame, batch_id: int) -> None:
+        for row in batch.select("snapshot").distinct().orderBy("snapshot").collect():  # names only
+            current = spark.read.schema(schemas.ENTRY).parquet(f"{root}/data/{row['snapshot']}")
+            run_journal(current, state, digest_path, run_date, row["snapshot"])
 
     return (
-        snapshots.writeStream.foreachBatch(one_snapshot)
+        spark.readStream.schema(schemas.LANDED).parquet(f"{root}/landed")
+        .writeStream.foreachBatch(snapshots)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from feedwatch import schemas
 from feedwatch.functions import formats as fmt
-from feedwatch.operators.digest import digest_concat, join_parts
+from feedwatch.operators.digest import digest_concat
 from feedwatch.plans.daily import daily_digest
 from tests.test_match import make_entries, make_watch
 
@@ -49,18 +49,12 @@ def test_parts_make_the_message(spark, per_part):
         assert {(r.n_parts, r.n_entries) for r in group} == {(len(group), len(texts))}
         for r in group:
             assert r.html.count("<") < 2 * per_part
-    whole = {r.site: r for r in join_parts(parts, ["site"], max_parts=len(rows)).collect()}
-    assert {s: r.html for s, r in whole.items()} == {s: f"[{s}{''.join(t)}]" for s, t in expected.items()}
-    assert {r.n_parts for r in whole.values()} == {1}
-
-
-def test_oversized_message_keeps_its_parts(spark):
-    items = spark.createDataFrame(skewed(1, 400), "site string, pos bigint, html string")
-    parts = digest_concat(items, ["site"], ["pos"], passthrough, F.lit("["), F.lit("]"), per_part=10)
-    kept = join_parts(parts, ["site"], max_parts=3)
-    before = {(r.site, r.part): r.html for r in parts.collect() if r.site == "hot"}
-    after = {(r.site, r.part): r.html for r in kept.collect() if r.site == "hot"}
-    assert before == after and len(after) > 5
+
+
+def test_entry_without_position_fails(spark):
+    items = spark.createDataFrame([("s", 0, "a"), ("s", None, "b")], "site string, pos bigint, html string")
+    with pytest.raises(Exception, match="no position"):
+        digest_concat(items, ["site"], ["pos"], passthrough, F.lit(""), F.lit("")).collect()
 
 
 def test_order_with_leading_columns(spark):

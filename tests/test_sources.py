@@ -106,6 +106,29 @@ def test_feed_stream(spark, tmp_path):
     assert [(r.site, r.pos, r.title) for r in found] == [("cs", n, f"T{n}") for n in range(4)]
 
 
+RSS = """<?xml version="1.0"?>
+<rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>feed</title><link>http://x</link>
+<item><title>One</title><dc:creator>A. B</dc:creator><dc:creator>C</dc:creator><description>d &lt;p&gt;</description>
+<link>http://l/1</link><guid isPermaLink="true">http://g/1</guid><pubDate>Mon</pubDate></item>
+<item><title>Two</title><guid>http://g/2</guid></item></channel></rss>"""
+ATOM = """<feed xmlns="http://www.w3.org/2005/Atom"><title>f</title><entry><title type="text">Three</title>
+<author><name>D</name></author><author><name>E</name></author><summary type="html">s</summary>
+<link rel="self" href="http://self"/><link rel="alternate" href="http://l/3"/><id>3</id><updated>Tue</updated></entry></feed>"""
+
+
+def test_delivered_feeds(spark, tmp_path):
+    (tmp_path / "cs.xml").write_text(RSS)
+    (tmp_path / "gr.xml").write_text(ATOM)
+    found = {r.title: r for r in fd.read_feed(spark, str(tmp_path)).collect()}
+    one, two, three = found["One"], found["Two"], found["Three"]
+    assert tuple(one)[2:] == ("http://g/1", "One", "A. B, C", "d <p>", "http://l/1", "Mon") and one.site == "cs"
+    assert tuple(two)[2:] == ("http://g/2", "Two", None, None, "http://g/2", None) and two.pos == one.pos + 1
+    assert tuple(three)[2:] == ("3", "Three", "D, E", "s", "http://l/3", "Tue") and three.site == "gr"
+    (tmp_path / "aa.xml").write_text(RSS)  # what else has landed changes no position
+    again = {(r.site, r.title): r.pos for r in fd.read_feed(spark, str(tmp_path)).collect()}
+    assert again["cs", "One"] == one.pos and again["gr", "Three"] == three.pos and len(set(again.values())) == 5
+
+
 def test_triplet_files(spark, tmp_path):
     papers = {
         "anchor": {"title": "graph theory", "abstract": "Graphs are nice. Trees too."},

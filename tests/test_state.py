@@ -59,16 +59,16 @@ def test_uncommitted_version_is_not_seen(spark):
 
 def test_snapshot_stream_and_retry(spark):
     base = fresh_path(spark, "stream")
-    for links, _, _ in STEPS[:4]:
-        snapshot(spark, links).coalesce(1).write.mode("append").parquet(f"{base}/landed")
+    for n, (links, _, _) in enumerate(STEPS[:4]):
+        flows.land_snapshot(snapshot(spark, links).repartition(2), base, f"s{n}")
     state = SeenLinks(spark, base)
 
     def run(checkpoint):
-        stream = spark.readStream.schema(schemas.ENTRY).option("maxFilesPerTrigger", 1).parquet(f"{base}/landed")
-        flows.start_new_entries_stream(stream, state, f"{base}/digests", MON, checkpoint).awaitTermination()
-        found = spark.read.parquet(f"{base}/digests").select("batch", "n_entries").collect()
-        return {r.batch: r.n_entries for r in found}
+        flows.start_new_entries_stream(spark, base, state, f"{base}/digests", MON, checkpoint).awaitTermination()
+        found = read_digests(spark, f"{base}/digests").collect()
+        return {int(r.run_id[1:]) - 1: r.n_entries for r in found}
 
+    # snapshots without news take a version too, so digests are numbered by snapshot
     expected = {n: len(new) for n, (_, new, _) in enumerate(STEPS[:4]) if new}
     assert run(f"{base}/checkpoint") == expected
     assert {r.link for r in state.read().collect()} == {"a", "b"}
@@ -84,12 +84,13 @@ def weekly(spark):
     monday = make_entries(spark, [("cs", "T1", "B, Ann Lee", "s"), ("cs", "T2", "B", "s")])
     sunday = make_entries(spark, [("cs", "An RTOS", "B", "s"), ("gr", "T3", "B", "s")])
 
-    def run(entries, day):
-        return wk.run_weekly(entries, watch, state, f"{base}/digests", day)
+    def run(entries, day, run_id=None, sites=("cs", "gr")):
+        rules = watch.where(F.col("site").isin(*sites))
+        return wk.run_weekly(entries, rules, state, f"{base}/digests", day, run_id=run_id)
 
     def sent(day):
         rows = read_digests(spark, f"{base}/digests").where(F.col("run_date") == F.lit(day)).collect()
-        return {(r.site, r.kind): (r.n_entries, r.subject) for r in rows}
+        return {(r.site, r.kind) if r.run_id == str(day) else (r.run_id, r.site, r.kind): (r.n_entries, r.subject) for r in rows}
 
     return run, sent, state, monday, sunday
 
@@ -108,15 +109,45 @@ def test_weekly_flush(weekly):
     assert sent(MON) == {}
     assert run(sunday, SUN) is True
     assert sent(SUN) == FIRST
-    # a second run on the same Sunday sends nothing and loses nothing of the first
+    # the same run again sends nothing and loses nothing of the first
     assert run(sunday, SUN) is False
     assert sent(SUN) == FIRST
+    # another run of that Sunday sends what it brought, beside the first
+    assert run(sunday, SUN, "evening") is True
+    again = sent(SUN)
+    assert {k: v for k, v in again.items() if k in FIRST} == FIRST
+    assert again["evening", "cs", "keyword"][0] == 1 and again["evening", "cs", "author"][0] == 0
     assert run(sunday, NEXT) is True
     assert {k: n for k, (n, _) in sent(NEXT).items()} == {
         ("cs", "author"): 0, ("cs", "keyword"): 1, ("gr", "author"): 0, ("gr", "keyword"): 0
     }
 
 
+def test_late_rows_absent_sites_and_repeats(weekly, spark):
+    run, sent, state, monday, sunday = weekly
+    watch = make_watch(spark, [("cs", ["Ann Lee"], ["rtos"]), ("gr", ["B"], ["x-x"])])
+    assert run(monday, SUN, sites=("gr",)) is True  # nothing of gr
+    assert sent(SUN) == {k: v for k, v in FIRST.items() if k[0] == "gr"}
+    # saved under an old date after the flush, and for a site that the next watchlist lacks
+    late = wk.weekly_matches(make_entries(spark, [("cs", "An RTOS", "x", "s"), ("gr", "T", "x, B", "s")]), watch, MON)
+    assert state.append(late, "late") is True
+    assert state.append(late, "late") is False
+    assert state.read().count() == 2
+    run(sunday.where("false"), NEXT, sites=("cs",))
+    assert {k: n for k, (n, _) in sent(NEXT).items()} == {("cs", "author"): 0, ("cs", "keyword"): 1}
+    assert [r.site for r in state.pending(NEXT).collect()] == ["gr"]
+
+
+def test_dead_attempt_is_not_seen(spark):
+    state = MatchState(spark, fresh_path(spark, "dead"))
+    rows = wk.weekly_matches(make_entries(spark, [("cs", "An RTOS", "B", "s")]), make_watch(spark, [("cs", [], ["rtos"])]), MON)
+    dead = rows.withColumns({"run_id": F.lit("r"), "attempt": F.lit("a")})
+    dead.write.partitionBy("week", "site").parquet(state.matches_path)
+    assert state.read().count() == 0
+    assert state.append(rows, "r") is True
+    assert state.read().count() == 1 and state.pending(SUN).count() == 1
+
+
 def test_missed_sunday(weekly):
     run, sent, state, monday, sunday = weekly
     run(monday, MON)
@@ -145,10 +176,16 @@ def test_match_stream_equals_batch(spark):
     entries = make_entries(spark, [("cs", "An RTOS", "B", "s"), ("cs", "T", "B Lee", "s"), ("cs", "T", "B", "s")])
     entries.repartition(3).write.parquet(f"{base}/landed")
     stream = spark.readStream.schema(schemas.ENTRY).parquet(f"{base}/landed")
-    flows.start_match_stream(stream, watch, F.lit(MON), f"{base}/matches", f"{base}/cp").awaitTermination()
+    state = MatchState(spark, base)
+    flows.start_match_stream(stream, watch, F.lit(MON), state, f"{base}/cp").awaitTermination()
     batch = wk.weekly_matches(entries, watch, MON)
-    streamed = MatchState(spark, base).read()
+    streamed = state.read()
     assert sorted(map(str, batch.select(*streamed.columns).collect())) == sorted(map(str, streamed.collect()))
+    # a lost checkpoint appends nothing twice, and batch runs add to the same state
+    flows.start_match_stream(stream, watch, F.lit(MON), state, f"{base}/cp2").awaitTermination()
+    assert state.read().count() == batch.count()
+    state.append(wk.weekly_matches(entries, watch, SUN), "batch")
+    assert state.read().count() == 2 * batch.count() == state.pending(SUN).count()
 
 
 def test_pruned_state_reads(spark):
@@ -170,6 +207,14 @@ def test_first_copies(spark):
     assert {(r.entry.id, r.append_date) for r in kept.collect()} == {("0", MON), ("1", MON)}
 
 
+def test_first_copies_without_id(spark):
+    watch = make_watch(spark, [("cs", [], ["rtos"])])
+    rows = make_entries(spark, [("cs", "An RTOS", "B", "s"), ("cs", "The RTOS", "B", "s")])
+    bare = rows.withColumn("id", F.lit(None).cast("string"))
+    for kept, n in ((bare.withColumn("link", F.col("title")), 2), (bare.withColumn("link", F.lit("same")), 1), (bare.withColumn("link", F.lit(None).cast("string")), 2)):
+        assert wk.first_copies(wk.weekly_matches(kept, watch, SUN)).count() == n
+
+
 def test_first_seen_is_cumulative(spark):
     base = fresh_path(spark, "first-seen")
     for day, links in enumerate((["a", "b"], ["b", "c"], ["a"])):
