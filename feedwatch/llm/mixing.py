@@ -73,9 +73,8 @@ def _repeats(sized: DataFrame, seed: int) -> DataFrame:
     the hash come first, and a running sum over them; only the range in which a source's fractional
     epoch ends is put in order, so a source with a third of all documents is never in one task.
     """
-    keyed = sized.withColumn("h", F.xxhash64(F.lit(seed), "id")).withColumn(
-        "range", F.shiftrightunsigned("h", 52).cast("int")
-    )
+    keyed = sized.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("")))))
+    keyed = keyed.withColumn("range", F.conv(F.substring("h", 1, 3), 16, 10).cast("int"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     keyed = keyed.withColumn("whole", F.floor(rate)).withColumn(
         "rest", F.col("target") - F.col("whole") * F.col("source_size")

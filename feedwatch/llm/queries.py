@@ -35,7 +35,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = host_rules.judge(_table(spark, sf_dir, "documents"), carry=["doc_id"])
-    names = [*host_rules.MEASURES, "base_failed", "kept", "host_rate"]
+    names = [*host_rules.MEASURES, "base_failed", "kept"]
     return judged.select("doc_id", *[F.col("fw_rules")[x].alias(x) for x in names])
 
 
@@ -88,4 +88,85 @@ QUERIES: dict[str, Query] = {
         op10_nn_descent,
     )
 }
-ORACLES: dict[str, str] = {}
+
+# Words of every document in DuckDB, numbered from 1; a document without words has no row here.
+_WORDS = r"""
+listed AS (SELECT doc_id, text, source, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+numbered AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM listed)"""
+
+
+def _windows(width: int) -> str:
+    """Each word with the window that starts there (null near the end)."""
+    ahead = f"OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {width - 1} FOLLOWING)"
+    return f"""
+windows AS (SELECT doc_id, i, w, CASE WHEN count(*) {ahead} = {width} THEN string_agg(w, ' ') {ahead} END AS win FROM numbered)"""
+
+
+def _marked(width: int, starts: str) -> str:
+    """Each word and whether a window that ``starts`` covers it."""
+    return f"""
+started AS (SELECT doc_id, i, w, coalesce(win IS NOT NULL AND {starts}, FALSE) AS s FROM windows),
+marked AS (SELECT doc_id, i, w, bool_or(s) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {width - 1} PRECEDING AND CURRENT ROW) AS c
+           FROM started)"""
+
+
+_OP3 = f"""
+WITH {_WORDS}, {_windows(host_rules.WINDOW)}, {_marked(host_rules.WINDOW, "count(*) OVER (PARTITION BY doc_id, win) > 1")},
+repeated AS (SELECT doc_id, count(*) FILTER (WHERE c) AS n FROM marked GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines
+        WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+base AS (
+  SELECT l.doc_id, l.source, len(l.ws)::BIGINT AS n_words, length(array_to_string(l.ws, ''))::BIGINT AS word_chars,
+         len(regexp_extract_all(coalesce(l.text, ''), '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         coalesce(d.n, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+  FROM listed l LEFT JOIN dup d USING (doc_id) LEFT JOIN repeated r USING (doc_id)),
+failing AS (SELECT *, n_words < {host_rules.MIN_WORDS} OR 100 * n_repeat_words > {host_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed
+            FROM base),
+hosts AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (WHERE base_failed)::DOUBLE AS f FROM failing GROUP BY source),
+sums AS (SELECT count(*) AS k, sum(n) AS n, sum(f) AS f, sum(n * n) AS nn, sum(f * f / n) AS ff FROM hosts),
+moments AS (
+  SELECT *, f / n AS mean, f / n * (1 - f / n) AS spread,
+         CASE WHEN k > 1 THEN (ff - f * (f / n) - (k - 1) * (f / n * (1 - f / n))) / (n - nn / n) END AS excess FROM sums),
+prior AS (
+  SELECT *, CASE WHEN k > 1 AND spread > 0 AND excess > 0
+                 THEN least(greatest(spread / excess - 1, {host_rules.PRIOR_STRENGTH[0]}), {host_rules.PRIOR_STRENGTH[1]})
+                 ELSE {host_rules.PRIOR_STRENGTH[1]} END AS strength FROM moments),
+verdicts AS (
+  SELECT h.source, (h.f + strength * (p.f + 0.5) / (p.n + 1))
+    / (h.n + strength * (p.f + 0.5) / (p.n + 1) + strength * (p.n - p.f + 0.5) / (p.n + 1)) > {host_rules.HOST_LIMIT} AS rejected
+  FROM hosts h, prior p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
+FROM failing f JOIN verdicts v ON f.source IS NOT DISTINCT FROM v.source"""
+
+_OP7 = f"""
+WITH {_WORDS}, {_windows(substring.WIDTH)}, {_marked(substring.WIDTH, "min(doc_id) OVER (PARTITION BY win) < doc_id")},
+found AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE c) AS gone, string_agg(w, ' ' ORDER BY i) FILTER (WHERE NOT c) AS kept
+          FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(f.n, 0)::BIGINT AS n_words, coalesce(f.gone, 0)::BIGINT AS n_removed, sha256(coalesce(f.kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN found f USING (doc_id)"""
+
+# Water-filling in closed form: sources in the order of bound by weight, clamped until the rest's level fits.
+_OP8 = f"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         list_extract({list(map(float, mixing.WEIGHTS))}, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1)::INT) AS weight
+  FROM sized GROUP BY source),
+bounds AS (SELECT *, {mixing.MAX_EPOCHS}.0::DOUBLE * source_size AS bound FROM sources),
+ranked AS (
+  SELECT *, row_number() OVER r AS k, coalesce(sum(bound) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS given,
+         sum(weight) OVER (r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open
+  FROM bounds WINDOW r AS (ORDER BY bound / weight, source NULLS LAST)),
+levels AS (SELECT *, ({mixing.BUDGET}::DOUBLE * (SELECT sum(source_size) FROM sources) - given) / open AS level FROM ranked),
+level AS (SELECT level FROM levels WHERE level < bound / weight ORDER BY k LIMIT 1),
+targets AS (SELECT source, source_size, least(bound, weight * (SELECT level FROM level)) AS target FROM bounds),
+keyed AS (
+  SELECT s.doc_id, s.size, t.source_size, t.target, floor(t.target / t.source_size)::BIGINT AS whole,
+         t.target - floor(t.target / t.source_size) * t.source_size AS rest,
+         sum(s.size) OVER (PARTITION BY s.source ORDER BY md5('{mixing.SEED}:' || s.doc_id)) - s.size / 2.0::DOUBLE AS middle
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, ((whole + CASE WHEN middle <= rest AND rest > 0 THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM keyed"""
+
+ORACLES: dict[str, str] = {"op3_host_rules": _OP3, "op7_substring": _OP7, "op8_mixing": _OP8}

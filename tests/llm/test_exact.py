@@ -11,9 +11,10 @@ import pytest
 from feedwatch.llm import host_rules, mixing, pieces, simhash, substring, token_store
 from feedwatch.llm.components import star_roots
 from feedwatch.llm.perfect_hash import PerfectHash
-from feedwatch.llm.queries import QUERIES, public_file
+from feedwatch.llm.queries import ORACLES, QUERIES, public_file
 from tests.llm import brute
 from tests.llm.data import documents, ordered, plain, rows
+from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,6 +29,11 @@ def table_rows(table):
     return [(r.doc_id, r.text, r.source) for r in table.collect()]
 
 
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_sql(spark, name):
+    assert compare(QUERIES[name](spark, SF), connect(SF), ORACLES[name]) is None
+
+
 def test_simhash_awkward(spark):
     found = simhash.simhash_components(documents(spark)).collect()
     assert ordered(found) == ordered(brute.simhash(plain(rows())))
