@@ -81,10 +81,11 @@ def html_to_text(html: StrCol) -> Column:
 
 def html_to_text_sql(html: StrCol) -> Column:
     """JVM mode: patterns and the common entities; equal to the exact mode on well-formed pages."""
-    text = F.regexp_replace(as_col(html), MARKUP_PATTERN, "")
+    bare = F.regexp_replace(as_col(html), MARKUP_PATTERN, "")
+    text = bare
     for entity, char in ENTITIES:
         if entity.endswith("?"):
             text = F.regexp_replace(text, entity, char)
         else:
             text = F.replace(text, F.lit(entity), F.lit(char))
-    return newline_to_space(text)
+    return newline_to_space(F.when(F.contains(bare, F.lit("&")), text).otherwise(bare))

@@ -19,17 +19,20 @@ from pyspark.sql import functions as F
 
 from feedwatch.functions import text as tx
 from feedwatch.functions.vectors import (
+    encode_sentences,
     EncoderFactory,
     encode_in_batches,
     nested_offsets,
     run_once,
 )
+from feedwatch.session import durable, fresh_path
 
 MAX_TARGET_BYTES = 64 << 20
 ENCODER_BATCH = 256
 HIT = "array<struct<target_pos:int,title_similarity:double>>"
 SCORED = "array<struct<target_pos:int,title_similarity:double,top_k_score:double>>"
 BEST = "array<struct<target_pos:int,i:int,j:int,similarity:double>>"
+RANKED = "array<struct<target_pos:int,i:int,j:int,similarity:double,rank:int>>"
 
 
 @dataclass(frozen=True)
@@ -232,7 +235,8 @@ def _sentence_scores(book, sites, hits, offsets, vectors, num_similar: int) -> p
     )
 
 
-def _best_sentences(book, sites, hits, offsets, vectors) -> pa.Array:
+def _best_sentences(book, sites, hits, offsets, vectors, most: int | None = None) -> pa.Array:
+    """``most``: only so many of each pair, ranked; ties stay in target-sentence order."""
     norms = _norms(vectors)
     parts = []
     for matrix, target_norms, p, rows, _ in _candidates(book, sites, hits):
@@ -241,21 +245,21 @@ def _best_sentences(book, sites, hits, offsets, vectors) -> pa.Array:
                 continue
             span = slice(offsets[row], offsets[row + 1])
             sims = _cosines(matrix, target_norms, vectors[span], norms[span])
-            n, best = len(sims), sims.argmax(axis=1)
-            parts.append(
-                (np.full(n, row), np.full(n, p), np.arange(n), best, sims[np.arange(n), best])
-            )
-    rows, targets, i, j, sims = _by_row(parts, 5)
-    return _list_array(
-        rows,
-        len(sites),
-        {
-            "target_pos": (targets, pa.int32()),
-            "i": (i, pa.int32()),
-            "j": (j, pa.int32()),
-            "similarity": (sims, pa.float64()),
-        },
-    )
+            best = sims.argmax(axis=1)
+            top = sims[np.arange(len(sims)), best]
+            i = np.arange(len(sims)) if most is None else np.argsort(-top, kind="stable")[:most]
+            n = len(i)
+            parts.append((np.full(n, row), np.full(n, p), i, best[i], top[i], np.arange(1, n + 1)))
+    rows, targets, i, j, sims, rank = _by_row(parts, 6)
+    fields = {
+        "target_pos": (targets, pa.int32()),
+        "i": (i, pa.int32()),
+        "j": (j, pa.int32()),
+        "similarity": (sims, pa.float64()),
+    }
+    if most is not None:
+        fields["rank"] = (rank, pa.int32())
+    return _list_array(rows, len(sites), fields)
 
 
 # ---------------------------------------------------------------- predicates
@@ -330,15 +334,19 @@ def best_sentences(
     book,
     sentences: str = "sent_vecs",
     encoder: EncoderFactory | None = None,
+    most: int | None = None,
 ) -> DataFrame:
-    """One row per target sentence ``i`` of every hit: its best entry sentence ``j`` (lowest on ties)."""
+    """One row per target sentence ``i`` of every hit: its best entry sentence ``j`` (lowest on ties).
 
-    @F.arrow_udf(BEST)
+    ``most``: only the best so many of each pair, with their ``rank``; nothing is shuffled for it.
+    """
+
+    @F.arrow_udf(BEST if most is None else RANKED)
     def best(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         read = read_vector_lists if encoder is None else text_list_reader(encoder)
         for sites, hits, column in batches:
             offsets, vectors = read(column)
-            yield _best_sentences(book.value, sites, hits, offsets, vectors)
+            yield _best_sentences(book.value, sites, hits, offsets, vectors, most)
 
     rows = candidates.withColumn("best", F.explode(run_once(best)("site", "hits", sentences)))
     return rows.select(*candidates.columns, "best.*")
@@ -366,9 +374,12 @@ def similar_pairs(
     book = broadcast_targets(targets, max_bytes)
     if book is None:
         ready = entries if prepare is None else prepare(entries)
-        return _pairs_by_blocks(ready, targets, settings, encoder, title, sentences)
-    least = settings.title_threshold if settings.use_and and prune else None
-    candidates = title_hits(entries, book, least, title, encoder)
+        return _pairs_by_books(ready, targets, settings, encoder, title, sentences, max_bytes)
+    if not (settings.use_and and prune):
+        ready = entries if prepare is None else prepare(entries)
+        scored = qualified(ready, book, settings, encoder, title, sentences)
+        return scored.withColumn("pair", F.explode("scored")).select(*entries.columns, "pair.*")
+    candidates = title_hits(entries, book, settings.title_threshold, title, encoder)
     if spread:
         candidates = candidates.repartition(spread)
     if prepare is not None:
@@ -388,56 +399,70 @@ def explode_pairs(scored: DataFrame, keep: list[str], settings: Settings) -> Dat
     return scored.withColumn("pair", F.explode(similar)).select(*keep, "pair.*")
 
 
-def _pairs_by_blocks(
+def qualified(
+    entries: DataFrame, book, settings: Settings, encoder: EncoderFactory | None, title: str, sentences: str
+) -> DataFrame:
+    """Adds ``scored``: only the targets that qualify, found in one pass over titles and sentences.
+
+    Where titles do not screen (under OR), every target of a site is scored, but in the kernel only.
+    """
+
+    @F.arrow_udf(SCORED)
+    def scored(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        read_title = read_vectors if encoder is None else text_reader(encoder)
+        read_sents = read_vector_lists if encoder is None else text_list_reader(encoder)
+        for sites, titles, column in batches:
+            hits = _title_hits(book.value, sites, read_title(titles)[1], None)
+            offsets, vectors = read_sents(column)
+            yield _only_similar(
+                _sentence_scores(book.value, sites, hits, offsets, vectors, settings.num_similar_sentences), settings
+            )
+
+    return entries.withColumn("scored", run_once(scored)("site", title, sentences))
+
+
+def _only_similar(scored: pa.Array, settings: Settings) -> pa.Array:
+    """Lists of scored targets without those that do not qualify."""
+    flat, offsets = scored.flatten(), scored.offsets.to_numpy()
+    title, score = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("title_similarity", "top_k_score"))
+    by_title, by_score = title > settings.title_threshold, score > settings.sentence_threshold  # NaN is not above
+    kept = by_title & by_score if settings.use_and else by_title | by_score
+    ends = np.concatenate([[0], np.cumsum(kept)])[offsets - offsets[0]]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.filter(pa.array(kept)))
+
+
+def _pairs_by_books(
     entries: DataFrame,
     targets: DataFrame,
     settings: Settings,
     encoder: EncoderFactory | None,
     title: str,
     sentences: str,
-    entries_per_block: int = 512,
-    targets_per_block: int = 256,
+    max_bytes: int,
 ) -> DataFrame:
-    """The way for more targets than can be broadcast: bounded blocks meet through a shuffle."""
-    keys = ["site", "entry_block", "target_block"]
-    left = entries.withColumn("entry_block", F.expr(f"pos div {entries_per_block}"))
-    right = targets.select(
-        "site",
-        "target_pos",
-        "title_vec",
-        "sent_vecs",
-        F.expr(f"target_pos div {targets_per_block}").alias("target_block"),
-    )
-    grid = (
-        left.select("site", "entry_block")
-        .distinct()
-        .join(right.select("site", "target_block").distinct(), "site")
-    )
-    left = left.join(grid, ["site", "entry_block"])
-    right = right.join(grid, ["site", "target_block"])
-    right = right.select(*(F.col(c).alias(c) for c in right.columns))
-    least = settings.title_threshold if settings.use_and else None
-    num_similar = settings.num_similar_sentences
-    names = entries.columns
-
-    def score(block: pa.Table, known: pa.Table) -> pa.Table:
-        block = block.combine_chunks()
-        read_title = read_vectors if encoder is None else text_reader(encoder)
-        read_sents = read_vector_lists if encoder is None else text_list_reader(encoder)
-        book = _book(known)
-        columns = {n: _one_chunk(block, n) for n in {*names}}
-        hits = _title_hits(book, columns["site"], read_title(columns[title])[1], least)
-        offsets, vectors = read_sents(columns[sentences])
-        scored = _sentence_scores(book, columns["site"], hits, offsets, vectors, num_similar)
-        return block.select(names).append_column("scored", scored)
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in entries.schema)
-    scored = (
-        left.groupBy(*keys)
-        .cogroup(right.groupBy(*keys))
-        .applyInArrow(score, f"{fields}, scored {SCORED}")
-    )
-    return explode_pairs(scored, names, settings)
+    """The way for more targets than can be broadcast: books of targets, one after the other.
+
+    Every text is encoded once, into a stored table.  Each book is broadcast, passes over that table as
+    a map, and is freed; neither entries nor targets are copied or shuffled.
+    """
+    known = durable(targets.select("site", "target_pos", "title_vec", "sent_vecs"), "targets")
+    n_targets = known.count()
+    # Twice as many books as would do, since a hash deals targets out unevenly.
+    books = max(1, min(n_targets, -(-2 * target_bytes(known) // max(max_bytes, 1))))
+    names, vectors = entries.columns, entries
+    if encoder is not None:
+        vectors = vectors.withColumn("_title_vec", F.get(encode_sentences(F.array(title), encoder), 0))
+        vectors = durable(vectors.withColumn("_sent_vecs", encode_sentences(F.col(sentences), encoder)), "vectors")
+        title, sentences = "_title_vec", "_sent_vecs"
+    path = fresh_path(entries.sparkSession, "pairs")
+    for number in range(books):
+        own = known.where(F.pmod(F.xxhash64("site", "target_pos"), F.lit(books)) == number)
+        book = entries.sparkSession.sparkContext.broadcast(_book(own.toArrow()))
+        scored = qualified(vectors, book, settings, None, title, sentences)
+        pairs = scored.withColumn("pair", F.explode("scored")).select(*names, "pair.*")
+        pairs.write.mode("append").parquet(path)
+        book.destroy()
+    return entries.sparkSession.read.schema(pairs.schema).parquet(path)
 
 
 def _one_chunk(table: pa.Table, name: str) -> pa.Array:

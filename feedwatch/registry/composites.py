@@ -153,16 +153,7 @@ FROM ranked WHERE rank <= 4""",
 )
 def top_k_sentence_report(spark, sf_dir):
     """The best sentence pairs of every pair whose titles are close, with both sentences."""
-    targets = targets_of(spark, sf_dir)
-    book = sim.broadcast_targets(targets)
-    entries = plan.prepare_titles(v.delivered(spark, sf_dir))
-    near = sim.title_hits(entries, book, SET.title_threshold, "title", hashed_encoder())
-    best = sim.best_sentences(plan.prepare_sentences(near), book, "sentences", hashed_encoder())
-    ranked = sim.rank_sentence_matches(best, PAIR).where(F.col("rank") <= 4)
-    texts = targets.select(
-        "site", "target_pos", tx.sentence_split("summary").alias("target_sentences")
-    )
-    rows = ranked.join(texts, ["site", "target_pos"])
+    rows = plan.sentence_report(v.delivered(spark, sf_dir), targets_of(spark, sf_dir), SET, 4)
     return rows.select(
         "target_pos",
         "pos",
@@ -170,8 +161,8 @@ def top_k_sentence_report(spark, sf_dir):
         "i",
         "j",
         F.round("similarity", 6).alias("score"),
-        F.md5(F.get("target_sentences", F.col("i"))).alias("target_md5"),
-        F.md5(F.get("sentences", F.col("j"))).alias("entry_md5"),
+        F.md5("target_sentence").alias("target_md5"),
+        F.md5("entry_sentence").alias("entry_md5"),
     )
 
 

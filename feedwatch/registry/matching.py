@@ -175,16 +175,21 @@ def all_sites_empty(spark, sf_dir):
     return mt.all_sites_empty(v.watch(spark), matched(spark, sf_dir))
 
 
+_ABSENT = "no-such-word"
+
+
 @register(
     "nothing_found_notice",
-    v.LABELLED + f"""
+    "WITH" + v.ENTRIES + f"""
 SELECT '{fmt.NOTHING_FOUND}' AS subject, '<b>{fmt.NOTHING_FOUND}</b>' AS html, '{fmt.NOTHING_FOUND}' AS plain
-FROM (SELECT count(*) FILTER (match IN ('author', 'title', 'summary') AND site = 'src3') AS n FROM labelled)
+FROM (SELECT count(*) FILTER (instr(author, '{_ABSENT}') > 1 OR instr(lower(title), '{_ABSENT}') > 1
+                              OR instr(lower(summary), '{_ABSENT}') > 1) AS n FROM entries)
 WHERE n = 0""",
 )
 def nothing_found_notice(spark, sf_dir):
-    """A watchlist whose only rule matches nothing gives the global notice."""
-    watch = v.watch(spark).where("rule_pos = 3")
+    """A watchlist of every source with terms that occur nowhere gives the global notice."""
+    terms = F.array(F.lit(_ABSENT))
+    watch = v.watch(spark).withColumns({"authors": terms, "words": terms})
     found = mt.matched_entries(v.entries(spark, sf_dir), watch)
     return nothing_found(watch, found).select("subject", "html", "plain")
 

@@ -183,8 +183,8 @@ def is_similar_paper_or(spark, sf_dir):
 
 @register("similar_pairs_by_blocks", EVERY + SIMILAR + "title_similarity > 0.1 AND top_k_score > 0.2")
 def similar_pairs_by_blocks(spark, sf_dir):
-    """The way taken when targets exceed the broadcast bound (set to nothing here)."""
-    return _pairs(spark, sf_dir, SET, max_bytes=0)
+    """The way taken when targets exceed the broadcast bound (a few kB here, so there are several books)."""
+    return _pairs(spark, sf_dir, SET, max_bytes=20_000)
 
 
 @register(

@@ -34,7 +34,7 @@ RULES = [
 ]
 VECTOR_SETTINGS = Settings(4, 0.1, 0.2, True)
 TEXT_SETTINGS = Settings(4, 0.5, 0.6, True)
-TARGET_PAPERS = list(range(8))
+TARGET_SHARE = 16  # every sixteenth paper is a target
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -252,7 +252,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vector_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The papers the configuration names as targets."""
-    chosen = papers(spark, sf_dir).where(F.col("pos").isin(TARGET_PAPERS))
+    chosen = papers(spark, sf_dir).where(F.col("pos") % TARGET_SHARE == 0)
     return chosen.select(
         "site", F.col("pos").cast("int").alias("target_pos"), "title_vec", "sent_vecs"
     )
@@ -269,7 +269,7 @@ papers AS (
          any_value(vec) FILTER (sent_pos = 0) AS title_vec
   FROM sents GROUP BY paper),
 targets AS (SELECT site, CAST(pos AS INTEGER) AS target_pos, title_vec, n_sents
-            FROM papers WHERE pos IN ({", ".join(map(str, TARGET_PAPERS))})),
+            FROM papers WHERE pos % {TARGET_SHARE} = 0),
 title_pairs AS (
   SELECT e.site, t.target_pos, e.pos, e.n_sents AS n_entry, t.n_sents AS n_target,
          list_cosine_similarity(t.title_vec, e.title_vec) AS title_similarity
@@ -474,8 +474,6 @@ stored AS (SELECT DISTINCT link, id FROM snapshot WHERE link LIKE 'https:%')"""
 
 # ---------------------------------------------------------------- metadata pages from documents
 
-RECORD_COLUMNS = ["id", "submitter", "authors", "title", "comments", "journal-ref", "doi", "abstract",
-                  "report-no"]
 
 
 def _element(name: str, value: Column) -> Column:
