@@ -14,6 +14,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedwatch.operators.joins import join_small
+from feedwatch.session import durable
+
 PER_PART = 1000
 
 # (entries, columns to keep) -> those columns with ``html`` and ``plain``
@@ -64,10 +67,10 @@ def digest_concat(
     # A join on the position would drop an entry without one; it must not.
     missing = F.raise_error(F.lit("an entry has no position: assign positions when landing"))
     items = items.withColumn(pos, F.coalesce(F.col(pos), missing.cast("bigint")))
-    layout = digest_layout(items, keys, order, per_part)
-    placed = items.withColumn("bucket", _bucket(pos, per_part)).join(
-        layout, [*keys, *lead, "bucket"]
-    )
+    # The layout is stored and measured: while it is small it is broadcast, and texts are moved once.
+    layout = durable(digest_layout(items, keys, order, per_part), "layout")
+    bucketed = items.withColumn("bucket", _bucket(pos, per_part))
+    placed = join_small(bucketed, layout, [*keys, *lead, "bucket"], salt_by=pos)
     groups = [*keys, "part", "n_parts", "n_entries"]
     rendered = render(placed.repartition(*keys, "part"), [*groups, *order])
     sequence = ", ".join(order)

@@ -25,7 +25,7 @@ def encode_papers(papers: DataFrame, encoder: EncoderFactory | None = None) -> D
 
 
 def triplet_rows(papers: DataFrame) -> DataFrame:
-    """One row per complete triplet.  Each group has three rows by construction."""
+    """One row per complete triplet; ``incomplete_triplets`` lists the others."""
 
     def pick(role: str, name: str):
         return F.any_value(F.when(F.col("role") == role, F.col(name)), True).alias(f"{role}_{name}")
@@ -36,6 +36,16 @@ def triplet_rows(papers: DataFrame) -> DataFrame:
     return rows.dropna(subset=[f"{r}_title_vec" for r in ROLES])
 
 
+def incomplete_triplets(papers: DataFrame) -> DataFrame:
+    """Triplets without one of the three roles, and the roles they have."""
+    known = papers.where(F.col("role").isin(*ROLES))
+    found = papers.select("triplet_id").distinct().join(
+        known.groupBy("triplet_id").agg(F.sort_array(F.collect_set("role")).alias("roles")), "triplet_id", "left"
+    )
+    roles = F.coalesce("roles", F.array().cast("array<string>"))
+    return found.select("triplet_id", roles.alias("roles")).where(F.size("roles") < len(ROLES))
+
+
 def triplet_eval(papers: DataFrame, num_similar: int = 4) -> DataFrame:
     """Scores and margin of every triplet of encoded papers."""
     return sim.triplet_scores(triplet_rows(papers), num_similar)

@@ -42,10 +42,15 @@ def newline_to_space(spark, sf_dir):
 
 
 def _html_sql() -> str:
-    text = f"regexp_replace(html, {v.sql_text(hm.MARKUP_PATTERN)}, '', 'g')"
-    for entity, char in hm.ENTITIES:
-        text = f"regexp_replace({text}, {v.sql_text(entity)}, {v.sql_text(char)}, 'g')"
-    text = f"replace({text}, chr(10), ' ')"
+    """Written step by step and apart from the operator: what is hidden, then tags, then entities."""
+    text = "html"
+    for hidden in ("<!--.*?-->", "<script.*?</script>", "<style.*?</style>", "<template.*?</template>", "<[!?/A-Za-z][^>]*>"):
+        text = f"regexp_replace({text}, '{hidden}', '', 'gsi')"
+    named = {"lt": "<", "gt": ">", "quot": '"', "apos": "''", "#39": "''", "#x27": "''", "nbsp": "\u00a0", "copy": "©", "mdash": "—",
+             "hellip": "…", "middot": "·"}
+    for name, char in named.items():
+        text = f"replace({text}, '&{name};', '{char}')"
+    text = f"replace(replace({text}, '&amp;', '&'), chr(10), ' ')"
     return f"SELECT page_id, md5({text}) AS text_md5, length({text}) AS n_chars FROM pages"
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feedwatch.operators import records as rc
 from feedwatch.plans.metadata import metadata_table
-from feedwatch.plans.triplets import encode_papers, triplet_eval
+from feedwatch.plans.triplets import encode_papers, incomplete_triplets, triplet_eval
 from feedwatch.sources import configs as cf
 from feedwatch.sources import feeds as fd
 from feedwatch.sources import pages as pg
@@ -139,6 +139,9 @@ def test_triplet_files(spark, tmp_path):
         (tmp_path / f"paper_{role}.json").write_text(json.dumps(paper, indent=1))
     read = cf.read_triplets(spark, str(tmp_path))
     assert {(r.triplet_id, r.role, r.title) for r in read.collect()} == {("0", k, p["title"]) for k, p in papers.items()}
+    assert incomplete_triplets(read).count() == 0
+    part = read.where("role <> 'negative'").unionByName(read.limit(1).withColumns({"triplet_id": F.lit("x"), "role": F.lit("other")}))
+    assert {(r.triplet_id, *r.roles) for r in incomplete_triplets(part).collect()} == {("0", "anchor", "positive"), ("x",)}
     scores = triplet_eval(encode_papers(read), num_similar=2).first()
     assert scores.title_positive > scores.title_negative
     # one of two anchor sentences is found again; the sum is over the constant 2
