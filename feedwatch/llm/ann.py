@@ -139,16 +139,17 @@ def _proposals(blocks: int, targets: np.ndarray, others: np.ndarray, sims: np.nd
 PROPOSALS = "block bigint, targets binary, others binary, sims binary"
 
 
-def _leaf(trees: int, bits: int, salt: int):
-    """Batches (block, node, vector) to (tree, leaf, node, vector): tree -1 is the node's block."""
+def _leaf(trees: int, bits: int, groups: int, salt: int):
+    """Batches (block, node, vector) to (tree, leaf, node, vector); the leaves of tree -1 are random groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             matrix = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float16).reshape(batch.num_rows, -1).astype(np.float32)
+            random = _block(batch.column(1).to_numpy() ^ salt, groups)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(batch.num_rows, -1)), batch.column(0), batch.column(1), batch.column(2)], ["tree", "leaf", "node", "vector"]
+                [pa.array(np.full(batch.num_rows, -1)), pa.array(random), batch.column(1), batch.column(2)], ["tree", "leaf", "node", "vector"]
             )
             for tree in range(trees):
                 planes = np.random.default_rng((salt, tree)).normal(size=(matrix.shape[1], max(bits, 1))).astype(np.float32)
@@ -180,7 +181,7 @@ def _compare(nodes: np.ndarray, vectors: np.ndarray, size: int, most: int) -> tu
 
 
 def _start(table: pa.Table, blocks: int) -> pa.Table:
-    """Neighbours within one leaf.  The leaf of tree -1 is a block: every node gets some neighbours."""
+    """Neighbours within one leaf.  Those of tree -1 are random: every node gets some neighbours."""
     nodes = table.column("node").to_numpy()
     vectors = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float16).reshape(len(nodes), -1)
     found = _compare(nodes, vectors, GROUP if table.column("tree")[0].as_py() < 0 else 4 * LEAF, LIST)
@@ -314,7 +315,7 @@ def build_graph(nodes: DataFrame, count: int, rounds: int = ROUNDS, seed: int =
     blocks = max(1, -(-count // BLOCK))
     placed = written(nodes.select("node", "v").mapInArrow(_unit(blocks), "block bigint, node bigint, vector binary"), "vectors")
     bits = max(0, (count // LEAF).bit_length() - 1)
-    leaves = placed.mapInArrow(_leaf(TREES, bits, seed), "tree bigint, leaf bigint, node bigint, vector binary")
+    leaves = placed.mapInArrow(_leaf(TREES, bits, max(1, count // LEAF), seed), "tree bigint, leaf bigint, node bigint, vector binary")
     first = leaves.groupBy("tree", "leaf").applyInArrow(_with_blocks(_start, blocks), PROPOSALS)
     graph = placed.groupBy("block").applyInArrow(_empty_lists, GRAPH)
     graph = written(graph.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(_take_over, GRAPH), "graph", "none")
