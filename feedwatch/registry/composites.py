@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from feedwatch.functions import formats as fmt
 from feedwatch.functions import text as tx
-from feedwatch.functions.vectors import hashed_encoder
 from feedwatch.operators import records as rc
 from feedwatch.operators import similarity as sim
 from feedwatch.operators.digest import PER_PART

@@ -7,7 +7,6 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from feedwatch.functions import formats as fmt
-from feedwatch.functions import text as tx
 from feedwatch.operators import match as mt
 from feedwatch.operators.digest import PER_PART
 from feedwatch.plans import weekly as plan
