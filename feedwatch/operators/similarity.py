@@ -288,6 +288,29 @@ def broadcast_targets(targets: DataFrame, max_bytes: int = MAX_TARGET_BYTES):
     return targets.sparkSession.sparkContext.broadcast(_book(table))
 
 
+def over_books(
+    entries: DataFrame, targets: DataFrame, run: Callable[[DataFrame, object], DataFrame], max_bytes: int = MAX_TARGET_BYTES
+) -> DataFrame:
+    """``run(entries, book)`` for all targets: one book within the bound, else the union over books of targets.
+
+    Each book is broadcast, its rows are stored, and it is freed.  ``run`` has to treat pairs of an entry and a target
+    on their own; an entry with hits in several books has a row for each.
+    """
+    book = broadcast_targets(targets, max_bytes)
+    if book is not None:
+        return run(entries, book)
+    known = durable(targets.select("site", "target_pos", "title_vec", "sent_vecs"), "targets")
+    books = max(1, min(known.count(), -(-2 * target_bytes(known) // max(max_bytes, 1))))
+    path = fresh_path(entries.sparkSession, "books")
+    for number in range(books):
+        own = known.where(F.pmod(F.xxhash64("site", "target_pos"), F.lit(books)) == number)
+        book = entries.sparkSession.sparkContext.broadcast(_book(own.toArrow()))
+        rows = run(entries, book)
+        rows.write.mode("append").parquet(path)
+        book.destroy()
+    return entries.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def title_hits(
     entries: DataFrame,
     book,

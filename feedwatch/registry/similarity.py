@@ -19,20 +19,33 @@ SCREENED = WITH + "," + v.best_sql("screened")
 EVERY = WITH + "," + v.best_sql("title_pairs")
 
 
-def screened(spark, sf_dir):
-    """Entries with the targets whose title qualifies."""
-    book = sim.broadcast_targets(v.vector_targets(spark, sf_dir))
-    return sim.title_hits(v.papers(spark, sf_dir), book, SET.title_threshold), book
+def screened(spark, sf_dir, then=lambda rows, book: rows, max_bytes=sim.MAX_TARGET_BYTES):
+    """Entries with the targets whose title qualifies, and what ``then`` makes of them with the same book."""
 
+    def run(entries, book):
+        return then(sim.title_hits(entries, book, SET.title_threshold), book)
+
+    return sim.over_books(v.papers(spark, sf_dir), v.vector_targets(spark, sf_dir), run, max_bytes)
+
+
+def best(spark, sf_dir, max_bytes=sim.MAX_TARGET_BYTES):
+    def then(rows, book):
+        found = sim.best_sentences(rows.withColumn("n_entry_sentences", F.size("sent_vecs")), book)
+        return found.drop("title_vec", "sent_vecs", "hits")
 
-def best(spark, sf_dir):
-    rows, book = screened(spark, sf_dir)
-    sized = rows.withColumn("n_entry_sentences", F.size("sent_vecs"))
-    found = sim.best_sentences(sized, book)
     targets = v.vector_targets(spark, sf_dir).select(
         "site", "target_pos", F.size("sent_vecs").alias("n_target_sentences")
     )
-    return found.drop("title_vec", "sent_vecs", "hits").join(targets, ["site", "target_pos"])
+    return screened(spark, sf_dir, then, max_bytes).join(targets, ["site", "target_pos"])
+
+
+def scored_pairs(spark, sf_dir, max_bytes=sim.MAX_TARGET_BYTES):
+    """Entries with the scores of the targets whose title qualifies."""
+
+    def then(rows, book):
+        return sim.sentence_scores(rows, book, SET.num_similar_sentences)
+
+    return screened(spark, sf_dir, then, max_bytes)
 
 
 def rounded(name: str):
@@ -44,7 +57,7 @@ def rounded(name: str):
     WITH + "SELECT site, target_pos, pos, round(title_similarity, 6) AS title_similarity FROM screened",
 )
 def title_above_threshold(spark, sf_dir):
-    rows, _ = screened(spark, sf_dir)
+    rows = screened(spark, sf_dir)
     pairs = rows.select("site", "pos", F.explode("hits").alias("hit"))
     return pairs.select(*PAIR[::2], "hit.*").select(*PAIR, rounded("title_similarity"))
 
@@ -57,7 +70,7 @@ FROM title_pairs GROUP BY ALL""",
 )
 def targets_x_entries(spark, sf_dir):
     """Every target meets every entry of its site inside the scoring; only hits become rows."""
-    rows, _ = screened(spark, sf_dir)
+    rows = screened(spark, sf_dir)
     hits = rows.select("site", F.explode("hits.target_pos").alias("target_pos"))
     counted = hits.groupBy("site", "target_pos").agg(F.count("*").alias("n_title_hits"))
     targets = v.vector_targets(spark, sf_dir).select("site", "target_pos")
@@ -152,8 +165,7 @@ def top_k_score_fixed(spark, sf_dir):
     SCREENED + "SELECT site, target_pos, pos, top_k_score > 0.2 AS above FROM scored",
 )
 def sentences_above_threshold(spark, sf_dir):
-    rows, book = screened(spark, sf_dir)
-    scored = sim.sentence_scores(rows, book, SET.num_similar_sentences)
+    scored = scored_pairs(spark, sf_dir)
     pairs = scored.select("site", "pos", F.explode("scored").alias("s")).select("site", "pos", "s.*")
     return pairs.select(*PAIR, sim.above("top_k_score", SET.sentence_threshold).alias("above"))
 

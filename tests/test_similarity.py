@@ -194,3 +194,24 @@ def test_no_exchange_and_python_runs_once(spark):
     text = pairs._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in text and "Join" not in text and "Cartesian" not in text
     assert text.count("ArrowEvalPython") == 2
+
+
+def test_queries_over_books_of_targets(spark):
+    """Above the bound, books of targets give the rows that one book gives."""
+    from feedwatch.registry import similarity as reg
+
+    sf = "/root/testdata/sf0.001"
+    keys = ["site", "pos", "target_pos"]
+
+    def hits(most):
+        return reg.screened(spark, sf, max_bytes=most).select("site", "pos", F.explode("hits").alias("h")).select("site", "pos", "h.*")
+
+    def scores(most):
+        return reg.scored_pairs(spark, sf, most).select("site", "pos", F.explode("scored").alias("s")).select("site", "pos", "s.*")
+
+    def sentences(most):
+        return reg.best(spark, sf, most).select(*keys, "i", "j", "similarity", "n_entry_sentences")
+
+    for rows in (hits, scores, sentences):
+        one = sorted(map(tuple, rows(64 << 20).collect()))
+        assert one and sorted(map(tuple, rows(4_000).collect())) == one
