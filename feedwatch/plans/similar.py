@@ -74,22 +74,24 @@ def similar_papers(
 
 
 def sentence_report(
-    entries: DataFrame, targets: DataFrame, settings: sim.Settings, most: int, encoder: EncoderFactory | None = None
+    entries: DataFrame, targets: DataFrame, settings: sim.Settings, most: int, encoder: EncoderFactory | None = None,
+    max_target_bytes: int = sim.MAX_TARGET_BYTES,
 ) -> DataFrame:
     """The best ``most`` sentence pairs of each pair whose titles are close, with both sentences.
 
-    Ranking happens within the entry's row, so only the reported rows leave the map.  Targets have to
-    be within the broadcast bound.
+    Ranking happens within the entry's row, so only the reported rows leave the map.  Ranks are within
+    one pair, so targets over the broadcast bound are reported on book by book.
     """
     encoder = encoder or hashed_encoder()
-    book = sim.broadcast_targets(targets)
-    if book is None:
-        raise ValueError("the report takes targets up to the broadcast bound; report on parts of them")
-    near = sim.title_hits(prepare_titles(entries), book, settings.title_threshold, "title", encoder)
-    best = sim.best_sentences(prepare_sentences(near), book, "sentences", encoder, most)
-    rows = best.select(
-        "site", "target_pos", "pos", "rank", "i", "j", "similarity", F.get("sentences", F.col("j")).alias("entry_sentence")
-    )
+
+    def report(titled: DataFrame, book) -> DataFrame:
+        near = sim.title_hits(titled, book, settings.title_threshold, "title", encoder)
+        best = sim.best_sentences(prepare_sentences(near), book, "sentences", encoder, most)
+        return best.select(
+            "site", "target_pos", "pos", "rank", "i", "j", "similarity", F.get("sentences", F.col("j")).alias("entry_sentence")
+        )
+
+    rows = sim.over_books(prepare_titles(entries), targets, report, max_target_bytes)
     texts = targets.select("site", "target_pos", tx.sentence_split("summary").alias("_known"))
     joined = join_small(rows, texts, ["site", "target_pos"], "pos")
     return joined.withColumn("target_sentence", F.get("_known", F.col("i"))).drop("_known")

@@ -212,6 +212,22 @@ def test_queries_over_books_of_targets(spark):
     def sentences(most):
         return reg.best(spark, sf, most).select(*keys, "i", "j", "similarity", "n_entry_sentences")
 
+    assert sim.broadcast_targets(reg.v.vector_targets(spark, sf), 4_000) is None
     for rows in (hits, scores, sentences):
         one = sorted(map(tuple, rows(64 << 20).collect()))
         assert one and sorted(map(tuple, rows(4_000).collect())) == one
+
+
+def test_report_over_books_of_targets(spark):
+    from feedwatch.registry import composites as comp
+    from feedwatch.registry import views as v
+
+    sf = "/root/testdata/sf0.001"
+    entries, targets = v.delivered(spark, sf), comp.targets_of(spark, sf)
+    assert sim.target_bytes(targets) > 4_000
+
+    def rows(most):
+        return sorted(map(tuple, plan.sentence_report(entries, targets, comp.SET, 4, max_target_bytes=most).collect()))
+
+    one = rows(64 << 20)
+    assert one and rows(sim.target_bytes(targets) // 2) == one
