@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedwatch.llm import host_rules, mixing, near_copies, pieces, substring
+from feedwatch.llm import host_rules, mixing, pieces, simhash, substring
 from feedwatch.llm.queries import public_file
 from feedwatch.llm.tables import written
 
@@ -23,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group whose five-word shingles are similar at 0.8 or more."""
-    return near_copies.drop_near_copies(docs)
+    """The document with the smallest id of each group of fingerprints within the operator's bit distance."""
+    return simhash.simhash_dedup(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,5 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-# Hash fingerprints, and with them the second stage, cannot be written in DuckDB's SQL.
+# Hash fingerprints (the second stage) and pieces (the last) cannot be written in DuckDB's SQL.
 ORACLE_SQL = None
