@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedwatch.llm import ann, host_rules, lattice_lm, mixing, pieces, quality, simhash, substring, token_store, toxicity
+from feedwatch.llm import ann, host_rules, lattice_lm, mixing, pieces, quality, runs, simhash, substring, token_store, toxicity
+from feedwatch.llm.tables import WORD, let
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,6 +74,46 @@ def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def _planted(docs: DataFrame) -> DataFrame:
+    """doc_id and text, with the contract's repetitions put into every tenth document or so."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("bigint")
+
+    def periodic(words):
+        n = F.size(words).cast("bigint")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+        spread = F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda i: F.get(words, place(i).cast("int")))
+        return F.when(n > 0, F.array_join(spread, " ")).otherwise("")
+
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
+    return docs.select("doc_id", F.when(h % 10 == 0, let(words, periodic)).otherwise(F.col("text")).alias("text"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(_planted(_table(spark, sf_dir, "documents")))
+    kind = "struct<start: bigint, length: bigint, period: bigint>"
+    best = F.reduce(
+        "runs",
+        F.lit(None).cast(kind),
+        lambda old, new: F.when(old.isNull() | (new["length"] * old["period"] > old["length"] * new["period"]), new).otherwise(old),
+    )
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.select("doc_id", "n_words", "collapsed", F.size("runs").cast("bigint").alias("n_runs"), best.alias("best"), lines.alias("lines"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_runs",
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join("lines", ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -86,6 +127,7 @@ QUERIES: dict[str, Query] = {
         op8_mixing,
         op9_pieces,
         op10_nn_descent,
+        op12_runs,
     )
 }
 

@@ -6,6 +6,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import xxhash
 
@@ -113,3 +114,48 @@ def token_rows(rows, tokenizer, end: int = 2) -> list[tuple]:
         out.append((doc_id, start, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))))
         start += len(ids)
     return out
+
+
+def runs(words: list) -> list[tuple]:
+    """(start, length, period) of the runs of six words and four periods at least, by start, then period."""
+    found: dict = {}
+    for q in range(1, len(words) // 4 + 1):
+        i = 0
+        while i < len(words) - q:
+            if words[i] != words[i + q]:
+                i += 1
+                continue
+            j = i
+            while j < len(words) - q and words[j] == words[j + q]:
+                j += 1
+            if j - i + q >= max(6, 4 * q):
+                found.setdefault((i, j - i + q), q)  # a smaller period has the same stretch
+            i = j
+    return sorted(((s, n, q) for (s, n), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def planted_words(doc_id, text: str | None) -> list[str]:
+    own = words(text)
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 == 0 and own:
+        g, n = h // 10, len(own)
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        own = own[:a] + [own[a + (i - a) % p] for i in range(a, n)]
+    return own
+
+
+def run_rows(rows) -> list[tuple]:
+    out = []
+    for doc_id, text, _ in rows:
+        own = planted_words(doc_id, text)
+        found = runs(own)
+        gone = {i for s, n, q in found for i in range(s + q, s + n)}
+        listed = "".join(f"{s},{n},{q}\n" for s, n, q in found)
+        best = max(found, key=lambda r: (Fraction(r[1], r[2]), -r[0], -r[2]), default=(None, None, None))
+        kept = " ".join(w for i, w in enumerate(own) if i not in gone)
+        out.append(
+            (doc_id, len(own), len(found), *best, 1000 * best[1] // best[2] if found else None,
+             hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(kept.encode()).hexdigest())
+        )
+    return out
