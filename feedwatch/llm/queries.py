@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedwatch.llm import ann, host_rules, lattice_lm, mixing, pieces, quality, runs, simhash, substring, token_store, toxicity
+from feedwatch.llm import align, ann, host_rules, lattice_lm, mixing, pieces, quality, runs, simhash, substring, token_store, toxicity
 from feedwatch.llm.tables import WORD, let
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,6 +114,12 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = align.align_tokenizers(docs, public_file("byte_bpe_50k.json"), public_file("piece_bpe_32k.model"), digest=True)
+    return found.drop("text").withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -128,6 +134,7 @@ QUERIES: dict[str, Query] = {
         op9_pieces,
         op10_nn_descent,
         op12_runs,
+        op13_alignment,
     )
 }
 

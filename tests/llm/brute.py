@@ -159,3 +159,58 @@ def run_rows(rows) -> list[tuple]:
              hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(kept.encode()).hexdigest())
         )
     return out
+
+
+def aligned(text: str | None, a, b) -> tuple[list, list, list, list]:
+    """A's and B's ids of one text, its groups (two slices each) and its links, by comparing all byte ranges."""
+    table = byte_level()
+    if not text:
+        return [], [], [], []
+    a_ids = a.encode(" " + text, add_special_tokens=False).ids
+    b_ids = b.encode(text)
+    a_bytes = [bytes(table[c] for c in a.id_to_token(i)) for i in a_ids]
+    b_bytes = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("\u2581", " ").encode() for i in b_ids]
+    if b"".join(a_bytes) != (" " + text).encode() or b"".join(b_bytes) != (" " + text).encode():
+        return [], [], [], []
+
+    def spans(parts):
+        out, at = [], 0
+        for x in parts:
+            out.append((at, at + len(x)))
+            at += len(x)
+        return out
+
+    a_spans, b_spans = spans(a_bytes), spans(b_bytes)
+    groups, low = [], 0
+    for end in sorted({e for _, e in a_spans} & {e for _, e in b_spans}):
+        inside = lambda own, ids: [i for (s, e), i in zip(own, ids, strict=True) if low <= s and e <= end]  # noqa: B023, E731
+        groups.append((inside(a_spans, a_ids), inside(b_spans, b_ids)))
+        low = end
+    links = [
+        (a_ids[i], b_ids[j])
+        for i, (s, e) in enumerate(a_spans)
+        for j, (t, f) in enumerate(b_spans)
+        if max(s, t) < min(e, f)
+    ]
+    return a_ids, b_ids, groups, links
+
+
+def byte_level() -> dict[str, int]:
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+def alignment_rows(rows, a, b) -> list[tuple]:
+    found = [(d, *aligned(t, a, b)) for d, t, _ in rows]
+    counts = Counter(link for *_, links in found for link in links)
+    highest: dict = {}
+    for (_, y), n in counts.items():
+        highest[y] = max(highest.get(y, 0), n)
+    out = []
+    for doc_id, a_ids, b_ids, groups, links in found:
+        text = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+        out.append(
+            (doc_id, len(a_ids), len(b_ids), len(groups), len(links), sum(counts[x] == highest[x[1]] for x in links),
+             sum(counts[x] for x in links), hashlib.sha256(text.encode()).hexdigest() if a_ids else "")
+        )
+    return out
