@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedwatch.llm import align, ann, host_rules, lattice_lm, mixing, pieces, quality, runs, simhash, substring, token_store, toxicity
+from feedwatch.llm import align, ann, host_rules, lattice_lm, minhash, mixing, pieces, quality, runs, simhash, substring, token_store, toxicity
 from feedwatch.llm.tables import WORD, let
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,10 @@ def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.minhash_components(_table(spark, sf_dir, "documents"))
+
+
 def _planted(docs: DataFrame) -> DataFrame:
     """doc_id and text, with the contract's repetitions put into every tenth document or so."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -133,6 +137,7 @@ QUERIES: dict[str, Query] = {
         op8_mixing,
         op9_pieces,
         op10_nn_descent,
+        op11_minhash,
         op12_runs,
         op13_alignment,
     )
