@@ -323,15 +323,7 @@ def matches_parts(per_part: int) -> str:
     return parts_sql("rendered", "rule_pos, site", "pos", per_part, _HEAD, _FOOT)
 
 
-@register(
-    "digest_concat",
-    MARKED_MATCHES + "," + rendered_sql("matched") + matches_parts(8) + """
-SELECT rule_pos, site, part, n_parts, n_entries, md5(html) AS html_md5, length(html) AS html_len,
-       md5(plain) AS plain_md5
-FROM parts""",
-)
-def concat_query(spark, sf_dir):
-    """Digests cut into parts of eight entries and more."""
+def _concat(spark, sf_dir, **bounds):
     found = mt.matched_entries(v.marked(spark, sf_dir), v.watch(spark))
     keys = ["rule_pos", "site"]
     found = durable(
@@ -344,11 +336,54 @@ def concat_query(spark, sf_dir):
         lambda placed, keep: render_matches(with_rules(placed, v.watch(spark)), keep),
         F.lit(fmt.MATCH_HEADER),
         F.lit(fmt.MATCH_FOOTER),
-        per_part=8,
+        **bounds,
     )
     return digest_columns(parts)
 
 
+@register(
+    "digest_concat",
+    MARKED_MATCHES + "," + rendered_sql("matched") + matches_parts(8) + """
+SELECT rule_pos, site, part, n_parts, n_entries, md5(html) AS html_md5, length(html) AS html_len,
+       md5(plain) AS plain_md5
+FROM parts""",
+)
+def concat_query(spark, sf_dir):
+    """Digests cut into parts of eight entries and more."""
+    return _concat(spark, sf_dir, per_part=8)
+
+
+@register(
+    "digest_by_bytes",
+    MARKED_MATCHES + "," + rendered_sql("matched") + f""",
+sized AS (
+  SELECT *, pos // 8 AS bucket,
+         coalesce(strlen(site), 0) + coalesce(strlen(match), 0) + coalesce(strlen(title), 0) + coalesce(strlen(author), 0)
+         + coalesce(strlen(summary), 0) + coalesce(strlen(link), 0) AS size
+  FROM rendered),
+summed AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY rule_pos ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS above,
+         row_number() OVER (PARTITION BY rule_pos ORDER BY pos) - 1 AS place
+  FROM sized),
+slots AS (SELECT *, (min(place) OVER (PARTITION BY rule_pos, bucket)) // 8 AS slot, above // 6000 AS weight FROM summed),
+numbered AS (
+  SELECT *, dense_rank() OVER (PARTITION BY rule_pos ORDER BY slot, weight) - 1 AS part, count(*) OVER (PARTITION BY rule_pos) AS n_entries
+  FROM slots),
+counted AS (SELECT *, max(part) OVER (PARTITION BY rule_pos) + 1 AS n_parts FROM numbered),
+parts AS (
+  SELECT rule_pos, site, part, n_parts, n_entries,
+         CASE WHEN part = 0 THEN {_HEAD} ELSE '' END || string_agg(html, '' ORDER BY pos)
+           || CASE WHEN part = n_parts - 1 THEN {_FOOT} ELSE '' END AS html,
+         string_agg(plain, '' ORDER BY pos) AS plain
+  FROM counted GROUP BY rule_pos, site, part, n_parts, n_entries)
+SELECT rule_pos, site, part, n_parts, n_entries, md5(html) AS html_md5, length(html) AS html_len, md5(plain) AS plain_md5
+FROM parts""",
+)
+def digest_by_bytes(spark, sf_dir):
+    """Parts bounded by text too: a part ends where the next 6,000 bytes of the site begin."""
+    return _concat(spark, sf_dir, per_part=8, part_bytes=6000)
+
+
 @register(
     "daily_digest",
     MARKED_MATCHES + "," + rendered_sql("matched") + matches_parts(PER_PART) + DIGEST_SQL.format(

@@ -2,12 +2,14 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from feedwatch import schemas
 from feedwatch.functions import formats as fmt
+from feedwatch.operators import digest as dg
 from feedwatch.operators.digest import digest_concat
 from feedwatch.plans.daily import daily_digest
 from tests.test_match import make_entries, make_watch
@@ -66,6 +68,51 @@ def test_order_with_leading_columns(spark):
     assert text == "".join(f"{d}.{p} " for d in range(5) for p in range(20))
 
 
+def test_gaps_between_positions(spark):
+    """Positions 1,000 apart: the plan has a few rows a part, and only rows a range are summed over a site."""
+    items = spark.range(6000).selectExpr("if(id % 3 = 0, 'hot', 'cold') AS site", "id * 1000 AS pos", "concat('<', id, '>') AS html")
+    ranged = dg.in_ranges(items, ["site"], ["pos"], 100)
+    layout = dg.digest_layout(ranged, ["site"], ["pos"], 100)
+    ranges = ranged.selectExpr("shiftrightunsigned(_row, 33) AS r").distinct().count()
+    assert layout.count() <= 60 + 2 * ranges
+    assert {(r.site, r.n) for r in layout.selectExpr("if(n_entries = 2000, 'hot', 'cold') AS site", "n_parts AS n").collect()} == {
+        ("hot", 20), ("cold", 40)
+    }
+    # what a window over a whole site reads has been summed up: a row a range, or a row a part in a range
+    plan = dg.digest_layout(ranged, ["site"], ["pos"], 100)._jdf.queryExecution().optimizedPlan().toString()
+    lines = [re.sub(r"^[\s:+|-]*", "", line) for line in plan.splitlines()]
+    over_sites = [i for i, line in enumerate(lines) if re.search(r"^Window .*\], \[site#\d+\]", line)]
+    assert over_sites
+    for i in over_sites:
+        below = next(line for line in lines[i:] if not line.startswith(("Window", "Project")))
+        assert re.match(r"Aggregate \[site#\d+, _range#", below)
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 16])
+def test_parts_bounded_by_bytes(spark, ranges, monkeypatch):
+    """Whatever the ranges, parts are cut where the running sums say, and a large entry stands alone."""
+    rng = random.Random(ranges)
+    rows = [("hot" if rng.random() < 0.8 else None, p, "x" * rng.choice([1, 5, 40, 300])) for p in rng.sample(range(900), 400)]
+    items = spark.createDataFrame(rows, "site string, pos bigint, html string")
+    per_range = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # small ranges stay apart
+    try:
+        parts = digest_concat(items, ["site"], ["pos"], passthrough, F.lit(""), F.lit(""), per_part=20, part_bytes=500).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", per_range)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    for site in ("hot", None):
+        own = sorted((p, x) for s, p, x in rows if s == site)
+        at, size, want = {}, 0, {}
+        for i, (p, x) in enumerate(own):
+            key = (at.setdefault(p // 20, i) // 20, size // 500)
+            want.setdefault(key, []).append(x)
+            size += len(x) + len(site or "")
+        found = sorted((r.part, r.html, r.n_parts, r.n_entries) for r in parts if r.site == site)
+        assert found == [(k, "".join(want[key]), len(want), len(own)) for k, key in enumerate(sorted(want))]
+
+
 def test_daily_digest(spark):
     entries = make_entries(
         spark,
