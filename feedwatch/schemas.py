@@ -43,7 +43,7 @@ SAVED_MATCH = struct(
     rule_pos=LONG, site=TEXT, match=TEXT, entry=ENTRY_BODY, append_date=DAY, week=DAY
 )
 # The commit of one append: what the attempt of a run holds, by slice; one row of nulls if nothing.
-SLICES = struct(run_id=TEXT, attempt=TEXT, site=TEXT, week=DAY, append_date=DAY, n=LONG)
+SLICES = struct(run_id=TEXT, attempt=TEXT, site=TEXT, week=DAY, append_date=DAY, n=LONG, file=TEXT)
 # What a flush has sent; the row without a site says that the flush is complete.
 FLUSHES = struct(flush_date=DAY, flush_run=TEXT, site=TEXT, run_id=TEXT, append_date=DAY)
 DIGEST = struct(

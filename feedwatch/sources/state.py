@@ -4,6 +4,7 @@ becomes visible only when its marker row is, so a job that dies half way leaves
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -27,8 +28,10 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 class MatchState:
     """Saved matches of the weekly flow, and the record of what has been sent.
 
-    Rows belong to a run and an attempt, and count once the attempt is in ``slices``; a run counts once,
-    so a batch or stream that is repeated appends nothing.  A flush records the slices (site, run,
+    Rows belong to a run and an attempt, and count once the attempt is in the log of ``slices``; a run counts once,
+    so a batch or stream that is repeated appends nothing.  The log names the data file of every slice (site,
+    week, date): readers open the files it names for them and list no folder of data, and an append opens
+    nothing but what it wrote itself, however long the history is.  A flush records the slices (site, run,
     date) that it has sent: whatever is not recorded is pending, however late it was appended.
     """
 
@@ -39,7 +42,11 @@ class MatchState:
         self.flushes_path = f"{base}/flushes"
 
     def slices(self) -> DataFrame:
-        return read_or_empty(self.spark, self.slices_path, schemas.SLICES)
+        return read_or_empty(self.spark, f"{self.slices_path}/*", schemas.SLICES)
+
+    def _log_of(self, run_id: str) -> str:
+        """Each run has a folder of its own in the log, found without reading the others."""
+        return f"{self.slices_path}/{hashlib.sha256(run_id.encode()).hexdigest()}"
 
     def append(self, rows: DataFrame, run_id: str | None = None) -> bool:
         """Bag append of one run.  False if a run of this id (by default a new one) was appended before.
@@ -47,40 +54,62 @@ class MatchState:
         Rebalancing keeps files even when one site has most of the matches.
         """
         run_id = uuid.uuid4().hex if run_id is None else run_id
-        if not self.slices().where(F.col("run_id") == run_id).isEmpty():
+        log = self._log_of(run_id)
+        if not read_or_empty(self.spark, log, schemas.SLICES).isEmpty():
             return False
         attempt = uuid.uuid4().hex
+        folder = f"{self.matches_path}/attempt={attempt}"
         (
             rows.select(*schemas.SAVED_MATCH.fieldNames())
-            .withColumns({"run_id": F.lit(run_id), "attempt": F.lit(attempt)})
+            .withColumn("run_id", F.lit(run_id))
             .hint("rebalance", "week", "site")
-            .write.mode("append")
-            .partitionBy("week", "site")
-            .parquet(self.matches_path)
+            .write.partitionBy("week", "site")
+            .parquet(folder)
         )
-        own = self._stored().where(F.col("attempt") == attempt)
-        held = own.groupBy("site", "week", "append_date").agg(F.count("*").alias("n"))
-        none = self.spark.createDataFrame([(None, None, None, 0)], "site string, week date, append_date date, n bigint")
+        # Names in the log are below the folder of matches; a path's own signs are coded once more in a file's address.
+        address = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+        name = F.substring_index(F.url_decode(address), f"/attempt={attempt}/", -1)
+        own = self._stored([folder]).withColumn("file", F.concat(F.lit(f"attempt={attempt}/"), name))
+        held = own.groupBy("site", "week", "append_date", "file").agg(F.count("*").alias("n"))
+        none = self.spark.createDataFrame([(None, None, None, None, 0)], "site string, week date, append_date date, file string, n bigint")
         marker = held.unionByName(none).withColumns({"run_id": F.lit(run_id), "attempt": F.lit(attempt)})
-        marker.select(*schemas.SLICES.fieldNames()).coalesce(1).write.mode("append").parquet(self.slices_path)
+        marker.select(*schemas.SLICES.fieldNames()).coalesce(1).write.mode("append").parquet(log)
         return True
 
-    def _stored(self) -> DataFrame:
+    def _stored(self, paths: list[str]) -> DataFrame:
         kinds = T.StructType([*schemas.SAVED_MATCH.fields, *(schemas.SLICES[n] for n in ("run_id", "attempt"))])
-        return read_or_empty(self.spark, self.matches_path, kinds)
-
-    def _committed(self) -> DataFrame:
-        """Rows of the first committed attempt of each run, with ``run_id``."""
-        attempts = self.slices().groupBy("run_id").agg(F.min("attempt").alias("attempt"))
-        rows = self._stored().join(attempts.select("attempt"), "attempt", "left_semi")
+        if not paths:
+            return self.spark.createDataFrame([], kinds)
+        try:
+            return self.spark.read.schema(kinds).option("basePath", self.matches_path).parquet(*paths)
+        except AnalysisException as missing:
+            if "PATH_NOT_FOUND" not in str(missing):
+                raise
+            return self.spark.createDataFrame([], kinds).withColumn("_metadata", F.lit(None).cast("struct<file_path: string>"))
+
+    def committed_slices(self) -> DataFrame:
+        """The log of the first committed attempt of each run."""
+        log = self.slices()
+        attempts = log.groupBy("run_id").agg(F.min("attempt").alias("attempt"))
+        return log.join(attempts, ["run_id", "attempt"], "left_semi").where("file is not null")
+
+    def _rows_of(self, log: DataFrame) -> DataFrame:
+        """Rows of the files that ``log`` names, with ``run_id``.  Names alone come to the driver, as in any file listing."""
+        names = [r["file"] for r in log.select("file").distinct().collect()]
+        rows = self._stored([f"{self.matches_path}/{name}" for name in sorted(names)])
         return rows.select(*schemas.SAVED_MATCH.fieldNames(), "run_id")
 
     def read(self, site: str | None = None, week: dt.date | None = None) -> DataFrame:
-        """Saved matches; both filters prune partitions."""
-        rows = self._committed().drop("run_id")
-        if site is not None:
-            rows = rows.where(F.col("site") == site)
-        return rows if week is None else rows.where(F.col("week") == F.lit(week))
+        """Saved matches; both filters prune the files that are opened."""
+        log = self.committed_slices()
+        filters = [] if site is None else [F.col("site") == site]
+        filters += [] if week is None else [F.col("week") == F.lit(week)]
+        for own in filters:
+            log = log.where(own)
+        rows = self._rows_of(log).drop("run_id")
+        for own in filters:
+            rows = rows.where(own)
+        return rows
 
     def flushes(self) -> DataFrame:
         return read_or_empty(self.spark, self.flushes_path, schemas.FLUSHES)
@@ -89,29 +118,25 @@ class MatchState:
         return not self.flushes().where((F.col("flush_run") == flush_run) & F.col("site").isNull()).isEmpty()
 
     def pending_slices(self, day: dt.date, sites: DataFrame | None = None) -> DataFrame:
-        """Slices (site, week, run_id, append_date) up to ``day`` that no flush has sent."""
+        """Slices (site, week, run_id, append_date, file) up to ``day`` that no flush has sent."""
         keys = ["site", "run_id", "append_date"]
-        held = self.slices().where(F.col("site").isNotNull() & (F.col("append_date") <= F.lit(day)))
+        held = self.committed_slices().where(F.col("append_date") <= F.lit(day))
         if sites is not None:
             held = held.join(sites.select("site").distinct(), "site", "left_semi")
-        return held.select(*keys, "week").distinct().join(self.flushes().select(*keys), keys, "left_anti")
+        return held.select(*keys, "week", "file").join(self.flushes().select(*keys), keys, "left_anti")
 
     def pending(self, day: dt.date, sites: DataFrame | None = None) -> DataFrame:
-        """Rows that a flush on ``day`` has to send, for the given sites or all.
-
-        Only the weeks of pending slices are read: there are 52 of them in a year.
-        """
+        """Rows that a flush on ``day`` has to send, for the given sites or all.  Only files of pending slices are opened."""
         due = self.pending_slices(day, sites)
-        weeks = [r["week"] for r in due.select("week").distinct().collect()]
-        rows = self._committed().where(F.col("week").isin(weeks)) if weeks else self._committed().where("false")
         keys = ["site", "run_id", "append_date"]
-        return rows.join(due.select(*keys), keys, "left_semi").select(*schemas.SAVED_MATCH.fieldNames())
+        rows = self._rows_of(due)
+        return rows.join(due.select(*keys).distinct(), keys, "left_semi").select(*schemas.SAVED_MATCH.fieldNames())
 
     def clear(self, day: dt.date, sites: DataFrame | None = None, flush_run: str | None = None) -> None:
         """Record that everything pending up to ``day`` (of the given sites) has been sent."""
         run = uuid.uuid4().hex if flush_run is None else flush_run
         stamp = {"flush_date": F.lit(day), "flush_run": F.lit(run)}
-        sent = self.pending_slices(day, sites).drop("week").withColumns(stamp)
+        sent = self.pending_slices(day, sites).select("site", "run_id", "append_date").distinct().withColumns(stamp)
         done = self.spark.createDataFrame([(day, run, None, None, None)], schemas.FLUSHES)
         sent = sent.select(*schemas.FLUSHES.fieldNames()).unionByName(done)
         sent.coalesce(1).write.mode("append").parquet(self.flushes_path)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -197,6 +198,30 @@ def test_pruned_state_reads(spark):
     assert "site" in filters and "week" in filters
 
 
+def test_append_opens_its_own_files_only(spark):
+    """After the files of all earlier runs are spoilt, a run is appended and its week read as if nothing were there."""
+    base = fresh_path(spark, "history")
+    state = MatchState(spark, base)
+    watch = make_watch(spark, [("cs", [], ["rtos"]), ("a b/c+d%[x]", [], ["rtos"])])
+    rows = make_entries(spark, [("cs", "An RTOS", "B", "s"), ("a b/c+d%[x]", "The RTOS", "B", "s")])
+    days = [MON + dt.timedelta(days=7 * n) for n in range(5)]
+    for n, day in enumerate(days):
+        assert state.append(wk.weekly_matches(rows, watch, day), f"run/{n}") is True
+    assert state.read().count() == 10 and state.read("a b/c+d%[x]").count() == 5
+    one = state.read(week=days[1])
+    assert one.count() == 2 and len(one.inputFiles()) == 2  # a file for each of the sites
+    for path in [*Path(f"{base}/matches").rglob("*.parquet"), *Path(f"{base}/matches").rglob(".*.crc")]:
+        path.write_bytes(b"spoilt")
+    day = days[-1] + dt.timedelta(days=7)
+    assert state.append(wk.weekly_matches(rows, watch, day), "after") is True
+    assert state.append(wk.weekly_matches(rows, watch, day), "after") is False
+    assert {r.site for r in state.read(week=day).collect()} == {"cs", "a b/c+d%[x]"}
+    log = state.committed_slices()
+    assert log.where(F.col("run_id") == "after").count() == 2 and log.count() == 12
+    assert state.append(wk.weekly_matches(rows.where("false"), watch, day), "nothing") is True
+    assert state.append(wk.weekly_matches(rows.where("false"), watch, day), "nothing") is False
+
+
 def test_first_copies(spark):
     watch = make_watch(spark, [("cs", [], ["rtos"])])
     rows = make_entries(spark, [("cs", "An RTOS", "B", "s"), ("cs", "The RTOS", "B", "s")])
