@@ -5,8 +5,8 @@ there itself, so both cover the same bytes.  The cumulative ends of each side go
 the intersection of the two key sets, sorted, are the common cuts.  Between two of them lies a group: one slice of each
 id list.  The links of a group are its pairs of tokens whose byte ranges overlap.
 
-Both tokenizers treat the parts of ``wordwise`` on their own and cut at their edges, so every part is tokenized and
-aligned once a Python worker, and a text's groups are its parts' groups.
+Both tokenizers treat the parts of ``wordwise`` on their own and cut at their edges, so every different part of a chunk is tokenized and
+aligned once, and a text's groups are its parts' groups.
 
 What the corpus says comes in two passes.  Texts are packed into chunks; a chunk keeps the numbers of its texts' parts
 and tells each different id pair once with its number of links.  Spark adds these up over the corpus,
@@ -22,10 +22,9 @@ from __future__ import annotations
 
 import hashlib
 import os
-from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +39,7 @@ from feedwatch.llm.wordwise import ragged, split_parts, totals
 
 U = np.uint64
 CHUNK_BYTES = 8 << 20  # of text in a chunk
-CACHE_PARTS = 300_000  # parts in each of the two generations that a Python worker remembers
-JOINED = 200  # new parts that the library A gets as one text
+JOINED = 500  # parts that the libraries get as one text
 BLANK = "▁"  # in pieces of B
 COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
 
@@ -89,82 +87,125 @@ def piece_level(path: str):
     return found, spelling
 
 
-def align(a_sizes: Iterable[int], b_sizes: Iterable[int]) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
-    """Groups (a_begin, a_end, b_begin, b_end) and links (a, b) of tokens with these byte lengths."""
-    a_ends, b_ends = list(accumulate(a_sizes)), list(accumulate(b_sizes))
-    a_at = dict(zip(a_ends, range(1, len(a_ends) + 1), strict=True))
-    b_at = dict(zip(b_ends, range(1, len(b_ends) + 1), strict=True))
-    groups, links = [], []
-    a_from = b_from = 0
-    for end in sorted(a_at.keys() & b_at.keys()):
-        a_to, b_to = a_at[end], b_at[end]
-        groups.append((a_from, a_to, b_from, b_to))
-        if a_to - a_from == 1:  # one token overlaps all of the other side
-            links += [(a_from, j) for j in range(b_from, b_to)]
-        elif b_to - b_from == 1:
-            links += [(i, b_from) for i in range(a_from, a_to)]
-        else:
-            i, j = a_from, b_from
-            while i < a_to and j < b_to:
-                links.append((i, j))
-                left, right = a_ends[i], b_ends[j]
-                i += left <= right
-                j += right <= left
-        a_from, b_from = a_to, b_to
-    return groups, links
+def align(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ends of the groups in A's and B's tokens of these byte lengths, and the linked pairs (a, b) as rows, by a, then b."""
+    a_ends, b_ends = np.cumsum(a_sizes), np.cumsum(b_sizes)
+    a_at = dict(zip(a_ends.tolist(), range(1, len(a_ends) + 1), strict=True))
+    b_at = dict(zip(b_ends.tolist(), range(1, len(b_ends) + 1), strict=True))
+    common = sorted(a_at.keys() & b_at.keys())
+    a_cuts = np.fromiter(map(a_at.__getitem__, common), np.int64, len(common))
+    b_cuts = np.fromiter(map(b_at.__getitem__, common), np.int64, len(common))
+    # Within its group, a token of A is linked with the tokens of B from the one that holds its first byte to the one of its last.
+    first = np.searchsorted(b_ends, a_ends - a_sizes, "right")
+    count = np.searchsorted(b_ends, a_ends, "left") - first + 1
+    left = np.repeat(np.arange(len(a_ends)), count)
+    right = np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+    return a_cuts, b_cuts, np.stack([left, right], axis=1)
+
+
+@dataclass
+class Aligned:
+    """What is known of the parts of a chunk, one entry a part; links lie one part after the other."""
+
+    kept: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    texts: pa.Array  # groups, each ended by a semicolon
+    pairs: np.ndarray  # a << 32 | b of each link
 
 
 class PartAligner:
-    """Different parts of texts to their groups and links; parts seen before are looked up."""
+    """Different parts of texts to their groups and links.
+
+    The libraries get many parts joined to one text, which is the same to them and is aligned as one: the edge of a part is a
+    cut of both.  Parts with white space at an edge stand alone, as they do not join.
+    """
 
-    def __init__(self, a_path: str, b_path: str, most: int = CACHE_PARTS):
+    def __init__(self, a_path: str, b_path: str):
         (self.a, self.a_bytes), (self.b, self.b_bytes) = byte_level(a_path), piece_level(b_path)
-        self.most = most
-        self.known: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
-
-    def _learn(self, parts: list[str]) -> None:
-        spelt = [b" " + p.encode() for p in parts]
-        b_ids = self.b.encode(parts, num_threads=1)
-        for part, own, a, b in zip(parts, spelt, self._a_ids(parts, spelt), b_ids, strict=True):
-            a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            if b"".join(a_bytes) != own or b"".join(b_bytes) != own:
-                self.known[part] = (False, 0, 0, 0, 0, "", b"")
-                continue
-            groups, links = align(map(len, a_bytes), map(len, b_bytes))
-            a_text, b_text = [str(i) for i in a], [str(i) for i in b]
-            text = ";".join([",".join(a_text[i:j]) + "|" + ",".join(b_text[k:m]) for i, j, k, m in groups])
-            pairs = array("q", [a[i] << 32 | b[j] for i, j in links]).tobytes()
-            self.known[part] = (True, len(a), len(b), len(groups), len(links), text, pairs)
-
-    def _a_ids(self, parts: list[str], spelt: list[bytes]) -> Iterator[list[int]]:
-        """A's ids of parts: the library gets many joined to one text, which is cut again by bytes."""
-        for at in range(0, len(parts), JOINED):
-            ids = self.a.encode(" " + " ".join(parts[at : at + JOINED]), add_special_tokens=False).ids
-            begin = i = 0
-            for own in spelt[at : at + JOINED]:
-                left = len(own)
-                while left > 0:
-                    left -= len(self.a_bytes[ids[i]])
-                    i += 1
-                yield ids[begin:i]
-                begin = i
-
-    def records(self, parts: list[str]) -> list[tuple]:
-        """(kept, n_a, n_b, n_groups, n_links, groups, links as packed pairs) of each part."""
-        missing = [p for p in parts if p not in self.known]
-        if missing and len(self.known) + len(missing) > self.most:
-            # The parts of the generation before stay at hand; what is still used moves over.
-            self.old, self.known = self.known, {}
-            missing = parts
-        new = []
-        for part in missing:
-            if (own := self.old.get(part)) is None:
-                new.append(part)
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in y], np.int64) for y in (self.a_bytes, self.b_bytes))
+        # Decimal ids with the sign after them: A's with a comma, A's with a bar, B's with a comma, B's with a semicolon.
+        signs = [f"{i}{x}" for x in ",|" for i in range(len(self.a_bytes))] + [f"{i}{x}" for x in ",;" for i in range(len(self.b_bytes))]
+        self.signs = pa.array(signs, pa.large_binary())
+
+    def _ids(self, text: str) -> tuple[list[int], list[int]] | None:
+        """Ids of A for a blank and the text, and of B for the text, if both spell just that."""
+        own = (" " + text).encode()
+        a, b = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode(text)
+        same = b"".join([self.a_bytes[i] for i in a]) == own and b"".join([self.b_bytes[i] for i in b]) == own
+        return (a, b) if same else None
+
+    def _blocks(self, parts: list[str], kept: np.ndarray) -> Iterator[tuple[list[int], tuple[list[int], list[int]]]]:
+        """Numbers of parts with the ids of their joined text; marks the parts that have none."""
+        plain, blocks = [], []
+        for i, part in enumerate(parts):
+            awkward = part == "" or part[0] <= " " or part[0].isspace() or part[-1].isspace()
+            (blocks.append([i]) if awkward else plain.append(i))
+        blocks += [plain[at : at + JOINED] for at in range(0, len(plain), JOINED)]
+        while blocks:
+            block = blocks.pop()
+            found = self._ids(" ".join([parts[i] for i in block]))
+            if found is not None:
+                yield block, found
+            elif len(block) > 1:
+                blocks += [[i] for i in block]
             else:
-                self.known[part] = own
-        self._learn(new)
-        return [self.known[p] for p in parts]
+                kept[block] = False
+
+    def align(self, parts: list[str]) -> Aligned:
+        kept = np.ones(len(parts), bool)
+        order, a, b = [], [], []
+        sizes = np.fromiter((len(p.encode()) + 1 for p in parts), np.int64, len(parts))
+        for block, (a_ids, b_ids) in self._blocks(parts, kept):
+            order += block
+            a.append(np.array(a_ids, np.int64))
+            b.append(np.array(b_ids, np.int64))
+        none = np.zeros((2, len(parts)), np.int64)
+        if not order:
+            empty = pa.array([b""] * len(parts), pa.large_binary())
+            return Aligned(kept, none[0], none[0], none[0], none[0], empty, np.zeros(0, np.int64))
+        own = np.array(order)
+        ends = np.cumsum(sizes[own])
+        cuts, links, base = [], [], np.zeros(2, np.int64)
+        for a_ids, b_ids in zip(a, b, strict=True):
+            a_cuts, b_cuts, found = align(self.a_sizes[a_ids], self.b_sizes[b_ids])
+            cuts.append(np.stack([a_cuts, b_cuts], axis=1) + base)
+            links.append(found + base)
+            base += (len(a_ids), len(b_ids))
+        a, b, cuts, links = (np.concatenate(x) for x in (a, b, cuts, links))
+        a_part = np.searchsorted(ends, np.cumsum(self.a_sizes[a]))
+        b_part = np.searchsorted(ends, np.cumsum(self.b_sizes[b]))
+        group_part, link_part = a_part[cuts[:, 0] - 1], a_part[links[:, 0]]
+        counts = [np.bincount(x, minlength=len(own)) for x in (a_part, b_part, group_part, link_part)]
+        # Ids of a group in order, A's before B's, each with the sign that follows it.
+        a_group, b_group = (np.searchsorted(cuts[:, k], np.arange(len(x)), "right") for k, x in ((0, a), (1, b)))
+        a_last, b_last = (np.isin(np.arange(len(x)), cuts[:, k] - 1) for k, x in ((0, a), (1, b)))
+        sign = np.concatenate([a + a_last * len(self.a_bytes), b + b_last * len(self.b_bytes) + 2 * len(self.a_bytes)])
+        turn = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
+        spelt = self.signs.take(pa.array(sign[turn]))
+        at = np.frombuffer(spelt.buffers()[1], np.int64)[spelt.offset :][np.concatenate([[0], np.cumsum(counts[0] + counts[1])])]
+        texts = pa.Array.from_buffers(pa.large_binary(), len(own), [None, pa.py_buffer(at.tobytes()), spelt.buffers()[2]])
+        # Back to the order of the parts.
+        place = np.full(len(parts), len(own))
+        place[own] = np.arange(len(own))
+        texts = pa.concat_arrays([texts, pa.array([b""], pa.large_binary())]).take(pa.array(place))
+        counts = [np.append(x, 0)[place] for x in counts]
+        starts = np.append(np.cumsum(np.bincount(link_part, minlength=len(own))) - np.bincount(link_part, minlength=len(own)), 0)[place]
+        pairs = ragged(a[links[:, 0]] << 32 | b[links[:, 1]], starts, counts[3])
+        return Aligned(kept, *counts, texts, pairs)
+
+
+def _joined(texts: pa.Array, at: np.ndarray) -> Iterator[bytes]:
+    """The binary values between neighbouring places, joined."""
+    if len(texts) == 0:
+        yield from [b""] * (len(at) - 1)
+        return
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset :][at].tolist()
+    data = texts.buffers()[2]
+    for begin, end in zip(ends, ends[1:], strict=False):
+        yield data[begin:end].to_pybytes() if end > begin else b""
 
 
 def _pack(a_path: str, b_path: str, digest: bool, keep: int):
@@ -176,19 +217,14 @@ def _pack(a_path: str, b_path: str, digest: bool, keep: int):
         for whole in batches:
             for batch in slices(whole, "t", CHUNK_BYTES):
                 parts, index, at = split_parts(batch.column(keep))
-                records = aligner.records(parts.to_pylist())
-                good = np.fromiter((r[0] for r in records), bool, len(records))
-                kept = (totals(~good[index], at) == 0) & (np.diff(at) > 0)
+                found = aligner.align(parts.to_pylist())
+                kept = (totals(~found.kept[index], at) == 0) & (np.diff(at) > 0)
                 index = index[np.repeat(kept, np.diff(at))]
                 sizes = np.where(kept, np.diff(at), 0)
                 at = np.concatenate([[0], np.cumsum(sizes)])
-                figures = [
-                    totals(np.fromiter((r[k] for r in records), np.int64, len(records))[index], at) for k in range(1, 5)
-                ]
-                texts = [r[5] for r in records]
-                own = index.tolist()
-                groups = [";".join([texts[i] for i in own[a:b]]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                groups = [(hashlib.sha256(g.encode()).hexdigest() if digest else g) if k else "" for g, k in zip(groups, kept.tolist(), strict=True)]
+                figures = [totals(x[index], at) for x in (found.n_a, found.n_b, found.n_groups, found.n_links)]
+                groups = [g[:-1] for g in _joined(found.texts.take(pa.array(index)), at)]
+                groups = [(hashlib.sha256(g).hexdigest() if digest else g.decode()) if g else "" for g in groups]
                 out = pa.RecordBatch.from_arrays(
                     [*batch.columns[:keep], *map(pa.array, figures), pa.array(groups, pa.large_string())],
                     [f"c{i}" for i in range(keep + 5)],
@@ -197,10 +233,9 @@ def _pack(a_path: str, b_path: str, digest: bool, keep: int):
                 with pa.ipc.new_stream(sink, out.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
                     stream.write_batch(out)
                 # Links of the chunk's parts as numbers of its different pairs.
-                flat = np.frombuffer(b"".join([r[6] for r in records]), np.int64)
-                pairs, place = np.unique(flat, return_inverse=True)
-                links = np.fromiter((r[4] for r in records), np.int64, len(records))
-                times = np.bincount(index, minlength=len(records))
+                pairs, place = np.unique(found.pairs, return_inverse=True)
+                links = found.n_links
+                times = np.bincount(index, minlength=len(parts))
                 counts = np.bincount(place, np.repeat(times, links), minlength=len(pairs)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
