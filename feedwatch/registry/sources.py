@@ -62,8 +62,14 @@ def feed_scan_journal(spark, sf_dir):
     return feed.select("site", "pos", "id", "title", "summary", "link", "published")
 
 
+PAGE_POSITIONS = 400
+
+
 def _delivered(spark, sf_dir, root):
-    """Feeds as they are delivered: one file a site, RSS for even sites and Atom for odd ones, no positions."""
+    """Feeds as they are delivered: numbered pages of a site, RSS for even sites and Atom for odd ones, no positions.
+
+    A page holds the items of ``PAGE_POSITIONS`` neighbouring positions, so a hot site has many files.
+    """
     rows = v.entries(spark, sf_dir).withColumn("odd", F.crc32(F.col("site").cast("binary")) % 2 == 1)
     e = v._element
     rss = F.concat(
@@ -78,14 +84,14 @@ def _delivered(spark, sf_dir, root):
         e("id", F.col("id")), e("published", F.col("published")), F.lit("</entry>"),
     )
     items = rows.select("site", "odd", "pos", F.when(F.col("odd"), atom).otherwise(rss).alias("x"))
-    # A delivered feed is one file by its format.
-    feeds = items.groupBy("site", "odd").agg(F.expr("listagg(x, '\n') WITHIN GROUP (ORDER BY pos)").alias("x"))
+    paged = items.withColumn("page", F.expr(f"pos div {PAGE_POSITIONS}"))
+    feeds = paged.groupBy("site", "odd", "page").agg(F.expr("listagg(x, '\n') WITHIN GROUP (ORDER BY pos)").alias("x"))
     head = F.when(F.col("odd"), F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>f</title>')).otherwise(
         F.lit('<rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>f</title>')
     )
     foot = F.when(F.col("odd"), F.lit("</feed>")).otherwise(F.lit("</channel></rss>"))
-    text = feeds.select(F.concat(F.lit('<?xml version="1.0"?>'), head, "x", foot).alias("value"), "site")
-    text.write.partitionBy("site").text(root)
+    text = feeds.select(F.concat(F.lit('<?xml version="1.0"?>'), head, "x", foot).alias("value"), "site", "page")
+    text.write.partitionBy("site", "page").text(root)
 
 
 @register(
@@ -114,9 +120,9 @@ def feed_stream_delivered(spark, sf_dir):
     base = fresh_path(spark, "delivered")
     _delivered(spark, sf_dir, f"{base}/landed")
     state = MatchState(spark, base)
-    for tag in fd.ROW_TAGS:
-        stream = fd.stream_feed(spark, f"{base}/landed", max_files=5, row_tag=tag)
-        flows.start_match_stream(stream, v.watch(spark), F.lit(v.RUN_DATE), state, f"{base}/{tag}", tag).awaitTermination()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{base}/landed").count()
+    stream = fd.stream_feed(spark, f"{base}/landed", max_files=-(-files // 3))  # three micro-batches
+    flows.start_match_stream(stream, v.watch(spark), F.lit(v.RUN_DATE), state, f"{base}/checkpoint").awaitTermination()
     none = v.entries(spark, sf_dir).where("false")
     run_weekly(none, v.watch(spark), state, f"{base}/digests", v.RUN_DATE)
     sent = read_digests(spark, f"{base}/digests").where("part = 0 and n_entries > 0")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 TEXT, LONG, INT, DAY = T.StringType(), T.LongType(), T.IntegerType(), T.DateType()
+TIME, BYTES = T.TimestampType(), T.BinaryType()
 TEXTS = T.ArrayType(TEXT)
 
 

@@ -1,101 +1,188 @@
-"""Landed feed files: XML as delivered, or Parquet once converted.  Batch and streaming."""
+"""Landed feed files: RSS and Atom as delivered.  Batch and streaming.
+
+Spark lists the files (its file source, or its file stream, which reads each newly landed file once) and each file is
+parsed once, by one pass that emits RSS items and Atom entries together with their places.  A position is made of the
+file and the place in it, so it is the same in batch and stream and however files are packed into tasks.
+
+A feed may come in any number of files, so that no file has to hold a whole hot site.  Files in ``page=<number>``
+folders follow each other by that number; others are ordered by a 41-bit hash of their path.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import html
+import re
+from collections.abc import Iterator
+from functools import partial
+from urllib.parse import unquote
+from xml.parsers import expat
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from feedwatch import schemas
 
-# RSS items and Atom entries; prefixes (dc:, content:) are dropped, so names are those after the colon.
-ROW_TAGS = ("item", "entry")
-ITEM_OPTIONS = {"ignoreSurroundingSpaces": "false", "ignoreNamespace": "true"}
-_TEXT = T.StringType()
-_VALUE = schemas.struct(_VALUE=_TEXT)
-# All spellings of the elements that feeds use, beside those of files that ``land_feed`` wrote.
-_ELEMENTS = schemas.struct(
-    id=_TEXT,
-    guid=_VALUE,
-    title=_VALUE,
-    author=T.ArrayType(schemas.struct(_VALUE=_TEXT, name=_TEXT)),
-    creator=T.ArrayType(_TEXT),
-    summary=_VALUE,
-    description=_VALUE,
-    content=_VALUE,
-    encoded=_TEXT,
-    link=T.ArrayType(schemas.struct(_VALUE=_TEXT, _href=_TEXT, _rel=_TEXT)),
-    published=_TEXT,
-    pubDate=_TEXT,
-    date=_TEXT,
-    updated=_TEXT,
-)
-FILE = "_file"
-
-
-def _item_schema() -> T.StructType:
-    """Elements of an item, its stored position, and ``site`` for feeds in ``site=…`` folders."""
-    return T.StructType([*_ELEMENTS.fields, T.StructField("site", _TEXT), T.StructField("pos", T.LongType())])
-
-
-def _fields() -> dict[str, Column]:
-    """An entry's fields, each from the first element that has it."""
-    names = F.transform("author", lambda a: F.coalesce(a["name"], a["_VALUE"]))
-    joined = lambda c: F.when(F.size(F.filter(c, lambda x: x.isNotNull())) > 0, F.array_join(c, ", "))
-    plain = F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
-    link = F.coalesce(F.get(plain, 0), F.get("link", 0))
-    link = F.coalesce(link["_VALUE"], link["_href"])
-    guid = F.col("guid._VALUE")
-    return {
-        "id": F.coalesce("id", guid, link),
-        "title": F.col("title._VALUE"),
-        "author": F.coalesce(joined(F.col("creator")), joined(names)),
-        "summary": F.coalesce("summary._VALUE", "description._VALUE", "content._VALUE", "encoded"),
-        "link": F.coalesce(link, F.when(guid.rlike("^https?://"), guid)),
-        "published": F.coalesce("published", "pubDate", "date", "updated"),
-    }
+ITEM_BITS = 21  # of a position number the items of a file
+BATCH_ITEMS = 512
+_FILES = schemas.struct(path=schemas.TEXT, modificationTime=schemas.TIME, length=schemas.LONG, content=schemas.BYTES)
+_ROWS = [*schemas.ENTRY.fieldNames(), "error"]
+_KINDS = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in schemas.ENTRY.fields), "error string"])
+_ARROW = pa.schema([(n, pa.int64() if n == "pos" else pa.string()) for n in _ROWS])
 
 
-def _site() -> Column:
-    """Site of a landed item: the partition folder, or the name of a file ``<site>.xml``."""
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+?)(?:\.xml)?$", 1)
-    return F.coalesce(F.col("site"), F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))))
+class FeedParser:
+    """Items of one feed file, as dictionaries of an entry's fields, in file order.
+
+    Names of elements are taken without their prefix.  Text of elements within an element belongs to it; named entities that a
+    feed does not declare are those of HTML.
+    """
 
+    def __init__(self) -> None:
+        self.items: list[dict] = []
+        self.own: dict | None = None  # children of the open item, by name
+        self.path: list[str] = []  # open elements within the item
+        self.parser = expat.ParserCreate()
+        self.parser.buffer_text = True
+        self.parser.UseForeignDTD(True)  # or an undeclared entity is an error
+        self.parser.StartElementHandler = self._start
+        self.parser.EndElementHandler = self._end
+        self.parser.CharacterDataHandler = self._text
+        self.parser.SkippedEntityHandler = lambda name, _: self._text(html.unescape(f"&{name};"))
+
+    def feed(self, data: bytes, last: bool) -> list[dict]:
+        """Items that ``data`` completes."""
+        self.parser.Parse(data, last)
+        done, self.items = self.items, []
+        return done
+
+    def _start(self, tag: str, attributes: dict) -> None:
+        name = tag.rpartition(":")[2]
+        if self.own is None:
+            if name in ("item", "entry"):
+                self.own = {}
+            return
+        self.path.append(name)
+        if len(self.path) == 1:
+            self.own.setdefault(name, []).append({"text": "", **{k.rpartition(":")[2]: v for k, v in attributes.items()}})
+        elif self.path == ["author", "name"]:
+            self.own["author"][-1]["name"] = ""
+
+    def _text(self, data: str) -> None:
+        if self.own is not None and self.path:
+            self.own[self.path[0]][-1]["text"] += data
+            if self.path == ["author", "name"]:
+                self.own["author"][-1]["name"] += data
+
+    def _end(self, tag: str) -> None:
+        if self.own is None:
+            return
+        if self.path:
+            self.path.pop()
+            return
+        self.items.append(entry_fields(self.own))
+        self.own = None
+
+
+def entry_fields(own: dict[str, list[dict]]) -> dict:
+    """An entry's fields, each from the first element that has it."""
 
-def _entries(items: DataFrame, site: Column | None) -> DataFrame:
-    placed = items.withColumn("site", _site() if site is None else site)
-    fields = [c.alias(n) for n, c in _fields().items()]
-    return placed.select("site", "pos", *fields, F.col("_metadata.file_path").alias(FILE))
+    def first(*names: str) -> str | None:
+        return next((own[n][0]["text"] for n in names if n in own), None)
 
+    links = own.get("link", [])
+    link = next((x for x in links if x.get("rel", "alternate") == "alternate"), links[0] if links else None)
+    link = None if link is None else link["text"] if link["text"] or "href" not in link else link["href"]
+    guid = first("guid")
+    makers = [x["text"] for x in own.get("creator", [])] or [x.get("name", x["text"]) for x in own.get("author", [])]
+    address = link if link is not None else guid if guid is not None and re.match("https?://", guid) else None
+    number = first("pos")
+    return {
+        "site": first("site"),
+        "pos": int(number) if number is not None else None,
+        "id": next((x for x in (first("id"), guid, link) if x is not None), None),
+        "title": first("title"),
+        "author": ", ".join(makers) if makers else None,
+        "summary": first("summary", "description", "content", "encoded"),
+        "link": address,
+        "published": first("published", "pubDate", "date", "updated"),
+    }
 
-def place(entries: DataFrame) -> DataFrame:
-    """Positions for entries that were landed without: file by file, in file order.
 
-    A position is made of a hash of the file's path and the item's place in the file, so it does not
-    depend on how files are packed into tasks, nor on what else has landed.  (One task reads a whole
-    file.)  Entries of files that store positions keep them.
-    """
-    numbered = entries.withColumn("_n", F.monotonically_increasing_id())
-    first = numbered.groupBy(FILE).agg(F.min("_n").alias("_first"))
-    within = numbered.join(first, FILE).withColumn("_n", F.col("_n") - F.col("_first"))
-    file_no = F.shiftrightunsigned(F.xxhash64(FILE), 34)
-    pos = F.coalesce("pos", F.shiftleft(file_no, 33) + F.col("_n"))
-    return within.withColumn("pos", pos).select(*schemas.ENTRY.fieldNames())
+def site_of(path: str) -> str:
+    """Site of a landed file: its ``site=…`` folder, or the name of a file ``<site>.xml``."""
+    folder = re.search(r"/site=([^/]+)/", path)
+    return unquote(folder[1]) if folder else re.sub(r"\.xml$", "", path.rpartition("/")[2])
+
+
+def first_position(path: str) -> int:
+    """Position of a file's first item: by its page number, or after all pages by the hash of its path."""
+    page = re.search(r"/page=(\d+)/", path)
+    if page:
+        return int(page[1]) << ITEM_BITS
+    digest = hashlib.blake2b(path.encode(), digest_size=8).digest()
+    return 1 << 62 | int.from_bytes(digest) >> 23 << ITEM_BITS
+
+
+def _parse(batches: Iterator[pa.RecordBatch], number: bool = True) -> Iterator[pa.RecordBatch]:
+    """Files (path, content) to entries; a file that breaks off gives what came before and a row with the error."""
+    for batch in batches:
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            parser, site, begin, place = FeedParser(), site_of(path), first_position(path), 0
+            data, rows = content.as_buffer(), []
+            for at in range(0, max(1, len(data)), 1 << 20):
+                piece = data.slice(at, min(1 << 20, len(data) - at)).to_pybytes()
+                error = None
+                try:
+                    found = parser.feed(piece, at + len(piece) >= len(data))
+                except (expat.ExpatError, ValueError) as broken:
+                    found, error = parser.items, f"{path}: {broken}"
+                for own in found:
+                    if place >> ITEM_BITS:
+                        raise ValueError(f"{path} holds too many items for one file: land it as several")
+                    own["site"] = own["site"] or site
+                    own["pos"] = begin + place if own["pos"] is None and number else own["pos"]
+                    rows.append({**own, "error": None})
+                    place += 1
+                if error is not None:
+                    rows.append({**dict.fromkeys(_ROWS), "error": error})
+                while len(rows) >= BATCH_ITEMS:
+                    yield pa.RecordBatch.from_pylist(rows[:BATCH_ITEMS], _ARROW)
+                    del rows[:BATCH_ITEMS]
+                if error is not None:
+                    break
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, _ARROW)
+
+
+def _entries(files: DataFrame, site: Column | None, strict: bool, landed_pos: bool = False) -> DataFrame:
+    parsed = files.select("path", "content").mapInArrow(partial(_parse, number=not landed_pos), _KINDS)
+    broken = F.raise_error(F.col("error")).cast("boolean") if strict else F.lit(False)
+    own = parsed.where(F.when(F.col("error").isNotNull(), broken).otherwise(F.lit(True)))
+    return (own if site is None else own.withColumn("site", site)).select(*schemas.ENTRY.fieldNames())
+
+
+def _reader(source):
+    return source.schema(_FILES).format("binaryFile").option("recursiveFileLookup", "true")
 
 
 def read_feed(
-    spark: SparkSession, path: str, site: Column | None = None, landed_pos: bool = False
+    spark: SparkSession, path: str, site: Column | None = None, landed_pos: bool = False, strict: bool = True
 ) -> DataFrame:
     """Entries of landed RSS and Atom files.
 
-    ``landed_pos``: the landing job stored each item's position.  Otherwise see ``place``.
+    Items that the landing job numbered (an element ``pos``) keep their positions; with ``landed_pos`` no others are made.  A file
+    that is no well-formed XML fails the job, or is read as far as it goes if not ``strict``; see ``feed_rejects``.  Files of no bytes are no
+    feeds: Spark does not open them.
     """
-    kinds = []
-    for tag in ROW_TAGS:
-        reader = spark.read.schema(_item_schema()).format("xml").options(rowTag=tag, **ITEM_OPTIONS)
-        found = _entries(reader.load(path), site)
-        kinds.append(found.select(*schemas.ENTRY.fieldNames()) if landed_pos else place(found))
-    return kinds[0].unionByName(kinds[1])
+    return _entries(_reader(spark.read).load(path), site, strict, landed_pos)
+
+
+def feed_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(error) of every landed file that is not well-formed; the error begins with the file's path."""
+    files = _reader(spark.read).load(path).select("path", "content")
+    return files.mapInArrow(_parse, _KINDS).where("error is not null").select("error")
 
 
 def read_site_feed(spark: SparkSession, root: str, **kw) -> DataFrame:
@@ -112,17 +199,13 @@ def read_journal_feed(spark: SparkSession, path: str, site: str = "journal", **k
 
 
 def stream_feed(
-    spark: SparkSession, path: str, site: Column | None = None, max_files: int | None = None, row_tag: str = "item"
+    spark: SparkSession, path: str, site: Column | None = None, max_files: int | None = None, strict: bool = True
 ) -> DataFrame:
-    """The same files as a stream: each newly landed file is read once.
-
-    Rows carry their file; streams over them call ``place`` on each micro-batch.  RSS and Atom feeds are
-    two streams (``row_tag``).
-    """
-    reader = spark.readStream.schema(_item_schema()).format("xml").options(rowTag=row_tag, **ITEM_OPTIONS)
+    """The same files as a stream, with the same positions: each newly landed file is read once."""
+    reader = _reader(spark.readStream)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return _entries(reader.load(path), site)
+    return _entries(reader.load(path), site, strict)
 
 
 def land_feed(entries: DataFrame, path: str) -> None:

@@ -11,7 +11,6 @@ from pyspark.sql.streaming import StreamingQuery
 from feedwatch import schemas
 from feedwatch.operators import match as mt
 from feedwatch.plans.journal import run_journal
-from feedwatch.sources.feeds import FILE, place
 from feedwatch.sources.state import MatchState, SeenLinks
 
 
@@ -25,8 +24,7 @@ def start_match_stream(
     """
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        placed = place(batch) if FILE in batch.columns else batch
-        rows = mt.saved_match_row(mt.matched_entries(placed, watch), append_date)
+        rows = mt.saved_match_row(mt.matched_entries(batch, watch), append_date)
         state.append(rows, f"{name}-{batch_id}")
 
     return (

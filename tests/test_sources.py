@@ -129,6 +129,56 @@ def test_delivered_feeds(spark, tmp_path):
     assert again["cs", "One"] == one.pos and again["gr", "Three"] == three.pos and len(set(again.values())) == 5
 
 
+def test_pages_of_a_hot_site(spark, tmp_path):
+    """Pages follow each other by number; batch and stream give the same positions, with one read of each file."""
+    for page in (0, 1, 2, 10):
+        folder = tmp_path / "feeds" / "site=hot" / f"page={page}"
+        folder.mkdir(parents=True)
+        items = "".join(ITEM.format(n=100 * page + k) for k in range(3))
+        (folder / "p.txt").write_text(FEED.format(items=items))
+    (tmp_path / "feeds" / "site=a%2Fb").mkdir()
+    (tmp_path / "feeds" / "site=a%2Fb" / "x.xml").write_text(ATOM)
+    batch = fd.read_feed(spark, str(tmp_path / "feeds"))
+    hot = [r.id for r in batch.where("site = 'hot'").orderBy("pos").collect()]
+    assert hot == [str(100 * p + k) for p in (0, 1, 2, 10) for k in range(3)]
+    assert [r.site for r in batch.where("site <> 'hot'").collect()] == ["a/b"]
+    plan = batch._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan and "Join" not in plan
+    stream = fd.stream_feed(spark, str(tmp_path / "feeds"), max_files=2)
+    query = (
+        stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp"))
+        .trigger(availableNow=True).start(str(tmp_path / "out"))
+    )
+    query.awaitTermination()
+    streamed = spark.read.parquet(str(tmp_path / "out")).select(*batch.columns).collect()
+    assert sorted(map(str, streamed)) == sorted(map(str, batch.collect()))
+
+
+def test_spellings_of_feeds(spark, tmp_path):
+    (tmp_path / "odd.xml").write_text(
+        """<?xml version="1.0" encoding="iso-8859-1"?><a:feed xmlns:a="http://www.w3.org/2005/Atom"><a:entry>
+<a:title type="xhtml"><div>caf\u00e9 <b>au</b> lait&nbsp;!</div></a:title><a:author>plain</a:author><a:content><![CDATA[<p>x</p>]]></a:content>
+<a:link rel="alternate" href="u&amp;v"/><a:updated/></a:entry><entry><pos>7</pos><summary></summary></entry></a:feed>""",
+        encoding="iso-8859-1",
+    )
+    one, two = fd.read_feed(spark, str(tmp_path)).orderBy(F.desc("pos")).collect()
+    assert tuple(one)[2:] == ("u&v", "caf\u00e9 au lait\u00a0!", "plain", "<p>x</p>", "u&v", "")
+    assert tuple(two) == ("odd", 7, None, None, None, "", None, None)
+
+
+def test_broken_feed(spark, tmp_path):
+    (tmp_path / "good.xml").write_text(RSS)
+    (tmp_path / "bad.xml").write_text(RSS.replace("</description>", "</descr>", 1).replace("<item><title>One", ITEM.format(n=5) + "<item><title>One"))
+    (tmp_path / "empty.xml").write_text("\n")
+    with pytest.raises(Exception, match="bad.xml|empty.xml"):
+        fd.read_feed(spark, str(tmp_path)).collect()
+    with pytest.raises(Exception, match="bad.xml|empty.xml"):
+        fd.read_feed(spark, str(tmp_path)).count()
+    found = fd.read_feed(spark, str(tmp_path), strict=False).select("site", "id").collect()
+    assert sorted(tuple(r) for r in found) == [("bad", "5"), ("good", "http://g/1"), ("good", "http://g/2")]
+    assert sorted(r.error.rpartition("/")[2].partition(":")[0] for r in fd.feed_rejects(spark, str(tmp_path)).collect()) == ["bad.xml", "empty.xml"]
+
+
 def test_triplet_files(spark, tmp_path):
     papers = {
         "anchor": {"title": "graph theory", "abstract": "Graphs are nice. Trees too."},
