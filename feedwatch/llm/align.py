@@ -38,8 +38,9 @@ from feedwatch.llm.words import slices
 from feedwatch.llm.wordwise import ragged, split_parts, totals
 
 U = np.uint64
-CHUNK_BYTES = 8 << 20  # of text in a chunk
+CHUNK_BYTES = 5 << 20  # of text in a chunk
 JOINED = 500  # parts that the libraries get as one text
+ALIGNED = 20_000  # parts whose tokens are held at once
 BLANK = "▁"  # in pieces of B
 COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
 
@@ -155,6 +156,12 @@ class PartAligner:
                 kept[block] = False
 
     def align(self, parts: list[str]) -> Aligned:
+        """Parts are independent, so ``ALIGNED`` at a time bound what is held."""
+        found = [self._align(parts[at : at + ALIGNED]) for at in range(0, len(parts), ALIGNED)] or [self._align(parts)]
+        arrays = [np.concatenate([getattr(x, f) for x in found]) for f in ("kept", "n_a", "n_b", "n_groups", "n_links")]
+        return Aligned(*arrays, pa.concat_arrays([x.texts for x in found]), np.concatenate([x.pairs for x in found]))
+
+    def _align(self, parts: list[str]) -> Aligned:
         kept = np.ones(len(parts), bool)
         order, a, b = [], [], []
         sizes = np.fromiter((len(p.encode()) + 1 for p in parts), np.int64, len(parts))
@@ -223,7 +230,8 @@ def _pack(a_path: str, b_path: str, digest: bool, keep: int):
                 sizes = np.where(kept, np.diff(at), 0)
                 at = np.concatenate([[0], np.cumsum(sizes)])
                 figures = [totals(x[index], at) for x in (found.n_a, found.n_b, found.n_groups, found.n_links)]
-                groups = [g[:-1] for g in _joined(found.texts.take(pa.array(index)), at)]
+                texts = found.texts.take(pa.array(index))
+                groups = [g[:-1] for g in _joined(texts, at)]
                 groups = [(hashlib.sha256(g).hexdigest() if digest else g.decode()) if g else "" for g in groups]
                 out = pa.RecordBatch.from_arrays(
                     [*batch.columns[:keep], *map(pa.array, figures), pa.array(groups, pa.large_string())],
@@ -247,6 +255,8 @@ def _pack(a_path: str, b_path: str, digest: bool, keep: int):
                     _CHUNK,
                 )
                 number += 1
+                del parts, index, found, groups, out, pairs, place, texts
+                pa.default_memory_pool().release_unused()
 
     return run
 
