@@ -4,7 +4,7 @@ Format, all numbers little-endian: ``shards/`` holds files of nothing but ids (1
 vocabulary allows it, else 32), documents in ascending id order (null last), each ended by the end
 id.  ``index/`` holds segments: a perfect hash of the segment's keys, then one record for each key at
 its number (a 32-bit fingerprint of the key, shard number, first id's place in the shard, number of
-ids).  ``rows`` and ``segments`` are Parquet tables that name the files.  A key is found in
+ids), then the keys whose hash is not theirs alone, with their second hash.  ``rows`` and ``segments`` are Parquet tables that name the files.  A key is found in
 constant time: its hash names the segment, the perfect hash the record, the fingerprint tells whether
 the key is stored at all, and the record which bytes of which shard to read.
 
@@ -15,7 +15,6 @@ empty document and holds the end id only.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +31,7 @@ from feedwatch.llm.files import get, put
 from feedwatch.llm.perfect_hash import PerfectHash
 from feedwatch.llm.tables import col, scalar, written
 from feedwatch.llm.words import slices
+from feedwatch.llm.wordwise import ragged, split_parts
 from feedwatch.session import fresh_path
 
 END_ID = 2
@@ -39,9 +40,9 @@ SHARD_BYTES = 16 << 20  # a shard ends with the document that reaches this
 SEGMENT_KEYS = 1 << 18
 CACHE_WORDS = 450_000  # words in each of the two generations that a Python worker remembers
 JOINED = 200  # new words that the library gets as one text
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 RECORD = np.dtype([("print", "<u4"), ("shard", "<i4"), ("place", "<i8"), ("n", "<i8")])
-_ODD = re.compile(r" (?=\s|$)")  # a blank before another blank
+TWIN = np.dtype([("h", "<u8"), ("p", "<u8"), ("shard", "<i4"), ("place", "<i8"), ("n", "<i8")])
 
 
 @lru_cache(maxsize=2)
@@ -50,23 +51,25 @@ def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True  # their strings in a text are ordinary text
     found.no_padding()
     found.no_truncation()
     return found
 
 
 class WordwiseEncoder:
-    """Byte-level BPE of whole texts by the ``tokenizers`` library, each distinct word once.
+    """Byte-level BPE of whole texts by the ``tokenizers`` library, each different word once.
 
     The byte-level splitting rule always begins a new piece at a blank that is followed by something
-    else, so a text's ids are those of its parts cut before such blanks.  Parts seen before are
-    looked up; the new ones of many texts are given to the library together.
+    else, so a text's ids are those of its parts cut before such blanks (``wordwise``).  Parts seen before are
+    looked up; the new ones of many texts are given to the library together.  A text's first part has no blank before it and
+    is encoded by itself, and so is a whole text that holds the string of a special token, which the library finds before it
+    splits.
     """
 
     def __init__(self, path: str, most: int = CACHE_WORDS):
         self.tokenizer, self.most = _tokenizer(path), most
         self.size = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
@@ -74,47 +77,33 @@ class WordwiseEncoder:
         for piece, number in vocabulary.items():
             self.lengths[number] = len(piece)  # byte-level pieces have one character a byte
 
-    def _parts(self, text: str) -> list[str]:
-        """Parts without the blank each begins with, but for the first, which has a mark instead."""
-        parts = text.split(" ")
-        if _ODD.search(text):
-            joined = [parts[0]]
-            for part in parts[1:]:
-                if part and not part[0].isspace():
-                    joined.append(part)
-                else:
-                    joined[-1] += " " + part
-            parts = joined
-        parts[0] = "\0" + parts[0]
-        return parts
+    def _own_ids(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        """Ids of new parts.  Parts that begin with their blank are joined and cut again by bytes."""
-        inner = [w for w in words if w[:1] != "\0"]
-        joined = ["".join([" " + w for w in inner[at : at + JOINED]]) for at in range(0, len(inner), JOINED)]
-        found = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
-        ids = np.array([i for f in found for i in f.ids], np.int64)
+        """Ids of new parts, which are joined and cut again by bytes.  What begins with white space does not join."""
+        plain, rest = [], []
+        for w in words:
+            (plain if w and w[0] > " " and not w[0].isspace() else rest).append(w)
+        for w, ids in zip(rest, self._own_ids([" " + w for w in rest]), strict=True):
+            self.known[w] = np.array(ids, f"<u{self.size}").tobytes()
+        joined = ["".join([" " + w for w in plain[at : at + JOINED]]) for at in range(0, len(plain), JOINED)]
+        ids = np.array([i for own in self._own_ids(joined) for i in own], np.int64)
         ends = np.cumsum(self.lengths[ids])
-        sizes = np.fromiter((len(w.encode()) + 1 for w in inner), np.int64, len(inner))
+        sizes = np.fromiter((len(w.encode()) + 1 for w in plain), np.int64, len(plain))
         cuts = (np.searchsorted(ends, np.cumsum(sizes)) + 1).tolist()
         packed = ids.astype(f"<u{self.size}").tobytes()
         begin = 0
-        for word, end in zip(inner, cuts, strict=True):
+        for word, end in zip(plain, cuts, strict=True):
             self.known[word] = packed[begin * self.size : end * self.size]
             begin = end
-        first = [w for w in words if w[:1] == "\0"]
-        for word, own in zip(first, self.tokenizer.encode_batch_fast([w[1:] for w in first], add_special_tokens=False), strict=True):
-            self.known[word] = np.array(own.ids, f"<u{self.size}").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian ids of each text."""
-        cut = [self._parts(t) if t else [] for t in texts]
-        different = set().union(*cut)
-        missing = different - self.known.keys()
+
+    def _lookup(self, words: list[str]) -> list[bytes]:
+        missing = [w for w in words if w not in self.known]
         if missing and len(self.known) + len(missing) > self.most:
             # The words of the generation before stay at hand; what is still used moves over.
             self.old, self.known = self.known, {}
-            missing = different
+            missing = words
         new = []
         for word in missing:
             if (ids := self.old.get(word)) is None:
@@ -122,8 +111,33 @@ class WordwiseEncoder:
             else:
                 self.known[word] = ids
         self._learn(new)
-        get_known = self.known.__getitem__
-        return [b"".join(map(get_known, parts)) for parts in cut]
+        return [self.known[w] for w in words]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where each text's begin (and the end)."""
+        whole = np.zeros(len(texts), bool)
+        for content in self.special:
+            whole |= pc.match_substring(texts, content).fill_null(False).to_numpy(zero_copy_only=False)
+        parts, index, at = split_parts(texts, whole)
+        first = at[:-1][np.diff(at) > 0]
+        inner = np.ones(len(index), bool)
+        inner[first] = False
+        used = np.flatnonzero(np.bincount(index[inner], minlength=len(parts)))
+        held = self._lookup(parts.take(pa.array(used)).to_pylist())
+        held += [np.array(x, f"<u{self.size}").tobytes() for x in self._own_ids(parts.take(pa.array(index[first])).to_pylist())]
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) // self.size
+        place = np.zeros(len(parts), np.int64)
+        place[used] = np.arange(len(used))
+        own = place[index]
+        own[first] = len(used) + np.arange(len(first))
+        ids = ragged(np.frombuffer(b"".join(held), f"<u{self.size}"), (np.cumsum(sizes) - sizes)[own], sizes[own])
+        return ids, np.concatenate([[0], np.cumsum(sizes[own])])[at]
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> WordwiseEncoder:
+    """One for all tasks of a Python worker, so that each begins with the words of those before."""
+    return WordwiseEncoder(path)
 
 
 @dataclass
@@ -138,7 +152,7 @@ class TokenStore:
 
 def _write_shards(folder: str, path: str, end_id: int, shard_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordwiseEncoder(path)
+        encoder = _encoder(path)
         end = np.array([end_id], f"<u{encoder.size}").tobytes()
         part, shard = TaskContext.get().partitionId(), 0
         ids, sizes, held = [], [], []
@@ -157,10 +171,11 @@ def _write_shards(folder: str, path: str, end_id: int, shard_bytes: int):
         for whole in batches:
             for batch in slices(whole, "t", SLICE_BYTES):
                 begin = 0
-                for i, own in enumerate(encoder.encode(batch.column(1).to_pylist())):
-                    ids += (own, end)
-                    sizes.append(len(own) // encoder.size + 1)
-                    total += len(own) + encoder.size
+                found, at = encoder.encode(batch.column(1))
+                for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                    ids += (found[a:b].tobytes(), end)
+                    sizes.append(b - a + 1)
+                    total += (b - a + 1) * encoder.size
                     if total >= shard_bytes:
                         held.append(batch.column(0).slice(begin, i + 1 - begin))
                         yield flush()
@@ -177,17 +192,19 @@ def _build_segment(folder: str):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         column = lambda name: table.column(name).to_numpy()
-        keys = column("h").view(np.uint64)
-        hashed = PerfectHash.build(keys)
-        if len(hashed.rest):
-            raise ValueError("two keys have the same 64-bit hash; write the store with another seed")
-        at = hashed.find(keys)
-        records = np.zeros(len(hashed), RECORD)
-        records["print"][at] = (column("p").view(np.uint64) >> np.uint64(32)).astype("<u4")
+        keys, prints = column("h").view(np.uint64), column("p").view(np.uint64)
+        # Keys with one hash are told apart by the whole second one, in a list after the records.
+        _, number, times = np.unique(keys, return_inverse=True, return_counts=True)
+        single = times[number] == 1
+        hashed = PerfectHash.build(keys[single])
+        at = hashed.find(keys[single])
+        records, twins = np.zeros(len(hashed), RECORD), np.zeros(int((~single).sum()), TWIN)
+        records["print"][at] = (prints[single] >> np.uint64(32)).astype("<u4")
+        twins["h"], twins["p"] = keys[~single], prints[~single]
         for name in ("shard", "place", "n"):
-            records[name][at] = column(name)
+            records[name][at], twins[name] = column(name)[single], column(name)[~single]
         segment = int(column("segment")[0])
-        name = put(f"{folder}/index", f"{segment:06d}", hashed.to_bytes() + records.tobytes())
+        name = put(f"{folder}/index", f"{segment:06d}", hashed.to_bytes() + records.tobytes() + twins.tobytes())
         return pa.table({"segment": pa.array([segment], pa.int64()), "name": [name]})
 
     return run
@@ -262,15 +279,23 @@ def _ask(folder: str):
                     name = names[a].as_py()
                     data = get(f"{folder}/index", name)
                     hashed, at = PerfectHash.from_bytes(data)
-                    records = np.frombuffer(data, RECORD, offset=at)
+                    records = np.frombuffer(data, RECORD, len(hashed), at)
+                    twins = np.frombuffer(data, TWIN, offset=at + records.nbytes)
+                    pairs = {(h, p): i for i, (h, p) in enumerate(zip(twins["h"].tolist(), twins["p"].tolist(), strict=True))}
                 part = batch.slice(a, b - a)
-                at = hashed.find(part.column(2).to_numpy().view(np.uint64))
-                prints = (part.column(3).to_numpy().view(np.uint64) >> np.uint64(32)).astype("<u4")
+                keys, prints = (part.column(i).to_numpy().view(np.uint64) for i in (2, 3))
+                at = hashed.find(keys)
                 known = at >= 0
-                known[known] = records["print"][at[known]] == prints[known]
-                found, rows = records[at[known]], pa.array(np.flatnonzero(known))
+                known[known] = records["print"][at[known]] == (prints[known] >> np.uint64(32)).astype("<u4")
+                found = {x: np.where(known, records[x][np.where(known, at, 0)] if len(records) else 0, 0).astype(np.int64) for x in ("shard", "place", "n")}
+                for i in np.flatnonzero(np.isin(keys, twins["h"])).tolist() if pairs else ():
+                    twin = pairs.get((int(keys[i]), int(prints[i])))
+                    known[i] = twin is not None
+                    for x in found:
+                        found[x][i] = 0 if twin is None else twins[x][twin]
+                rows = pa.array(np.flatnonzero(known))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(rows), part.column(1).take(rows), *[pa.array(found[x].astype(np.int64)) for x in ("shard", "place", "n")]],
+                    [part.column(0).take(rows), part.column(1).take(rows), *[pa.array(found[x][known]) for x in ("shard", "place", "n")]],
                     ["doc_id", "copy", "shard", "place", "n"],
                 )
 

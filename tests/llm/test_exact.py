@@ -6,7 +6,9 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from feedwatch.llm import host_rules, mixing, pieces, simhash, substring, token_store
 from feedwatch.llm.components import star_roots
@@ -169,9 +171,7 @@ def test_mix_rows(spark):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(public_file("byte_bpe_50k.json"))
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(public_file("byte_bpe_50k.json"))
 
 
 def test_token_store_table(spark, table_rows, tokenizer):
@@ -198,12 +198,28 @@ def test_token_store_awkward(spark, tokenizer):
     assert {(r.doc_id, r.copy) for r in token_store.locate(store, asked).collect()} == {(4, 0), (7, 2), (None, 1)}
 
 
+@pytest.mark.parametrize("shared", [1, 3])
+def test_token_store_equal_hashes(spark, monkeypatch, shared):
+    """Keys with the same 64-bit hash are found by their second one."""
+    hashes = token_store._key_hashes
+    few = lambda *names: [F.pmod(hashes()[0], F.lit(shared)).cast("bigint").alias("h"), hashes()[1]]
+    monkeypatch.setattr(token_store, "_key_hashes", few)
+    store = token_store.write_store(documents(spark), public_file("byte_bpe_50k.json"))
+    found = {(r.doc_id, r.copy): (r.shard, r.place, r.n) for r in token_store.locate(store, store.rows.select("doc_id", "copy")).collect()}
+    assert found == {(r.doc_id, r.copy): (r.shard, r.place, r.n) for r in store.rows.collect()}
+    foreign = spark.createDataFrame([(777, 0), (4, 9)], "doc_id bigint, copy int")
+    assert token_store.locate(store, foreign).count() == 0
+
+
 def test_words_at_odd_blanks(tokenizer):
     encoder = token_store.WordwiseEncoder(public_file("byte_bpe_50k.json"), most=5)
     texts = ["  a  b \n c\t d's  'll <|endoftext|>  x　z\x1c q \x1f r s\x85 v  ", " ", "\n", " x", "a", "0 1", "x " * 50, " \n\n  y"]
+    texts += ["  a  b \n c\t d's  'll   x　z\x1c q \x1f r s\x85 v  ", "hello <|endoftext|> world", "<|endoftext|>", "x<|endoftext|><|endoftext|>", "<|endoftext", "a\x00b \x00c"]
     for _ in range(3):
-        found = [np.frombuffer(x, "<u2").tolist() for x in encoder.encode([*texts, None])]
+        ids, at = encoder.encode(pa.array([*texts, None]))
+        found = [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)]
         assert found == [*[tokenizer.encode(t, add_special_tokens=False).ids for t in texts], []]
+    assert found[texts.index("hello <|endoftext|> world")] == [31373, 220, 50256, 995]
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 1000, 30000])
