@@ -1,7 +1,9 @@
 """Nearest neighbours by cosine: a graph built with NN-descent, and greedy search in it.
 
 Equal vectors are one node, so copies of any number cost nothing.  Nodes are dealt to blocks by a hash, and
-one row holds a block: its vectors (half precision, for the graph only) and its neighbour lists.
+one row holds a block: its vectors (single precision, of length one) and its neighbour lists.  Nearness is minus the
+squared distance of these, taken from differences or about the centre of what is compared, so near copies are told apart
+as well as other vectors are.
 
 *Building.*  Lists begin with neighbours found in small groups: random ones, and those that fall on the
 same side of random hyperplanes.  Each round joins neighbours of neighbours: every node brings those that
@@ -34,7 +36,9 @@ U = np.uint64
 LIST = 24  # neighbours a node keeps
 BLOCK = 2048  # nodes of a block, on average
 TREES = 10  # groupings by random hyperplanes
-LEAF = 128  # nodes of such a group, on average; larger ones are cut by the order of node numbers
+LEAF = 128  # nodes of such a group, on average; over four times as many are cut by further planes
+TASK_NODES = 1 << 16  # of one group in one task; a larger one is dealt out at random, otherwise in each grouping
+FAR = -5.0  # below any nearness
 GROUP = 64  # pairs are compared within this many neighbours; a node with more has several groups
 ROUNDS = 6
 DONE = 0.002  # a round that changes a smaller share of all lists' entries is the last
@@ -62,7 +66,7 @@ class Part:
         self.block = table.column("block")[0].as_py()
         self.nodes = get("nodes", np.int64)
         n = len(self.nodes)
-        self.vectors = get("vectors", np.float16).reshape(n, -1)
+        self.vectors = get("vectors", np.float32).reshape(n, -1)
         self.lists = get("lists", np.int64).reshape(n, LIST)
         self.sims = get("sims", np.float32).reshape(n, LIST)
         self.fresh = get("fresh", np.bool_).reshape(n, LIST)
@@ -90,7 +94,7 @@ def usable(table: DataFrame, vec_id: str, vector: str) -> DataFrame:
 
 
 def _unit(blocks: int):
-    """Batches (node, v) to (block, node, vector): of length one, in half precision."""
+    """Batches (node, v) to (block, node, vector): of length one, in single precision."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,7 +102,7 @@ def _unit(blocks: int):
             matrix = _vectors(batch.column(1))
             # Scaling by the largest entry first keeps squares within range.
             matrix = matrix / np.abs(matrix).max(axis=1, keepdims=True) if len(matrix) else matrix
-            matrix = (matrix / np.linalg.norm(matrix, axis=1, keepdims=True)).astype(np.float16)
+            matrix = (matrix / np.linalg.norm(matrix, axis=1, keepdims=True)).astype(np.float32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(_block(nodes, blocks)), batch.column(0), pa.array([r.tobytes() for r in matrix], pa.binary())],
                 ["block", "node", "vector"],
@@ -146,7 +150,7 @@ def _leaf(trees: int, bits: int, groups: int, salt: int):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            matrix = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float16).reshape(batch.num_rows, -1).astype(np.float32)
+            matrix = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float32).reshape(batch.num_rows, -1).astype(np.float32)
             random = _block(batch.column(1).to_numpy() ^ salt, groups)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(batch.num_rows, -1)), pa.array(random), batch.column(1), batch.column(2)], ["tree", "leaf", "node", "vector"]
@@ -162,15 +166,34 @@ def _leaf(trees: int, bits: int, groups: int, salt: int):
     return run
 
 
-def _compare(nodes: np.ndarray, vectors: np.ndarray, size: int, most: int) -> tuple[list, list, list]:
-    """Each node's best others within groups of ``size`` of an order by hash (the last may be larger)."""
-    order = np.argsort(mix(nodes.view(U)))
-    nodes, vectors = nodes[order], vectors[order].astype(np.float32)
+def _nearness(vectors: np.ndarray) -> np.ndarray:
+    """Minus the squared distances of all pairs, about their centre."""
+    vectors = vectors - vectors.mean(axis=0)
+    squares = np.einsum("ij,ij->i", vectors, vectors)
+    return np.minimum(2 * (vectors @ vectors.T) - squares[:, None] - squares[None, :], 0)
+
+
+def _halved(vectors: np.ndarray, size: int, seed: tuple) -> Iterator[np.ndarray]:
+    """Row numbers in groups of ``size`` at most: cut in half, again and again, between two members drawn at random."""
+    rng = np.random.default_rng(seed)
+    left = [np.arange(len(vectors))]
+    while left:
+        rows = left.pop()
+        if len(rows) <= size:
+            yield rows
+            continue
+        one, two = vectors[rng.choice(rows, 2, replace=False)]
+        along = (vectors[rows] - one) @ (two - one)
+        order = np.argpartition(along, len(rows) // 2)
+        left += [rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]]
+
+
+def _compare(nodes: np.ndarray, vectors: np.ndarray, groups: Iterator[np.ndarray], most: int) -> tuple[list, list, list]:
+    """Each node's best others within its group."""
     targets, others, sims = [], [], []
-    count = max(1, len(nodes) // size)
-    for part in np.array_split(np.arange(len(nodes)), count):
+    for part in groups:
         if len(part) > 1:
-            table = vectors[part] @ vectors[part].T
+            table = _nearness(vectors[part])
             np.fill_diagonal(table, -np.inf)
             k = min(most, len(part) - 1)
             best = np.argpartition(-table, k - 1, axis=1)[:, :k]
@@ -183,8 +206,13 @@ def _compare(nodes: np.ndarray, vectors: np.ndarray, size: int, most: int) -> tu
 def _start(table: pa.Table, blocks: int) -> pa.Table:
     """Neighbours within one leaf.  Those of tree -1 are random: every node gets some neighbours."""
     nodes = table.column("node").to_numpy()
-    vectors = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float16).reshape(len(nodes), -1)
-    found = _compare(nodes, vectors, GROUP if table.column("tree")[0].as_py() < 0 else 4 * LEAF, LIST)
+    vectors = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float32).reshape(len(nodes), -1)
+    tree, leaf = table.column("tree")[0].as_py(), table.column("leaf")[0].as_py()
+    if tree < 0:
+        groups = np.array_split(np.argsort(mix(nodes.view(U))), max(1, len(nodes) // GROUP))
+    else:
+        groups = _halved(vectors, 4 * LEAF, (tree, leaf))
+    found = _compare(nodes, vectors, groups, LIST)
     join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
     return _proposals(blocks, join(found[0], np.int64), join(found[1], np.int64), join(found[2], np.float32))
 
@@ -192,10 +220,10 @@ def _start(table: pa.Table, blocks: int) -> pa.Table:
 def _empty_lists(table: pa.Table) -> pa.Table:
     nodes = table.column("node").to_numpy()
     order = np.argsort(nodes)
-    vectors = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float16).reshape(len(nodes), -1)[order]
+    vectors = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float32).reshape(len(nodes), -1)[order]
     shape = (len(nodes), LIST)
     return _graph_row(
-        table.column("block")[0].as_py(), nodes[order], vectors, np.full(shape, -1, np.int64), np.full(shape, -2, np.float32), np.zeros(shape, bool)
+        table.column("block")[0].as_py(), nodes[order], vectors, np.full(shape, -1, np.int64), np.full(shape, FAR, np.float32), np.zeros(shape, bool)
     )
 
 
@@ -223,7 +251,7 @@ def _take_over(graph: pa.Table, found: pa.Table) -> pa.Table:
     owner, other, sim, new = owner[keep], other[keep], sim[keep], new[keep]
     place = np.arange(len(owner)) - np.searchsorted(owner, owner)
     lists = np.full(part.lists.shape, -1, np.int64)
-    best = np.full(part.lists.shape, -2, np.float32)
+    best = np.full(part.lists.shape, FAR, np.float32)
     fresh = np.zeros(part.lists.shape, bool)
     lists[owner, place], best[owner, place], fresh[owner, place] = other, sim, new
     return _graph_row(part.block, part.nodes, part.vectors, lists, best, fresh)
@@ -271,14 +299,17 @@ def _bring(edges: pa.Table, graph: pa.Table, blocks: int) -> pa.Table:
     return pa.table([pa.array(v, pa.int64() if n == "block" else pa.binary()) for n, v in out.items()], names=list(out))
 
 
-def _local_join(table: pa.Table, blocks: int) -> pa.Table:
-    """For each pivot of a block, compare its members pairwise; nearer ones are proposed both ways."""
+def _local_join(table: pa.Table, blocks: int, salt: int) -> pa.Table:
+    """For each pivot of a block, compare its members pairwise; nearer ones are proposed both ways.
+
+    The members of a pivot with many are grouped otherwise in each round (``salt``).
+    """
     members, limits, counts, pivots, fresh = _flat(
         table, ("members", "limits", "counts", "pivots", "fresh"), (np.int64, np.float32, np.int64, np.int64, np.bool_)
     )
-    vectors = np.frombuffer(b"".join(table.column("vectors").to_pylist()), np.float16).reshape(len(members), -1).astype(np.float32)
+    vectors = np.frombuffer(b"".join(table.column("vectors").to_pylist()), np.float32).reshape(len(members), -1).astype(np.float32)
     which = np.repeat(np.arange(len(members)), counts)
-    order = np.lexsort((mix(members[which].view(U)), pivots))
+    order = np.lexsort((mix(members[which].view(U) ^ U(salt)), pivots))
     which, pivots, fresh = which[order], pivots[order], fresh[order]
     begins = np.flatnonzero(np.diff(pivots, prepend=pivots[0] - 1 if len(pivots) else 0))
     targets, others, sims = [], [], []
@@ -287,7 +318,7 @@ def _local_join(table: pa.Table, blocks: int) -> pa.Table:
             rows, new = which[at : min(at + GROUP, b)], fresh[at : min(at + GROUP, b)]
             if len(rows) < 2 or not new.any():
                 continue
-            table_ = vectors[rows] @ vectors[rows].T
+            table_ = _nearness(vectors[rows])
             better = (table_ > limits[rows][:, None]) & (new[:, None] | new[None, :]) & (members[rows][:, None] != members[rows][None, :])
             i, j = np.nonzero(better)
             targets.append(members[rows[i]])
@@ -303,6 +334,10 @@ def _fresh_count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"n": pa.array(counts, pa.int64())})
 
 
+def mix_round(number: int) -> int:
+    return int(mix(np.array([number], U))[0])
+
+
 def _with_blocks(what, blocks: int):
     def run(table: pa.Table) -> pa.Table:
         return what(table, blocks)
@@ -316,16 +351,20 @@ def build_graph(nodes: DataFrame, count: int, rounds: int = ROUNDS, seed: int =
     placed = written(nodes.select("node", "v").mapInArrow(_unit(blocks), "block bigint, node bigint, vector binary"), "vectors")
     bits = max(0, (count // LEAF).bit_length() - 1)
     leaves = placed.mapInArrow(_leaf(TREES, bits, max(1, count // LEAF), seed), "tree bigint, leaf bigint, node bigint, vector binary")
-    first = leaves.groupBy("tree", "leaf").applyInArrow(_with_blocks(_start, blocks), PROPOSALS)
+    large = leaves.groupBy("tree", "leaf").count().where(F.col("count") > TASK_NODES)
+    shares = large.select("tree", "leaf", F.ceil(F.col("count") / TASK_NODES).cast("bigint").alias("shares"))
+    dealt = F.pmod(F.xxhash64("node", "tree"), F.coalesce("shares", F.lit(1).cast("bigint")))
+    leaves = leaves.join(shares, ["tree", "leaf"], "left").withColumn("share", dealt).drop("shares")
+    first = leaves.groupBy("tree", "leaf", "share").applyInArrow(_with_blocks(_start, blocks), PROPOSALS)
     graph = placed.groupBy("block").applyInArrow(_empty_lists, GRAPH)
     graph = written(graph.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(_take_over, GRAPH), "graph", "none")
-    for _ in range(rounds):
+    for number in range(rounds):
         edges = graph.mapInArrow(_edges(blocks), "block bigint, members binary, pivots binary, fresh binary")
         brought = edges.groupBy("block").cogroup(graph.groupBy("block")).applyInArrow(
             partial(_bring, blocks=blocks),
             "block bigint, members binary, vectors binary, limits binary, counts binary, pivots binary, fresh binary",
         )
-        found = brought.groupBy("block").applyInArrow(_with_blocks(_local_join, blocks), PROPOSALS)
+        found = brought.groupBy("block").applyInArrow(_with_blocks(partial(_local_join, salt=mix_round(number)), blocks), PROPOSALS)
         graph = written(graph.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_take_over, GRAPH), "graph", "none")
         changed = scalar(graph.select("fresh").mapInArrow(_fresh_count, "n bigint").agg(F.sum("n")))[0] or 0
         if changed <= DONE * count * LIST:
@@ -341,7 +380,7 @@ def _pools(chosen: pa.Table, graph: pa.Table) -> pa.Table:
     part = Part(graph)
     queries = np.unique(chosen.column("node").to_numpy())
     row = np.searchsorted(part.nodes, queries)
-    pool, sims = np.full((len(queries), POOL), -1, np.int64), np.full((len(queries), POOL), -2, np.float32)
+    pool, sims = np.full((len(queries), POOL), -1, np.int64), np.full((len(queries), POOL), FAR, np.float32)
     pool[:, :LIST], sims[:, :LIST] = part.lists[row][:, :POOL], part.sims[row][:, :POOL]
     values = (queries, part.vectors[row], pool, sims, pool >= 0)
     columns = [pa.array([part.block], pa.int64()), *[pa.array([_raw(x)], pa.binary()) for x in values]]
@@ -354,7 +393,7 @@ class Pool:
         self.block = table.column("block")[0].as_py()
         self.queries = get("queries", np.int64)
         n = len(self.queries)
-        self.vectors = get("vectors", np.float16).reshape(n, -1)
+        self.vectors = get("vectors", np.float32).reshape(n, -1)
         self.pool = get("pool", np.int64).reshape(n, POOL).copy()
         self.sims = get("sims", np.float32).reshape(n, POOL).copy()
         self.open = get("open", np.bool_).reshape(n, POOL).copy()
@@ -394,7 +433,7 @@ def _expand(blocks: int):
 def _asked(table: pa.Table) -> tuple[np.ndarray, ...]:
     """Queries, vectors, limits, and (query row, id) of rows of asks; equal queries stay apart."""
     queries, limits, counts, ids = _flat(table, ("queries", "limits", "counts", "ids"), (np.int64, np.float32, np.int64, np.int64))
-    vectors = np.frombuffer(b"".join(table.column("vectors").to_pylist()), np.float16).reshape(len(queries), -1)
+    vectors = np.frombuffer(b"".join(table.column("vectors").to_pylist()), np.float32).reshape(len(queries), -1)
     return queries, vectors, limits, np.repeat(np.arange(len(queries)), counts), ids
 
 
@@ -442,7 +481,7 @@ def _similar(asked: pa.Table, graph: pa.Table, blocks: int) -> pa.Table:
     sims = np.empty(len(ids), np.float32)
     for at in range(0, len(ids), 1 << 16):
         a, b = vectors[who[at : at + (1 << 16)]].astype(np.float32), part.vectors[row[at : at + (1 << 16)]].astype(np.float32)
-        sims[at : at + (1 << 16)] = np.einsum("ij,ij->i", a, b)
+        sims[at : at + (1 << 16)] = -np.einsum("ij,ij->i", a - b, a - b)
     near = sims > limits[who]
     names, others, sims = queries[who[near]], ids[near], sims[near]
     keep = _top(names, others, sims, POOL)
@@ -475,7 +514,7 @@ def _absorb(state: pa.Table, found: pa.Table) -> pa.Table:
     keep = _top(owner, other, sim, POOL)
     owner, other, sim, open_ = owner[keep], other[keep], sim[keep], open_[keep]
     place = np.arange(len(owner)) - np.searchsorted(owner, owner)
-    own.pool[:], own.sims[:], own.open[:] = -1, -2, False
+    own.pool[:], own.sims[:], own.open[:] = -1, FAR, False
     own.pool[owner, place], own.sims[owner, place], own.open[owner, place] = other, sim, open_
     values = (own.queries, own.vectors, own.pool, own.sims, own.open)
     columns = [pa.array([own.block], pa.int64()), *[pa.array([_raw(x)], pa.binary()) for x in values]]

@@ -198,3 +198,21 @@ def test_several_blocks(spark, monkeypatch):
     own = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     frame = spark.read.parquet(f"{SF}/embeddings.parquet")
     assert recall(ann.nearest(frame).collect(), brute_nearest(own)) >= 0.9
+
+
+@pytest.mark.parametrize("noise", [0.01, 0.0001])
+def test_nearest_among_near_copies(spark, noise):
+    """A third of all rows are copies of one vector with little noise; leaves and hubs hold thousands of them."""
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=64)
+    copies = centre + rng.normal(size=(3000, 64)) * noise * np.linalg.norm(centre) / 8
+    rest = rng.normal(size=(1500, 64))
+    own = [(i, v.tolist()) for i, v in enumerate(np.concatenate([copies, rest]))]
+    frame = spark.createDataFrame(own, "vec_id bigint, embedding array<double>")
+    assert recall(ann.nearest(frame).collect(), brute_nearest(own)) >= 0.9
+
+
+def test_large_groups_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(ann, "TASK_NODES", 100)
+    own = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    assert recall(ann.nearest(spark.read.parquet(f"{SF}/embeddings.parquet")).collect(), brute_nearest(own)) >= 0.9
