@@ -29,6 +29,9 @@ from feedwatch.session import durable, fresh_path
 
 MAX_TARGET_BYTES = 64 << 20
 ENCODER_BATCH = 256
+LEADING = 4  # titles are bounded by a fourth of their dimensions
+BOUND_SLACK = 1e-9  # far above rounding, far below any threshold's digits
+PAIRS_AT_ONCE = 1 << 14
 HIT = "array<struct<target_pos:int,title_similarity:double>>"
 SCORED = "array<struct<target_pos:int,title_similarity:double,top_k_score:double>>"
 BEST = "array<struct<target_pos:int,i:int,j:int,similarity:double>>"
@@ -93,6 +96,10 @@ class SiteTargets:
     def __init__(self, positions: np.ndarray, titles: np.ndarray, sentences: list[np.ndarray]) -> None:
         self.positions = positions
         self.titles, self.title_norms = titles, _norms(titles)
+        unit = _unit(titles, self.title_norms)
+        # The directions that hold most of the titles, leading ones first.
+        self.basis = np.linalg.svd(unit, full_matrices=False)[2][: max(1, titles.shape[1] // LEADING)].T if titles.size else titles.T
+        self.lead, self.rest = _split(unit, self.basis)
         self.sentences = {
             int(p): (m, _norms(m)) for p, m in zip(positions, sentences, strict=True)
         }
@@ -102,6 +109,43 @@ def _norms(matrix: np.ndarray) -> np.ndarray:
     return np.sqrt((matrix * matrix).sum(axis=1)) if len(matrix) else np.zeros(0)
 
 
+def _unit(matrix: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    return np.divide(matrix, norms[:, None], out=np.zeros_like(matrix, dtype=float), where=norms[:, None] > 0)
+
+
+def _split(unit: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates in the basis, and the length of what lies outside of it."""
+    lead = unit @ basis
+    outside = (unit * unit).sum(axis=1) - (lead * lead).sum(axis=1)
+    return lead, np.sqrt(np.maximum(outside, 0))
+
+
+def screen_titles(known: SiteTargets, block: np.ndarray, least: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, targets and cosines of the pairs over ``least`` (None: of all), and how many cosines each row took.
+
+    A cosine is at most the product within the leading directions plus the product of the lengths outside (Cauchy and
+    Schwarz), so pairs whose bound is not over ``least`` are left out unseen.  The bound takes a product of a ``LEADING``-th
+    of the columns; where it leaves more than half of the pairs, the whole product is taken instead.
+    """
+    norms = _norms(block)
+    if least is not None and len(block) and len(known.positions):
+        lead, rest = _split(_unit(block, norms), known.basis)
+        row, target = np.nonzero(lead @ known.lead.T + np.outer(rest, known.rest) > least - BOUND_SLACK)
+        if 2 * len(row) <= len(block) * len(known.positions):
+            sims = np.zeros(len(row))
+            for at in range(0, len(row), PAIRS_AT_ONCE):
+                i, j = row[at : at + PAIRS_AT_ONCE], target[at : at + PAIRS_AT_ONCE]
+                scale = norms[i] * known.title_norms[j]
+                dots = np.einsum("ij,ij->i", block[i], known.titles[j])
+                sims[at : at + PAIRS_AT_ONCE] = np.divide(dots, scale, out=np.zeros(len(i)), where=scale > 0)
+            sims = np.round(sims, 12)
+            keep = sims > least
+            return row[keep], target[keep], sims[keep], np.bincount(row, minlength=len(block))
+    sims = _cosines(block, norms, known.titles, known.title_norms)
+    row, target = np.nonzero(np.ones_like(sims, dtype=bool) if least is None else sims > least)
+    return row, target, sims[row, target], np.full(len(block), len(known.positions))
+
+
 def _cosines(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """All cosines of two blocks; zero vectors give 0.
 
@@ -170,11 +214,8 @@ def _title_hits(book, sites: pa.Array, titles: np.ndarray, least: float | None)
         known = book.get(site)
         if known is None:
             continue
-        block = titles[rows]
-        sims = _cosines(block, _norms(block), known.titles, known.title_norms)
-        keep = np.ones_like(sims, dtype=bool) if least is None else sims > least
-        row, target = np.nonzero(keep)
-        parts.append((rows[row], known.positions[target], sims[row, target]))
+        row, target, sims, _ = screen_titles(known, titles[rows], least)
+        parts.append((rows[row], known.positions[target], sims))
     rows, targets, sims = _by_row(parts, 3)
     return _list_array(
         rows,
@@ -322,6 +363,13 @@ def title_hits(
 
     Entries without a hit are dropped; ``least=None`` keeps every target of the site.
     """
+    return title_hits_or_none(entries, book, least, title, encoder).where(F.size("hits") > 0)
+
+
+def title_hits_or_none(
+    entries: DataFrame, book, least: float | None, title: str = "title_vec", encoder: EncoderFactory | None = None
+) -> DataFrame:
+    """As ``title_hits``, with empty lists for entries without a hit."""
 
     @F.arrow_udf(HIT)
     def hits(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -329,8 +377,25 @@ def title_hits(
         for sites, titles in batches:
             yield _title_hits(book.value, sites, read(titles)[1], least)
 
-    found = entries.withColumn("hits", run_once(hits)("site", title))
-    return found.where(F.size("hits") > 0)
+    return entries.withColumn("hits", run_once(hits)("site", title))
+
+
+def title_cosines(
+    entries: DataFrame, book, least: float | None, title: str = "title_vec", encoder: EncoderFactory | None = None
+) -> DataFrame:
+    """Adds ``n_cosines``: how many cosines with targets of its site the screening computes for an entry."""
+
+    @F.arrow_udf("bigint")
+    def counted(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        read = read_vectors if encoder is None else text_reader(encoder)
+        for sites, titles in batches:
+            vectors, counts = read(titles)[1], np.zeros(len(sites), np.int64)
+            for site, rows in _site_rows(sites):
+                if site in book.value:
+                    counts[rows] = screen_titles(book.value[site], vectors[rows], least)[3]
+            yield pa.array(counts)
+
+    return entries.withColumn("n_cosines", run_once(counted)("site", title))
 
 
 def sentence_scores(
@@ -391,24 +456,21 @@ def similar_pairs(
 
     With ``use_and`` only pairs whose title qualifies go on to the sentences, with equal results.
     ``prepare`` derives the sentence column after that cut, so costly text work is done for
-    survivors only; ``spread`` deals the survivors out over that many tasks first.  ``entries``
-    needs ``site`` and ``pos``.
+    survivors only; ``spread`` deals what the sentences are scored of out over that many tasks first.
+    ``entries`` needs ``site`` and ``pos``.
     """
+    dealt = lambda rows: rows.repartition(spread) if spread else rows
+    ready = lambda rows: dealt(rows) if prepare is None else prepare(dealt(rows))
     book = broadcast_targets(targets, max_bytes)
     if book is None:
-        ready = entries if prepare is None else prepare(entries)
-        return _pairs_by_books(ready, targets, settings, encoder, title, sentences, max_bytes)
+        least = settings.title_threshold if settings.use_and and prune else None
+        return _pairs_by_books(entries, targets, settings, encoder, title, sentences, max_bytes, ready, least)
     if not (settings.use_and and prune):
-        ready = entries if prepare is None else prepare(entries)
-        scored = qualified(ready, book, settings, encoder, title, sentences)
+        scored = qualified(ready(entries), book, settings, encoder, title, sentences)
         return scored.withColumn("pair", F.explode("scored")).select(*entries.columns, "pair.*")
     candidates = title_hits(entries, book, settings.title_threshold, title, encoder)
-    if spread:
-        candidates = candidates.repartition(spread)
-    if prepare is not None:
-        candidates = prepare(candidates)
     scored = sentence_scores(
-        candidates, book, settings.num_similar_sentences, sentences, encoder
+        ready(candidates), book, settings.num_similar_sentences, sentences, encoder
     )
     return explode_pairs(scored, entries.columns, settings)
 
@@ -462,30 +524,64 @@ def _pairs_by_books(
     title: str,
     sentences: str,
     max_bytes: int,
+    ready: Callable[[DataFrame], DataFrame],
+    least: float | None,
 ) -> DataFrame:
     """The way for more targets than can be broadcast: books of targets, one after the other.
 
-    Every text is encoded once, into a stored table.  Each book is broadcast, passes over that table as
-    a map, and is freed; neither entries nor targets are copied or shuffled.
+    Titles are encoded once, into a stored table.  With ``least`` the books first pass over these titles alone, and only entries
+    with a hit in some book go on: their summaries are made ready and encoded once, and the books pass over them a second
+    time with the hits they had.  Each book is broadcast, maps a stored table, and is freed; texts of entries are never copied.
     """
+    spark = entries.sparkSession
     known = durable(targets.select("site", "target_pos", "title_vec", "sent_vecs"), "targets")
-    n_targets = known.count()
     # Twice as many books as would do, since a hash deals targets out unevenly.
-    books = max(1, min(n_targets, -(-2 * target_bytes(known) // max(max_bytes, 1))))
-    names, vectors = entries.columns, entries
+    books = max(1, min(known.count(), -(-2 * target_bytes(known) // max(max_bytes, 1))))
+    book_no = F.pmod(F.xxhash64("site", "target_pos"), F.lit(books))
+
+    def each_book(rows: DataFrame, label: str, run: Callable[[DataFrame, object, int], DataFrame]) -> DataFrame:
+        path = fresh_path(spark, label)
+        for number in range(books):
+            book = spark.sparkContext.broadcast(_book(known.where(book_no == number).toArrow()))
+            found = run(rows, book, number)
+            found.write.mode("append").parquet(path)
+            book.destroy()
+        return spark.read.schema(found.schema).parquet(path)
+
+    keyed = entries.withColumn("_entry", F.monotonically_increasing_id())
     if encoder is not None:
-        vectors = vectors.withColumn("_title_vec", F.get(encode_sentences(F.array(title), encoder), 0))
-        vectors = durable(vectors.withColumn("_sent_vecs", encode_sentences(F.col(sentences), encoder)), "vectors")
-        title, sentences = "_title_vec", "_sent_vecs"
-    path = fresh_path(entries.sparkSession, "pairs")
-    for number in range(books):
-        own = known.where(F.pmod(F.xxhash64("site", "target_pos"), F.lit(books)) == number)
-        book = entries.sparkSession.sparkContext.broadcast(_book(own.toArrow()))
-        scored = qualified(vectors, book, settings, None, title, sentences)
-        pairs = scored.withColumn("pair", F.explode("scored")).select(*names, "pair.*")
-        pairs.write.mode("append").parquet(path)
-        book.destroy()
-    return entries.sparkSession.read.schema(pairs.schema).parquet(path)
+        keyed = keyed.withColumn("_title_vec", F.get(encode_sentences(F.array(title), encoder), 0))
+        title = "_title_vec"
+    keyed = durable(keyed, "titles")
+    if least is not None:
+        hits = each_book(
+            keyed.select("_entry", "site", title),
+            "hits",
+            lambda rows, book, number: title_hits(rows, book, least, title).select("_entry", "hits", F.lit(number).alias("_book")),
+        )
+        keyed = keyed.join(hits.select("_entry").distinct(), "_entry", "left_semi")
+    held = ready(keyed)
+    if encoder is not None:
+        held = held.withColumn("_sent_vecs", encode_sentences(F.col(sentences), encoder))
+        sentences = "_sent_vecs"
+    names = [c for c in held.columns if c not in ("_entry", "_title_vec", "_sent_vecs")]
+    held = durable(held, "sentences")
+    if least is None:
+        return each_book(
+            held,
+            "pairs",
+            lambda rows, book, _: qualified(rows, book, settings, None, title, sentences)
+            .withColumn("pair", F.explode("scored")).select(*names, "pair.*"),
+        )
+    vectors = held.select("_entry", "site", sentences)
+
+    def score(rows: DataFrame, book, number: int) -> DataFrame:
+        own = rows.join(hits.where(F.col("_book") == number).drop("_book"), "_entry")
+        scored = sentence_scores(own, book, settings.num_similar_sentences, sentences)
+        return explode_pairs(scored, ["_entry"], settings)
+
+    pairs = each_book(vectors, "pairs", score)
+    return held.join(pairs, "_entry").select(*names, *(c for c in pairs.columns if c != "_entry"))
 
 
 def _one_chunk(table: pa.Table, name: str) -> pa.Array:

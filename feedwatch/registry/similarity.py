@@ -87,6 +87,23 @@ def targets_x_entries(spark, sf_dir):
     )
 
 
+@register(
+    "title_pruning",
+    WITH + """
+SELECT count(*) AS n_pairs, count(*) FILTER (title_similarity > 0.1) AS n_hits, count(*) > 0 AS half_saved FROM title_pairs""",
+)
+def title_pruning(spark, sf_dir):
+    """The threshold is applied to bounds first; the hits are those of the whole product, for half of its cosines or fewer."""
+    def run(rows, book):
+        found = sim.title_cosines(rows, book, SET.title_threshold)
+        return sim.title_hits_or_none(found, book, SET.title_threshold)
+
+    rows = sim.over_books(v.papers(spark, sf_dir), v.vector_targets(spark, sf_dir), run)
+    compared = sim.pairs_compared(v.papers(spark, sf_dir), v.vector_targets(spark, sf_dir)).agg(F.sum("n_pairs").alias("n_pairs"))
+    work = rows.agg(F.sum("n_cosines").alias("n"), F.sum(F.size("hits")).alias("n_hits"))
+    return work.join(compared).select("n_pairs", "n_hits", (2 * F.col("n") <= F.col("n_pairs")).alias("half_saved"))
+
+
 @register(
     "pairs_compared",
     WITH + """

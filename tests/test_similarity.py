@@ -71,6 +71,46 @@ def test_against_brute_force(spark, seed, use_and):
     assert rows(sim.similar_pairs(e, t, settings, max_bytes=0)) == expected
 
 
+@pytest.mark.parametrize("least", [None, -0.5, 0.0, 0.3, 0.7, 0.999])
+@pytest.mark.parametrize("kind", ["clustered", "random", "few", "zeros"])
+def test_screened_titles_are_those_of_the_whole_product(kind, least):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(8, 32))
+    draw = {
+        "clustered": lambda n: centres[rng.integers(0, 8, n)] + 0.2 * rng.normal(size=(n, 32)),
+        "random": lambda n: rng.normal(size=(n, 32)),
+        "few": lambda n: rng.normal(size=(n if n > 100 else 3, 32)),
+        "zeros": lambda n: rng.normal(size=(n, 32)) * (rng.random(n) > 0.3)[:, None],
+    }[kind]
+    block, titles = draw(400), draw(90)
+    known = sim.SiteTargets(np.arange(len(titles)), titles, [titles[:0]] * len(titles))
+    row, target, cosines, work = sim.screen_titles(known, block, least)
+    full = sim._cosines(block, sim._norms(block), titles, sim._norms(titles))
+    want = np.ones_like(full, bool) if least is None else full > least
+    assert list(zip(row, target, strict=True)) == list(zip(*np.nonzero(want), strict=True))
+    assert np.abs(cosines - full[want]).max(initial=0) < 2e-12
+    assert work.sum() <= full.size
+    if kind == "clustered" and least is not None and least > 0.5:
+        assert 2 * work.sum() <= full.size and work.sum() < 1.5 * want.sum() + 400
+
+
+def test_books_screen_titles_and_encode_once(spark, monkeypatch):
+    """Above the bound, summaries of entries without a title hit are neither made ready nor encoded, and no text twice."""
+    entries, targets = random_papers(7)
+    e, t = spark.createDataFrame(entries, ENTRY), spark.createDataFrame(targets, TARGET)
+    settings = sim.Settings(3, 0.5, 0.4, True)
+    prepared = []
+
+    def prepare(rows):
+        prepared.append(rows.count())
+        return rows
+
+    expected = brute(entries, targets, settings)
+    assert rows(sim.similar_pairs(e, t, settings, max_bytes=200, prepare=prepare)) == expected
+    assert len(prepared) == 1 and prepared[0] < len(entries) / 2
+    assert prepared[0] >= len({pos for _, pos in expected})
+
+
 def as_vectors(cosines):
     """Two-dimensional unit vectors whose cosine with (1, 0) is the given value."""
     return [[c, float(np.sqrt(1 - c * c))] for c in cosines]
