@@ -91,9 +91,15 @@ def matches(automaton, folded: str) -> dict[int, float]:
                 spared.append((begin, end))
             elif weight > hits.get(begin, -np.inf):
                 hits[begin] = weight
-    for a, b in spared:
-        hits = {at: w for at, w in hits.items() if not a <= at < b}
-    return hits
+    if not spared or not hits:
+        return hits
+    # The furthest end of a phrase that begins at a place or before it tells whether the place lies within one.
+    begins, ends = np.array(sorted(spared)).T
+    reach = np.maximum.accumulate(ends)
+    places = np.fromiter(hits, np.int64, len(hits))
+    last = np.searchsorted(begins, places, "right") - 1
+    free = (last < 0) | (reach[last] <= places)
+    return {at: hits[at] for at in places[free].tolist()}
 
 
 def features(automaton, folded: str) -> tuple[float, float]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 import zlib
 from collections import Counter
 
@@ -216,3 +217,23 @@ def test_large_groups_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(ann, "TASK_NODES", 100)
     own = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     assert recall(ann.nearest(spark.read.parquet(f"{SF}/embeddings.parquet")).collect(), brute_nearest(own)) >= 0.9
+
+
+def test_phrases_in_a_long_text():
+    """Words within exception phrases by the definition, and a megabyte of them in seconds."""
+    lexicon = toxicity.Lexicon({" bad ": 1.0, " ba": 0.5, " worse ": 2.0}, [" not bad ", " bad luck ", " far worse "])
+    automaton = lexicon.automaton()
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        words = rng.choice(["bad", "not", "luck", "worse", "far", "bath", "x"], 30)
+        folded = " " + " ".join(words) + " "
+        spared = [(m, m + len(p) - 1) for p in lexicon.exceptions for m in range(len(folded)) if folded.startswith(p, m)]
+        want = {}
+        for entry, weight in lexicon.weights.items():
+            for at in range(len(folded)):
+                if folded.startswith(entry, at) and not any(a <= at < b for a, b in spared):
+                    want[at] = max(want.get(at, 0), weight)
+        assert toxicity.matches(automaton, folded) == want
+    began = time.perf_counter()
+    assert toxicity.matches(automaton, " not bad" * 130_000 + " ") == {}
+    assert time.perf_counter() - began < 10
