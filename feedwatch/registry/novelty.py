@@ -11,6 +11,8 @@ from feedwatch.plans.journal import new_entries_digest, render_journal
 from feedwatch.registry import register
 from feedwatch.registry import views as v
 from feedwatch.registry.matching import DIGEST_SQL, digest_columns, parts_sql
+from feedwatch.session import fresh_path
+from feedwatch.streaming.snapshots import KEYS, start_new_keys_stream
 
 WITH = "WITH" + v.SNAPSHOT
 FRESH = WITH + ", fresh AS (SELECT * FROM snapshot WHERE link NOT IN (SELECT link FROM stored))"
@@ -61,6 +63,33 @@ def new_since_snapshot(spark, sf_dir):
     return state.join(old, "link", "left").select("link", F.col("known").isNull().alias("was_new"))
 
 
+@register(
+    "new_since_snapshots_stream",
+    """
+WITH held AS (SELECT source AS site, doc_id AS pos, 'd' || doc_id AS link, doc_id % 4 AS c, bool_or(doc_id % 4 = 2) OVER (PARTITION BY source) AS has2
+              FROM documents)
+SELECT site, 0::BIGINT AS snapshot, pos, link FROM held WHERE c IN (0, 1)
+UNION ALL SELECT site, 1, pos, link FROM held WHERE c = 2
+UNION ALL SELECT site, 2, pos, link FROM held WHERE c = 0 AND has2""",
+)
+def new_since_snapshots_stream(spark, sf_dir):
+    """Four snapshots of every feed in two runs of one stream: entries come, leave, return (and are new again) and stay."""
+    base = fresh_path(spark, "snapshots")
+    docs = v.table(spark, sf_dir, "documents")
+    entries = docs.select(
+        F.col("source").alias("site"), F.col("doc_id").alias("pos"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("link"),
+        (F.col("doc_id") % 4).alias("c"),
+    )
+    kinds = "site string, pos bigint, link string, snapshot bigint"
+    for first in (0, 2):
+        for number in (first, first + 1):
+            own = entries.where(F.col("c").isin(*((0, 1), (1, 2), (0, 2), (0, 2))[number])).drop("c")
+            own.withColumn("snapshot", F.lit(number).cast("bigint")).write.mode("append").parquet(f"{base}/landed")
+        landed = spark.readStream.schema(kinds).parquet(f"{base}/landed")
+        start_new_keys_stream(landed, f"{base}/new", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema(KEYS).parquet(f"{base}/new")
+
+
 @register(
     "entry_defaults",
     WITH + """

@@ -12,7 +12,7 @@ from feedwatch.plans import weekly as wk
 from feedwatch.plans.journal import run_journal
 from feedwatch.session import fresh_path
 from feedwatch.sources.state import MatchState, SeenLinks, read_digests
-from feedwatch.streaming import flows
+from feedwatch.streaming import flows, snapshots
 from tests.test_match import make_entries, make_watch
 
 MON, SUN, NEXT = dt.date(2026, 11, 30), dt.date(2026, 12, 6), dt.date(2026, 12, 13)
@@ -77,6 +77,36 @@ def test_snapshot_stream_and_retry(spark):
     assert run(f"{base}/checkpoint2") == expected
 
 
+def test_many_feeds_in_one_stream(spark):
+    """Each feed's steps as in the batch form, from a stream that is stopped and started again between them."""
+    base = fresh_path(spark, "feeds")
+    kinds = f"{schemas.ENTRY.simpleString()[7:-1].replace(':', ' ')}, snapshot bigint"
+    feeds = {"f": 0, "g": 2, "h": 3}  # the feeds begin with different steps
+    for number, batch in enumerate(((0, 1, 2), (3,), (4, 5))):
+        rows = [
+            (site, p, f"{n}.{p}", "t" * 9, None, None, link, None, n)
+            for n in batch for site, first in feeds.items() if n >= first for p, link in enumerate(STEPS[n][0])
+        ]
+        spark.createDataFrame(rows, kinds).repartition(3).write.mode("append").parquet(f"{base}/landed")
+        landed = spark.readStream.schema(kinds).parquet(f"{base}/landed")
+        snapshots.start_new_keys_stream(landed, f"{base}/new", f"{base}/checkpoint").awaitTermination()
+    keys = spark.read.schema(snapshots.KEYS).parquet(f"{base}/new")
+    found = {}
+    for r in snapshots.entries_of(keys, spark.read.schema(kinds).parquet(f"{base}/landed")).orderBy("snapshot", "pos").collect():
+        found.setdefault(r.site, []).append((r.snapshot, r.link))
+    for site, first in feeds.items():
+        state = SeenLinks(spark, fresh_path(spark, "one"))
+        want = []
+        for n, (links, _, _) in enumerate(STEPS[first:], first):
+            held = {r.link for r in state.read().collect()}
+            new = [x for x in links if x not in held]
+            want += [(n, x) for x in new]
+            if new:
+                state.write(spark.createDataFrame([(x,) for x in set(links)], schemas.SEEN_LINK), n + 1)
+        assert found[site] == want
+    assert found["f"] == [(n, x) for n, (_, new, _) in enumerate(STEPS) for x in new or []]
+
+
 @pytest.fixture
 def weekly(spark):
     base = fresh_path(spark, "weekly")
