@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from feedwatch import schemas
 from feedwatch.operators import joins
 from feedwatch.operators import many_terms as mt_many
 from feedwatch.operators import match as mt
+from feedwatch.session import durable
 
 
 def make_entries(spark, rows):
@@ -82,14 +84,38 @@ def test_against_brute_force(spark, seed):
             expected[rule, pos] = brute_label(author, title, summary, authors, words)
     found = {(r.rule_pos, r.pos): r.match for r in mt.classify_entries(entries, watch).collect()}
     assert found == expected
-    by_automata = mt_many.classify_many_terms(entries, watch).collect()
-    assert {(r.rule_pos, r.pos): r.match for r in by_automata} == expected
+    by_index = mt_many.classify_many_terms(entries, watch).collect()
+    assert {(r.rule_pos, r.pos): r.match for r in by_index} == expected
+    by_shuffle = mt_many.classify_many_terms(entries, watch, max_bytes=0).collect()
+    assert {(r.rule_pos, r.pos): r.match for r in by_shuffle} == expected
     matched = {k: v for k, v in expected.items() if v}
     assert {(r.rule_pos, r.pos): r.match for r in mt.matched_entries(entries, watch).collect()} == matched
     hits = mt.any_term(mt.term_hits(entries, watch), ["rule_pos", "pos"])
     assert {(r.rule_pos, r.pos): r.match for r in hits.collect()} == matched
 
 
+def test_fifty_thousand_terms(spark):
+    """Equal labels, with terms of all lengths and letters outside ASCII, and faster than a search for each term."""
+    rng = random.Random(8)
+    letters = "abcdeé日"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    rows = [("cs", word(9), f"{word(6)} {word(5)}", " ".join(word(rng.randint(3, 9)) for _ in range(30))) for _ in range(30)]
+    terms = [word(n) for n in (1, 2, 3, 8) for _ in range(2)] + [f"{word(3)}zq{n:05d}" for n in range(50_000)] + [rows[3][3][40:52].upper()]
+    entries, watch = make_entries(spark, rows), make_watch(spark, [("cs", ["eé", "", rows[5][2][1:]], terms), ("cs", None, ["日"])])
+    entries, watch = durable(entries, "entries"), durable(watch, "watch")
+    times, labels = [], []
+    for label in (mt.classify_entries, mt_many.classify_many_terms):
+        began = time.perf_counter()
+        labels.append({(r.rule_pos, r.pos): r.match for r in label(entries, watch).select("rule_pos", "pos", "match").collect()})
+        times.append(time.perf_counter() - began)
+    assert labels[0] == labels[1] and len(set(labels[0].values())) == 4
+    for zero in (True, False):
+        few = make_watch(spark, [("cs", ["a"], ["b", "日é"])])
+        want = {(r.rule_pos, r.pos): r.match for r in mt.classify_entries(entries, few, zero).collect()}
+        assert {(r.rule_pos, r.pos): r.match for r in mt_many.classify_many_terms(entries, few, zero).collect()} == want
+    assert mt_many.classify_many_terms(entries, make_watch(spark, [("cs", None, None)])).where("match = ''").count() == 30
+
+
 def test_large_watchlist_is_salted_with_equal_result(spark, monkeypatch):
     rows, rules = random_feed(7)
     entries, watch = make_entries(spark, rows), make_watch(spark, rules)
