@@ -175,8 +175,10 @@ def _temperature(logit: np.ndarray, y: np.ndarray) -> float:
 
 def fit(table: pa.Table, seed: int = 4) -> Model:
     """A model from rows (id, text, label) in the order of their ids; a fifth calibrates."""
-    table = table.sort_by("id").combine_chunks()
-    texts, y = table.column("text").chunk(0) if table.num_rows else pa.array([], pa.string()), table.column("label").to_numpy().astype(float)
+    table = table.sort_by("id")
+    # Long offsets: the texts of a sample are one array, whatever their size.
+    texts, y = table.column("text").cast(pa.large_string()).combine_chunks(), table.column("label").to_numpy().astype(float)
+    texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
     names, vectors = word_vectors(texts)
     keys = SortedKeys(names, np.arange(len(names)))
     if len(vectors) == 0:

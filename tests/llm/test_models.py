@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 
 from feedwatch.llm import ann, lattice_lm, pieces, quality, toxicity
+from feedwatch.llm.labels import labelled_sample
 from feedwatch.llm.queries import QUERIES, public_file
 from tests.llm import brute
 from tests.llm.data import documents, plain, rows
@@ -237,3 +238,17 @@ def test_phrases_in_a_long_text():
     began = time.perf_counter()
     assert toxicity.matches(automaton, " not bad" * 130_000 + " ") == {}
     assert time.perf_counter() - began < 10
+
+
+def test_sample_is_bounded_in_rows_and_bytes(spark):
+    """An id in very many rows is one row of the sample; texts past the bound on bytes are left out."""
+    docs = spark.createDataFrame([(i, "t" * 100 + str(i)) for i in range(300)] + [(7, f"x{n}") for n in range(5000)], "doc_id bigint, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(7, 0)], "doc_id bigint, quality int")
+    sample = labelled_sample(docs, marks, "quality", 3, 1)
+    found = {r.id: (r.text, r.label) for r in sample.collect()}
+    train = [i for i in range(300) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert sorted(found) == train and sample.count() == len(train)
+    assert 7 not in train or found[7] == ("t" * 100 + "7", 1)
+    few = labelled_sample(docs, marks, "quality", 3, 1, most_bytes=1000)
+    assert 9 <= few.count() <= 11 and {r.id for r in few.collect()} <= set(train)
+    assert labelled_sample(docs, marks, "quality", 3, 1, rows=20).count() == 20
