@@ -29,6 +29,21 @@ BOLD_TAGS = ("<b>", "</b>")
 MATCH_HEADER = "    <html>\n      <head></head>\n      <body>\n    "
 MATCH_FOOTER = "</body>\n    </html>"
 
+# --- fixed values: one entry of a match digest, around link, title, authors and abstract
+ENTRY_HTML = (
+    '<div><p style="color:blue;font-size:1.17em;"><b><a href="',
+    '">',
+    "</a></b></p><p><i>",
+    "<i></p><br><p>",
+    "</p><br><br></div>",
+)
+# --- fixed values: its plain form, after title, authors and abstract
+ENTRY_TEXT = ("\n \t", "\n \n", "\n \n")
+
+# --- fixed values: one item of the journal digest, around title, date, link, link and summary
+JOURNAL_ITEM = ("\n<li><strong>", "</strong><br>\n<em>", "</em><br>\n<a href='", "'>", "</a><br>\n", "</li><br>")
+JOURNAL_SUMMARY = ("<p>", "</p>\n")
+
 # --- fixed values: similarity digest frame (the doubled braces are literal)
 SIMILARITY_HEADER = (
     "        <html>\n"

@@ -195,28 +195,19 @@ def render_entry_html(
     forms: Column,
     authors: Column,
 ) -> Column:
-    return F.concat(
-        F.lit('<div><p style="color:blue;font-size:1.17em;"><b><a href="'),
-        as_col(link),
-        F.lit('">'),
-        wrap_words(title, forms, fmt.TITLE_TAGS),
-        F.lit("</a></b></p><p><i>"),
-        bold_authors(author, match, authors),
-        F.lit("<i></p><br><p>"),
-        bold_words(abstract_body(summary), forms),
-        F.lit("</p><br><br></div>"),
-    )
+    parts = (as_col(link), wrap_words(title, forms, fmt.TITLE_TAGS), bold_authors(author, match, authors), bold_words(abstract_body(summary), forms))
+    return _between(fmt.ENTRY_HTML, parts)
+
+
+def _between(frame: tuple[str, ...], parts: tuple[Column, ...]) -> Column:
+    """The parts with the frame's texts before, between and after them."""
+    pieces = [x for text, part in zip(frame, parts, strict=False) for x in (F.lit(text), part)]
+    return F.concat(*pieces, F.lit(frame[-1]))
 
 
 def render_entry_text(title: StrCol, author: StrCol, summary: StrCol) -> Column:
-    return F.concat(
-        as_col(title),
-        F.lit("\n \t"),
-        join_authors(split_authors(author)),
-        F.lit("\n \n"),
-        abstract_body(summary),
-        F.lit("\n \n"),
-    )
+    parts = (as_col(title), join_authors(split_authors(author)), abstract_body(summary))
+    return F.concat(*(x for part, text in zip(parts, fmt.ENTRY_TEXT, strict=True) for x in (part, F.lit(text))))
 
 
 def render_pair_html(
@@ -243,19 +234,9 @@ def render_pair_text(
 def render_journal_html(title: StrCol, published: StrCol, link: StrCol, summary: StrCol) -> Column:
     """One list item, with the line break that separates it from what comes before."""
     link, summary = as_col(link), as_col(summary)
-    return F.concat(
-        F.lit("\n<li><strong>"),
-        html_escape(title),
-        F.lit("</strong><br>\n<em>"),
-        html_escape(published),
-        F.lit("</em><br>\n<a href='"),
-        link,
-        F.lit("'>"),
-        link,
-        F.lit("</a><br>\n"),
-        F.when(summary != "", F.concat(F.lit("<p>"), summary, F.lit("</p>\n"))).otherwise(""),
-        F.lit("</li><br>"),
-    )
+    before, after = fmt.JOURNAL_SUMMARY
+    body = F.when(summary != "", F.concat(F.lit(before), summary, F.lit(after))).otherwise("")
+    return _between(fmt.JOURNAL_ITEM, (html_escape(title), html_escape(published), link, link, body))
 
 
 def render_journal_text(title: StrCol, published: StrCol, link: StrCol, summary: StrCol) -> Column:
