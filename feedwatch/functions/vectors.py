@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -130,10 +131,14 @@ def run_once(udf):
     return udf.asNondeterministic()
 
 
+def nested_sizes(array: pa.Array) -> np.ndarray:
+    """Elements of each row of a list column; null rows are empty."""
+    return pc.fill_null(pc.list_value_length(array), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def nested_offsets(array: pa.Array) -> np.ndarray:
     """Row boundaries of a list column, starting at 0 even for a sliced batch; null rows are empty."""
-    sizes = np.array([0 if n is None else n for n in array.value_lengths().to_pylist()], dtype=np.int64)
-    return np.concatenate([[0], np.cumsum(sizes)])
+    return np.concatenate([[0], np.cumsum(nested_sizes(array))])
 
 
 def encode_in_batches(encode: Encoder, sentences: pa.Array, batch_size: int) -> np.ndarray:

@@ -5,6 +5,7 @@ ever becomes a row: each Arrow batch of entries is scored as matrix products aga
 its site, and only pairs that qualify are exploded.  Up to ``MAX_TARGET_BYTES`` of target vectors
 (measured first) the targets are broadcast and entries are not shuffled at all; beyond that, blocks
 of entries meet blocks of targets in a co-grouped shuffle with bounded groups and the same scores.
+The kernels take a batch in parts of at most ``PAIRS_HELD`` pairs, so memory does not grow with the targets.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from feedwatch.functions.vectors import (
     EncoderFactory,
     encode_in_batches,
     nested_offsets,
+    nested_sizes,
     run_once,
 )
 from feedwatch.session import durable, fresh_path
@@ -32,6 +34,8 @@ ENCODER_BATCH = 256
 LEADING = 4  # titles are bounded by a fourth of their dimensions
 BOUND_SLACK = 1e-9  # far above rounding, far below any threshold's digits
 PAIRS_AT_ONCE = 1 << 14
+PAIRS_HELD = 1 << 17  # pairs (with ``best_sentences``: their target sentences) that a kernel holds at once
+CELLS_HELD = 1 << 18  # sentence cosines of one target
 HIT = "array<struct<target_pos:int,title_similarity:double>>"
 SCORED = "array<struct<target_pos:int,title_similarity:double,top_k_score:double>>"
 BEST = "array<struct<target_pos:int,i:int,j:int,similarity:double>>"
@@ -189,6 +193,34 @@ def _site_rows(sites: pa.Array) -> Iterator[tuple[str, np.ndarray]]:
         yield site, np.flatnonzero(codes == code)
 
 
+def _parts(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Neighbouring rows whose sizes add up to ``most`` at most (a larger row stands alone); one empty part for no rows."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes) or not at:
+        before = ends[at - 1] if at else 0
+        end = min(len(sizes), max(at + 1, int(np.searchsorted(ends, before + most, side="right"))))
+        yield slice(at, end)
+        at = max(end, 1)
+
+
+def _in_part(array: pa.Array, part: slice) -> pa.Array:
+    return array.slice(part.start, part.stop - part.start)
+
+
+def _sentences_in_part(offsets: np.ndarray, vectors: np.ndarray, part: slice) -> tuple[np.ndarray, np.ndarray]:
+    own = offsets[part.start : part.stop + 1]
+    return own - own[0], vectors[own[0] : own[-1]]
+
+
+def _targets_of(book, sites: pa.Array, size: Callable[[SiteTargets], int]) -> np.ndarray:
+    """A number of the targets of each row's site."""
+    sizes = np.zeros(len(sites), np.int64)
+    for site, rows in _site_rows(sites):
+        if site in book:
+            sizes[rows] = size(book[site])
+    return sizes
+
+
 def _list_array(rows: list[np.ndarray], n: int, fields: dict[str, tuple[np.ndarray, pa.DataType]]) -> pa.Array:
     """List-of-struct column; ``rows`` holds the owning row of every element, in row order."""
     counts = np.bincount(rows, minlength=n) if len(rows) else np.zeros(n, dtype=np.int64)
@@ -224,9 +256,24 @@ def _title_hits(book, sites: pa.Array, titles: np.ndarray, least: float | None)
     )
 
 
+def _title_hits_in_parts(book, sites: pa.Array, titles: np.ndarray, least: float | None) -> Iterator[pa.Array]:
+    """``_title_hits`` of neighbouring rows, which share out the pairs that are held at once."""
+    for part in _parts(_targets_of(book, sites, lambda known: len(known.positions)), PAIRS_HELD):
+        yield _title_hits(book, _in_part(sites, part), titles[part], least)
+
+
+def _qualified_in_parts(book, sites, titles, offsets, vectors, settings: Settings, least: float | None) -> Iterator[pa.Array]:
+    """Lists of the scored targets that qualify, for neighbouring rows at a time."""
+    for part in _parts(_targets_of(book, sites, lambda known: len(known.positions)), PAIRS_HELD):
+        own = _in_part(sites, part)
+        hits = _title_hits(book, own, titles[part], least)
+        scored = _sentence_scores(book, own, hits, *_sentences_in_part(offsets, vectors, part), settings.num_similar_sentences)
+        yield _only_similar(scored, settings)
+
+
 def _candidates(book, sites: pa.Array, hits: pa.Array):
     """Yields (target matrix, norms, target position, rows, title cosines), one target at a time."""
-    owner = np.repeat(np.arange(len(hits)), np.diff(nested_offsets(hits)))
+    owner = np.repeat(np.arange(len(hits)), nested_sizes(hits))
     flat = hits.flatten()
     position = flat.field("target_pos").to_numpy(zero_copy_only=False)
     title = flat.field("title_similarity").to_numpy(zero_copy_only=False)
@@ -249,20 +296,28 @@ def _gather(offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.repeat(offsets[rows] - starts, sizes) + np.arange(sizes.sum()), starts
 
 
+def _blocks_of_sentences(matrix, target_norms, rows, offsets, vectors, norms):
+    """Yields (which of ``rows``, cosines with their sentences, start of each row): rows with sentences, bounded cells at once."""
+    filled = np.flatnonzero(offsets[rows + 1] > offsets[rows])
+    if not len(matrix) or not len(filled):
+        return
+    sizes = offsets[rows[filled] + 1] - offsets[rows[filled]]
+    for part in _parts(sizes * len(matrix), CELLS_HELD):
+        index, starts = _gather(offsets, rows[filled[part]])
+        yield filled[part], _cosines(matrix, target_norms, vectors[index], norms[index]), starts
+
+
 def _sentence_scores(book, sites, hits, offsets, vectors, num_similar: int) -> pa.Array:
     norms = _norms(vectors)
     parts = []
     for matrix, target_norms, p, rows, title in _candidates(book, sites, hits):
         scores = np.full(len(rows), np.nan)
-        filled = np.flatnonzero(offsets[rows + 1] > offsets[rows])
-        if len(matrix) and len(filled):
-            index, starts = _gather(offsets, rows[filled])
-            sims = _cosines(matrix, target_norms, vectors[index], norms[index])
+        for which, sims, starts in _blocks_of_sentences(matrix, target_norms, rows, offsets, vectors, norms):
             best = np.maximum.reduceat(sims, starts, axis=1)
             totals = np.cumsum(-np.sort(-best, axis=0), axis=0)
-            sizes = offsets[rows[filled] + 1] - offsets[rows[filled]]
+            sizes = offsets[rows[which] + 1] - offsets[rows[which]]
             k = np.minimum(num_similar, np.minimum(sizes, len(matrix)))
-            scores[filled] = totals[k - 1, np.arange(len(filled))] / k
+            scores[which] = totals[k - 1, np.arange(len(which))] / k
         parts.append((rows, np.full(len(rows), p), title, scores))
     rows, targets, title, scores = _by_row(parts, 4)
     return _list_array(
@@ -281,16 +336,20 @@ def _best_sentences(book, sites, hits, offsets, vectors, most: int | None = None
     norms = _norms(vectors)
     parts = []
     for matrix, target_norms, p, rows, _ in _candidates(book, sites, hits):
-        for row in rows[offsets[rows + 1] > offsets[rows]]:
-            if not len(matrix):
-                continue
-            span = slice(offsets[row], offsets[row + 1])
-            sims = _cosines(matrix, target_norms, vectors[span], norms[span])
-            best = sims.argmax(axis=1)
-            top = sims[np.arange(len(sims)), best]
-            i = np.arange(len(sims)) if most is None else np.argsort(-top, kind="stable")[:most]
+        for which, sims, starts in _blocks_of_sentences(matrix, target_norms, rows, offsets, vectors, norms):
+            sizes = np.diff(np.append(starts, sims.shape[1]))
+            top = np.maximum.reduceat(sims, starts, axis=1)
+            place = np.arange(sims.shape[1]) - np.repeat(starts, sizes)
+            # the first of a row's sentences that has the highest cosine (or none that is a number)
+            first = (sims == np.repeat(top, sizes, axis=1)) | np.isnan(sims)
+            best = np.minimum.reduceat(np.where(first, place, sims.shape[1]), starts, axis=1)
+            i = np.tile(np.arange(len(matrix))[:, None], len(which))
+            if most is not None:
+                i = np.argsort(-top, axis=0, kind="stable")[:most]
+                top, best = np.take_along_axis(top, i, axis=0), np.take_along_axis(best, i, axis=0)
             n = len(i)
-            parts.append((np.full(n, row), np.full(n, p), i, best[i], top[i], np.arange(1, n + 1)))
+            owner = np.repeat(rows[which], n)
+            parts.append((owner, np.full(len(owner), p), i.T.ravel(), best.T.ravel(), top.T.ravel(), np.tile(np.arange(1, n + 1), len(which))))
     rows, targets, i, j, sims, rank = _by_row(parts, 6)
     fields = {
         "target_pos": (targets, pa.int32()),
@@ -303,6 +362,20 @@ def _best_sentences(book, sites, hits, offsets, vectors, most: int | None = None
     return _list_array(rows, len(sites), fields)
 
 
+def _sentences_of_hits(book, sites: pa.Array, hits: pa.Array, most: int | None) -> np.ndarray:
+    """For each row, how many sentences the targets of its hits have (of each at most ``most``), but one a hit at least."""
+    owner, flat = np.repeat(np.arange(len(hits)), nested_sizes(hits)), hits.flatten()
+    position, counts = flat.field("target_pos").to_numpy(zero_copy_only=False), np.ones(len(flat), np.int64)
+    for site, rows in _site_rows(sites):
+        own = np.isin(owner, rows)
+        if own.any():
+            known = book[site]
+            lengths = np.array([len(known.sentences[int(p)][0]) for p in known.positions])
+            counts[own] = lengths[np.searchsorted(known.positions, position[own])]
+    counts = np.maximum(counts if most is None else np.minimum(counts, most), 1)
+    return np.bincount(owner, counts, minlength=len(hits)).astype(np.int64)
+
+
 # ---------------------------------------------------------------- predicates
 
 
@@ -375,7 +448,7 @@ def title_hits_or_none(
     def hits(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         read = read_vectors if encoder is None else text_reader(encoder)
         for sites, titles in batches:
-            yield _title_hits(book.value, sites, read(titles)[1], least)
+            yield from _title_hits_in_parts(book.value, sites, read(titles)[1], least)
 
     return entries.withColumn("hits", run_once(hits)("site", title))
 
@@ -412,7 +485,9 @@ def sentence_scores(
         read = read_vector_lists if encoder is None else text_list_reader(encoder)
         for sites, hits, column in batches:
             offsets, vectors = read(column)
-            yield _sentence_scores(book.value, sites, hits, offsets, vectors, num_similar)
+            for part in _parts(nested_sizes(hits), PAIRS_HELD):
+                own = _sentences_in_part(offsets, vectors, part)
+                yield _sentence_scores(book.value, _in_part(sites, part), _in_part(hits, part), *own, num_similar)
 
     return candidates.withColumn("scored", run_once(scored)("site", "hits", sentences))
 
@@ -434,7 +509,9 @@ def best_sentences(
         read = read_vector_lists if encoder is None else text_list_reader(encoder)
         for sites, hits, column in batches:
             offsets, vectors = read(column)
-            yield _best_sentences(book.value, sites, hits, offsets, vectors, most)
+            for part in _parts(_sentences_of_hits(book.value, sites, hits, most), PAIRS_HELD):
+                own = _sentences_in_part(offsets, vectors, part)
+                yield _best_sentences(book.value, _in_part(sites, part), _in_part(hits, part), *own, most)
 
     rows = candidates.withColumn("best", F.explode(run_once(best)("site", "hits", sentences)))
     return rows.select(*candidates.columns, "best.*")
@@ -497,11 +574,7 @@ def qualified(
         read_title = read_vectors if encoder is None else text_reader(encoder)
         read_sents = read_vector_lists if encoder is None else text_list_reader(encoder)
         for sites, titles, column in batches:
-            hits = _title_hits(book.value, sites, read_title(titles)[1], None)
-            offsets, vectors = read_sents(column)
-            yield _only_similar(
-                _sentence_scores(book.value, sites, hits, offsets, vectors, settings.num_similar_sentences), settings
-            )
+            yield from _qualified_in_parts(book.value, sites, read_title(titles)[1], *read_sents(column), settings, None)
 
     return entries.withColumn("scored", run_once(scored)("site", title, sentences))
 

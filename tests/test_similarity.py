@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,6 +112,40 @@ def test_books_screen_titles_and_encode_once(spark, monkeypatch):
     assert prepared[0] >= len({pos for _, pos in expected})
 
 
+def test_kernels_hold_bounded_pairs(monkeypatch):
+    """However many targets a site has, a batch is scored in parts, and the parts give what the whole batch gives."""
+    rng = np.random.default_rng(2)
+    lengths = rng.integers(0, 5, 60)
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    vectors = rng.integers(-1, 2, (offsets[-1], 3)).astype(float)  # many ties
+    titles, targets = rng.normal(size=(60, 3)), rng.normal(size=(40, 3))
+    sentences = [rng.integers(-1, 2, (n, 3)).astype(float) for n in rng.integers(0, 6, 40)]
+    book = {"s": sim.SiteTargets(np.arange(40), targets, sentences)}
+    sites = pa.array(["s" if n % 4 else "none" for n in range(60)])
+    hits = sim._title_hits(book, sites, titles, 0.0)
+    monkeypatch.setattr(sim, "PAIRS_HELD", 100)
+    parts = list(sim._title_hits_in_parts(book, sites, titles, 0.0))
+    assert len(parts) > 10 and pa.concat_arrays(parts).equals(hits)
+    whole = {m: sim._best_sentences(book, sites, hits, offsets, vectors, m) for m in (None, 2)}
+    for most, found in whole.items():
+        sizes = sim._sentences_of_hits(book, sites, hits, most)
+        cut = list(sim._parts(sizes, sim.PAIRS_HELD))
+        assert [n for part in cut for n in range(part.start, part.stop)] == list(range(60))
+        assert all(sizes[part].sum() <= 100 or part.stop == part.start + 1 for part in cut)
+        monkeypatch.setattr(sim, "CELLS_HELD", 7)
+        own = [
+            sim._best_sentences(book, sim._in_part(sites, c), sim._in_part(hits, c), *sim._sentences_in_part(offsets, vectors, c), most)
+            for c in cut
+        ]
+        assert pa.concat_arrays(own).equals(found)
+    for row, scored in enumerate(whole[None].to_pylist()):
+        expected = []
+        for hit in hits[row].as_py():
+            sims = [[cos(t, e) for e in vectors[offsets[row] : offsets[row + 1]]] for t in sentences[hit["target_pos"]]]
+            expected += [(hit["target_pos"], i, int(np.argmax(np.round(x, 12)))) for i, x in enumerate(sims) if x]
+        assert [(x["target_pos"], x["i"], x["j"]) for x in scored] == expected
+
+
 def as_vectors(cosines):
     """Two-dimensional unit vectors whose cosine with (1, 0) is the given value."""
     return [[c, float(np.sqrt(1 - c * c))] for c in cosines]
