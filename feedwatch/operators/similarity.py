@@ -27,6 +27,7 @@ from feedwatch.functions.vectors import (
     nested_sizes,
     run_once,
 )
+from feedwatch.operators.joins import join_small
 from feedwatch.session import durable, fresh_path
 
 MAX_TARGET_BYTES = 64 << 20
@@ -36,6 +37,7 @@ BOUND_SLACK = 1e-9  # far above rounding, far below any threshold's digits
 PAIRS_AT_ONCE = 1 << 14
 PAIRS_HELD = 1 << 17  # pairs (with ``best_sentences``: their target sentences) that a kernel holds at once
 CELLS_HELD = 1 << 18  # sentence cosines of one target
+BLOCK_ENTRIES = BLOCK_TARGETS = 1024  # rows of a block, on average
 HIT = "array<struct<target_pos:int,title_similarity:double>>"
 SCORED = "array<struct<target_pos:int,title_similarity:double,top_k_score:double>>"
 BEST = "array<struct<target_pos:int,i:int,j:int,similarity:double>>"
@@ -541,7 +543,7 @@ def similar_pairs(
     book = broadcast_targets(targets, max_bytes)
     if book is None:
         least = settings.title_threshold if settings.use_and and prune else None
-        return _pairs_by_books(entries, targets, settings, encoder, title, sentences, max_bytes, ready, least)
+        return _pairs_by_blocks(entries, targets, settings, encoder, title, sentences, ready, least)
     if not (settings.use_and and prune):
         scored = qualified(ready(entries), book, settings, encoder, title, sentences)
         return scored.withColumn("pair", F.explode("scored")).select(*entries.columns, "pair.*")
@@ -589,74 +591,83 @@ def _only_similar(scored: pa.Array, settings: Settings) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.filter(pa.array(kept)))
 
 
-def _pairs_by_books(
+def _pairs_by_blocks(
     entries: DataFrame,
     targets: DataFrame,
     settings: Settings,
     encoder: EncoderFactory | None,
     title: str,
     sentences: str,
-    max_bytes: int,
     ready: Callable[[DataFrame], DataFrame],
     least: float | None,
 ) -> DataFrame:
-    """The way for more targets than can be broadcast: books of targets, one after the other.
+    """The way for more targets than can be broadcast: blocks of entries meet blocks of their site's targets.
 
-    Titles are encoded once, into a stored table.  With ``least`` the books first pass over these titles alone, and only entries
-    with a hit in some book go on: their summaries are made ready and encoded once, and the books pass over them a second
-    time with the hits they had.  Each book is broadcast, maps a stored table, and is freed; texts of entries are never copied.
+    Titles are encoded once, into a stored table.  With ``least`` titles meet alone first, and only entries with a hit go
+    on: their summaries are made ready and encoded once, and meet the targets' sentences.  Texts of entries are never copied.
     """
-    spark = entries.sparkSession
     known = durable(targets.select("site", "target_pos", "title_vec", "sent_vecs"), "targets")
-    # Twice as many books as would do, since a hash deals targets out unevenly.
-    books = max(1, min(known.count(), -(-2 * target_bytes(known) // max(max_bytes, 1))))
-    book_no = F.pmod(F.xxhash64("site", "target_pos"), F.lit(books))
-
-    def each_book(rows: DataFrame, label: str, run: Callable[[DataFrame, object, int], DataFrame]) -> DataFrame:
-        path = fresh_path(spark, label)
-        for number in range(books):
-            book = spark.sparkContext.broadcast(_book(known.where(book_no == number).toArrow()))
-            found = run(rows, book, number)
-            found.write.mode("append").parquet(path)
-            book.destroy()
-        return spark.read.schema(found.schema).parquet(path)
-
     keyed = entries.withColumn("_entry", F.monotonically_increasing_id())
     if encoder is not None:
         keyed = keyed.withColumn("_title_vec", F.get(encode_sentences(F.array(title), encoder), 0))
         title = "_title_vec"
     keyed = durable(keyed, "titles")
+    blocks = durable(_blocks(keyed, known), "blocks")
     if least is not None:
-        hits = each_book(
-            keyed.select("_entry", "site", title),
-            "hits",
-            lambda rows, book, number: title_hits(rows, book, least, title).select("_entry", "hits", F.lit(number).alias("_book")),
-        )
-        keyed = keyed.join(hits.select("_entry").distinct(), "_entry", "left_semi")
+
+        def near(rows: pa.Table, book) -> pa.Table:
+            hits = _title_hits_in_parts(book, _one_chunk(rows, "site"), _matrix(_one_chunk(rows, title)), least)
+            found = np.concatenate([nested_sizes(part) > 0 for part in hits])
+            return pa.table({"_entry": rows.column("_entry").filter(pa.array(found))})
+
+        none = F.array().cast("array<array<double>>")
+        hits = _meet(keyed.select("_entry", "site", title), known.withColumn("sent_vecs", none), blocks, near, "_entry bigint")
+        keyed = keyed.join(hits, "_entry", "left_semi")
     held = ready(keyed)
     if encoder is not None:
         held = held.withColumn("_sent_vecs", encode_sentences(F.col(sentences), encoder))
         sentences = "_sent_vecs"
     names = [c for c in held.columns if c not in ("_entry", "_title_vec", "_sent_vecs")]
     held = durable(held, "sentences")
-    if least is None:
-        return each_book(
-            held,
-            "pairs",
-            lambda rows, book, _: qualified(rows, book, settings, None, title, sentences)
-            .withColumn("pair", F.explode("scored")).select(*names, "pair.*"),
-        )
-    vectors = held.select("_entry", "site", sentences)
-
-    def score(rows: DataFrame, book, number: int) -> DataFrame:
-        own = rows.join(hits.where(F.col("_book") == number).drop("_book"), "_entry")
-        scored = sentence_scores(own, book, settings.num_similar_sentences, sentences)
-        return explode_pairs(scored, ["_entry"], settings)
-
-    pairs = each_book(vectors, "pairs", score)
+
+    def score(rows: pa.Table, book) -> pa.Table:
+        sites, titles = _one_chunk(rows, "site"), _matrix(_one_chunk(rows, title))
+        offsets, vectors = read_vector_lists(_one_chunk(rows, sentences))
+        parts = list(_qualified_in_parts(book, sites, titles, offsets, vectors, settings, least))
+        owner = np.repeat(np.arange(len(sites)), np.concatenate([nested_sizes(part) for part in parts]))
+        flat = pa.concat_arrays([part.flatten() for part in parts])
+        return pa.table({"_entry": rows.column("_entry").take(pa.array(owner)), **{f.name: flat.field(f.name) for f in flat.type}})
+
+    kinds = "_entry bigint, target_pos int, title_similarity double, top_k_score double"
+    pairs = _meet(held.select("_entry", "site", title, sentences), known, blocks, score, kinds)
     return held.join(pairs, "_entry").select(*names, *(c for c in pairs.columns if c != "_entry"))
 
 
+def _blocks(keyed: DataFrame, known: DataFrame) -> DataFrame:
+    """For each site of both sides, into how many blocks its entries and its targets are dealt."""
+    number = lambda most, name: F.ceil(F.count("*") / F.lit(most)).cast("int").alias(name)
+    rows = keyed.groupBy("site").agg(number(BLOCK_ENTRIES, "_rows"))
+    return rows.join(known.groupBy("site").agg(number(BLOCK_TARGETS, "_targets")), "site")
+
+
+def _meet(
+    rows: DataFrame, known: DataFrame, blocks: DataFrame, run: Callable[[pa.Table, object], pa.Table], kinds: str
+) -> DataFrame:
+    """``run`` on each block of entries with each block of their site's targets: one shuffle, and groups of bounded rows."""
+    place = lambda number, *of: F.pmod(F.xxhash64(*of), F.col(number)).cast("int")
+    every = lambda number: F.explode(F.sequence(F.lit(0), F.col(number) - 1))
+    dealt = ["_rows", "_targets"]
+    left = join_small(rows, blocks, "site", "_entry").withColumns({"_b": place("_rows", "_entry"), "_t": every("_targets")}).drop(*dealt)
+    right = join_small(known, blocks, "site", "target_pos")
+    right = right.withColumns({"_t": place("_targets", "site", "target_pos"), "_b": every("_rows")}).drop(*dealt)
+
+    def met(own: pa.Table, other: pa.Table) -> pa.Table:
+        return run(own, _book(other if own.num_rows else other.slice(0, 0)))
+
+    keys = ["site", "_b", "_t"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(met, kinds)
+
+
 def _one_chunk(table: pa.Table, name: str) -> pa.Array:
     column = table.column(name)
     if column.num_chunks == 1:

@@ -146,6 +146,18 @@ def test_kernels_hold_bounded_pairs(monkeypatch):
         assert [(x["target_pos"], x["i"], x["j"]) for x in scored] == expected
 
 
+@pytest.mark.parametrize("use_and", [True, False])
+def test_targets_over_the_bound_meet_in_blocks(spark, monkeypatch, use_and):
+    """However small the bound is, nothing is broadcast book by book; blocks of a few rows find every pair."""
+    entries, targets = random_papers(9, m=30)
+    e, t = spark.createDataFrame(entries, ENTRY), spark.createDataFrame(targets, TARGET)
+    settings = sim.Settings(3, 0.1, 0.4, use_and)
+    monkeypatch.setattr(sim, "BLOCK_ENTRIES", 16)
+    monkeypatch.setattr(sim, "BLOCK_TARGETS", 4)
+    monkeypatch.setattr(spark.sparkContext, "broadcast", None)
+    assert rows(sim.similar_pairs(e, t, settings, max_bytes=1)) == brute(entries, targets, settings)
+
+
 def as_vectors(cosines):
     """Two-dimensional unit vectors whose cosine with (1, 0) is the given value."""
     return [[c, float(np.sqrt(1 - c * c))] for c in cosines]
