@@ -1,7 +1,8 @@
 """Landed feed files: RSS and Atom as delivered.  Batch and streaming.
 
 Spark lists the files (its file source, or its file stream, which reads each newly landed file once) and each file is
-parsed once, by one pass that emits RSS items and Atom entries together with their places.  A position is made of the
+parsed once, by one pass that emits RSS items and Atom entries together with their places.  The pass gets a file in pieces
+that follow one another, so a Python worker never holds a whole file.  A position is made of the
 file and the place in it, so it is the same in batch and stream and however files are packed into tasks.
 
 A feed may come in any number of files, so that no file has to hold a whole hot site.  Files in ``page=<number>``
@@ -26,6 +27,8 @@ from feedwatch import schemas
 
 ITEM_BITS = 21  # of a position number the items of a file
 BATCH_ITEMS = 512
+PIECE_BYTES = 1 << 16  # an Arrow batch holds up to 512 pieces
+BATCH_BYTES = 1 << 20  # of a file, whose items are sent on together
 _FILES = schemas.struct(path=schemas.TEXT, modificationTime=schemas.TIME, length=schemas.LONG, content=schemas.BYTES)
 _ROWS = [*schemas.ENTRY.fieldNames(), "error"]
 _KINDS = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in schemas.ENTRY.fields), "error string"])
@@ -126,38 +129,53 @@ def first_position(path: str) -> int:
 
 
 def _parse(batches: Iterator[pa.RecordBatch], number: bool = True) -> Iterator[pa.RecordBatch]:
-    """Files (path, content) to entries; a file that breaks off gives what came before and a row with the error."""
+    """Pieces of files (path, piece, data, last) to entries; a file that breaks off gives what came before and a row with the error."""
+    parser, rows, size = None, [], 0
     for batch in batches:
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            parser, site, begin, place = FeedParser(), site_of(path), first_position(path), 0
-            data, rows = content.as_buffer(), []
-            for at in range(0, max(1, len(data)), 1 << 20):
-                piece = data.slice(at, min(1 << 20, len(data) - at)).to_pybytes()
-                error = None
-                try:
-                    found = parser.feed(piece, at + len(piece) >= len(data))
-                except (expat.ExpatError, ValueError) as broken:
-                    found, error = parser.items, f"{path}: {broken}"
-                for own in found:
-                    if place >> ITEM_BITS:
-                        raise ValueError(f"{path} holds too many items for one file: land it as several")
-                    own["site"] = own["site"] or site
-                    own["pos"] = begin + place if own["pos"] is None and number else own["pos"]
-                    rows.append({**own, "error": None})
-                    place += 1
-                if error is not None:
-                    rows.append({**dict.fromkeys(_ROWS), "error": error})
-                while len(rows) >= BATCH_ITEMS:
-                    yield pa.RecordBatch.from_pylist(rows[:BATCH_ITEMS], _ARROW)
-                    del rows[:BATCH_ITEMS]
-                if error is not None:
-                    break
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, _ARROW)
+        columns = [batch.column(n).to_pylist() for n in (0, 1, 3)]
+        for (path, piece, last), data in zip(zip(*columns, strict=True), batch.column(2), strict=True):
+            if piece == 0:
+                parser, site, begin, place = FeedParser(), site_of(path), first_position(path), 0
+            if parser is None:  # the file broke off before
+                continue
+            error, data = None, data.as_py()
+            try:
+                found = parser.feed(data, last)
+            except (expat.ExpatError, ValueError) as broken:
+                found, error = parser.items, f"{path}: {broken}"
+            for own in found:
+                if place >> ITEM_BITS:
+                    raise ValueError(f"{path} holds too many items for one file: land it as several")
+                own["site"] = own["site"] or site
+                own["pos"] = begin + place if own["pos"] is None and number else own["pos"]
+                rows.append({**own, "error": None})
+                place += 1
+            if error is not None:
+                rows.append({**dict.fromkeys(_ROWS), "error": error})
+                parser = None
+            size += len(data)
+            while len(rows) >= BATCH_ITEMS or rows and size >= BATCH_BYTES:
+                yield pa.RecordBatch.from_pylist(rows[:BATCH_ITEMS], _ARROW)
+                del rows[:BATCH_ITEMS]
+                size = 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, _ARROW)
+
+
+def _pieces(files: DataFrame) -> DataFrame:
+    """(path, piece, data, last) of every file; the pieces of a file follow one another within a task."""
+    pieces = F.greatest(F.ceil(F.length("content") / PIECE_BYTES), F.lit(1)).cast("int")
+    cut = files.select("path", "content", pieces.alias("pieces")).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    data = F.substring("content", F.col("piece") * PIECE_BYTES + 1, F.lit(PIECE_BYTES))
+    return cut.select("path", "piece", data.alias("data"), (F.col("piece") == F.col("pieces") - 1).alias("last"))
+
+
+def _parsed(files: DataFrame, number: bool = True) -> DataFrame:
+    return _pieces(files).mapInArrow(partial(_parse, number=number), _KINDS)
 
 
 def _entries(files: DataFrame, site: Column | None, strict: bool, landed_pos: bool = False) -> DataFrame:
-    parsed = files.select("path", "content").mapInArrow(partial(_parse, number=not landed_pos), _KINDS)
+    parsed = _parsed(files, number=not landed_pos)
     broken = F.raise_error(F.col("error")).cast("boolean") if strict else F.lit(False)
     own = parsed.where(F.when(F.col("error").isNotNull(), broken).otherwise(F.lit(True)))
     return (own if site is None else own.withColumn("site", site)).select(*schemas.ENTRY.fieldNames())
@@ -181,8 +199,7 @@ def read_feed(
 
 def feed_rejects(spark: SparkSession, path: str) -> DataFrame:
     """(error) of every landed file that is not well-formed; the error begins with the file's path."""
-    files = _reader(spark.read).load(path).select("path", "content")
-    return files.mapInArrow(_parse, _KINDS).where("error is not null").select("error")
+    return _parsed(_reader(spark.read).load(path)).where("error is not null").select("error")
 
 
 def read_site_feed(spark: SparkSession, root: str, **kw) -> DataFrame:

@@ -154,6 +154,23 @@ def test_pages_of_a_hot_site(spark, tmp_path):
     assert sorted(map(str, streamed)) == sorted(map(str, batch.collect()))
 
 
+def test_files_come_in_pieces(spark, tmp_path):
+    """Python gets bounded pieces of a file, cut anywhere, and not the file; what follows a broken file is read."""
+    texts = [f"{n} " + "äé€😀" * (n * 37 % 5000) for n in range(90)]
+    items = "".join(ITEM.format(n=n).replace("</title>", f" {t}</title>") for n, t in enumerate(texts))
+    (tmp_path / "a.xml").write_text(FEED.format(items=items))
+    (tmp_path / "b.xml").write_text(FEED.format(items=items).replace("</title>", "</titel>", 1))
+    (tmp_path / "c.xml").write_text(RSS)
+    cut = fd._pieces(fd._reader(spark.read).load(str(tmp_path)))
+    most = cut.groupBy("path").agg(F.max(F.length("data")).alias("most"), F.sum(F.length("data")).alias("all"), F.count_if("last").alias("n"))
+    found = {r.path.rpartition("/")[2]: (r.most, r["all"], r.n) for r in most.collect()}
+    assert found["a.xml"] == (fd.PIECE_BYTES, (tmp_path / "a.xml").stat().st_size, 1) and found["a.xml"][1] > 10 * fd.PIECE_BYTES
+    own = fd.read_feed(spark, str(tmp_path / "a.xml")).orderBy("pos").collect()
+    assert [r.title for r in own] == [f" T & {n}  {t}" for n, t in enumerate(texts)]
+    rest = fd.read_feed(spark, str(tmp_path), strict=False).groupBy("site").count().collect()
+    assert {r["site"]: r["count"] for r in rest} == {"a": 90, "c": 2}
+
+
 def test_spellings_of_feeds(spark, tmp_path):
     (tmp_path / "odd.xml").write_text(
         """<?xml version="1.0" encoding="iso-8859-1"?><a:feed xmlns:a="http://www.w3.org/2005/Atom"><a:entry>
