@@ -63,12 +63,20 @@ def feed_scan_journal(spark, sf_dir):
 
 
 PAGE_POSITIONS = 400
+PAGE_SITES = 64  # at most so many times as many positions, so a page of a site that has them all stays small
+
+
+def _page(rows):
+    """Number of the page of an item among ``rows``."""
+    sites = rows.agg(F.count_distinct("site")).first()[0]
+    return F.expr(f"pos div {PAGE_POSITIONS * min(max(sites, 1), PAGE_SITES)}")
 
 
 def _delivered(spark, sf_dir, root):
     """Feeds as they are delivered: numbered pages of a site, RSS for even sites and Atom for odd ones, no positions.
 
-    A page holds the items of ``PAGE_POSITIONS`` neighbouring positions, so a hot site has many files.
+    A page holds a site's items of neighbouring positions, ``PAGE_POSITIONS`` for each of the sites that share them, so a hot
+    site has many files, and there are about as many files as ``PAGE_POSITIONS`` goes into the rows, however many sites there are.
     """
     rows = v.entries(spark, sf_dir).withColumn("odd", F.crc32(F.col("site").cast("binary")) % 2 == 1)
     e = v._element
@@ -84,7 +92,7 @@ def _delivered(spark, sf_dir, root):
         e("id", F.col("id")), e("published", F.col("published")), F.lit("</entry>"),
     )
     items = rows.select("site", "odd", "pos", F.when(F.col("odd"), atom).otherwise(rss).alias("x"))
-    paged = items.withColumn("page", F.expr(f"pos div {PAGE_POSITIONS}"))
+    paged = items.withColumn("page", _page(rows))
     feeds = paged.groupBy("site", "odd", "page").agg(F.expr("listagg(x, '\n') WITHIN GROUP (ORDER BY pos)").alias("x"))
     head = F.when(F.col("odd"), F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>f</title>')).otherwise(
         F.lit('<rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>f</title>')
@@ -120,7 +128,8 @@ def feed_stream_delivered(spark, sf_dir):
     base = fresh_path(spark, "delivered")
     _delivered(spark, sf_dir, f"{base}/landed")
     state = MatchState(spark, base)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{base}/landed").count()
+    rows = v.entries(spark, sf_dir)
+    files = rows.select("site", _page(rows)).distinct().count()  # a page is a file; to list them takes longer than to count
     stream = fd.stream_feed(spark, f"{base}/landed", max_files=-(-files // 3))  # three micro-batches
     flows.start_match_stream(stream, v.watch(spark), F.lit(v.RUN_DATE), state, f"{base}/checkpoint").awaitTermination()
     none = v.entries(spark, sf_dir).where("false")

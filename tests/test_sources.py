@@ -269,3 +269,20 @@ def test_site_names_survive_paths(spark, tmp_path):
     (tmp_path / "c++ x.xml").write_text(FEED.format(items=ITEM.format(n=1)))
     named = fd.read_feed(spark, str(tmp_path / "c++ x.xml"))
     assert [r.site for r in named.collect()] == ["c++ x"]
+
+
+def test_delivered_pages_do_not_multiply_with_sites(spark, tmp_path):
+    """Files are written, listed and opened one by one: their number follows the rows, not the rows times the sites."""
+    from feedwatch.registry import sources as reg
+
+    n, sites = 16_000, 20
+    docs = spark.range(n).selectExpr(
+        "id AS doc_id", "concat('title ', id, '\n', 'text <', id, '>') AS text", "'en' AS lang", f"concat('s', id % {sites}) AS source", "9L AS n_chars"
+    )
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    reg._delivered(spark, str(tmp_path), str(tmp_path / "landed"))
+    files = list((tmp_path / "landed").rglob("*.txt"))
+    assert n // reg.PAGE_POSITIONS <= len(files) <= 2 * n // reg.PAGE_POSITIONS
+    found = fd.read_feed(spark, str(tmp_path / "landed"))
+    order = [int(r.id) for r in found.where("site = 's3'").orderBy("pos").collect()]
+    assert order == list(range(3, n, sites)) and found.count() == n
